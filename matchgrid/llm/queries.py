@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchgrid.llm import html, mixing, pii, secrets, topk
+from matchgrid.llm import html, mixing, pii, quality, secrets, topk, toxicity
 from matchgrid.llm.common import read
 
 
@@ -36,6 +36,26 @@ def _digest(found: DataFrame, spans: str, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col(spans)).alias("spans"))
 
 
+def _held_out(doc_id: Column, parts: int, part: int) -> Column:
+    return F.crc32(doc_id.cast("string")) % parts == part
+
+
+def _scored(scored: DataFrame, held_out: Column, threshold: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), ~_held_out(F.col("i"), 4, 2))
+    return _scored(quality.score_quality(docs, model), _held_out(F.col("doc_id"), 4, 2), 0.7)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~_held_out(F.col("i"), 5, 0))
+    return _scored(toxicity.score_toxicity(docs, machine), _held_out(F.col("doc_id"), 5, 0), 0.5)
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -111,6 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op3_secrets": op3_secrets,
     "op4_pii": op4_pii,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
     "op8_mix": op8_mix,
 }
