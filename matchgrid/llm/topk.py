@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Lists are read this many entries at a time at first, then twice as many each time.
 FIRST_DEPTH = 8
+#: Once a query has met this share of a block, the rest of the block is scored at once.
+MOST = 0.25
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -39,19 +41,22 @@ def threshold_search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows
         seen = np.zeros(n, bool)
         best = np.empty(0, np.int64)
         scores = np.empty(0, exact)
-        at, depth = 0, FIRST_DEPTH
+        at, depth, read = 0, FIRST_DEPTH, 0
         down = q[used] > 0
         while at < n:
             upto = min(n, at + depth)
             if len(used):
-                part = np.where(down[None, :], lists[::-1, used][at:upto], lists[at:upto, used]).ravel()
-                part = part[~seen[part]]
+                part = np.concatenate([lists[n - upto : n - at][:, used[down]].ravel(), lists[at:upto][:, used[~down]].ravel()])
                 fresh = np.zeros(n, bool)
                 fresh[part] = True
+                fresh &= ~seen
+                if read + np.count_nonzero(fresh) > n * MOST:
+                    fresh, upto = ~seen, n  # too little is left to save
                 found = np.flatnonzero(fresh)
             else:
                 found, upto = np.arange(n), n
             seen[found] = True
+            read += len(found)
             found = found[ids[found] != own[i]]
             best = np.concatenate([best, found])
             scores = np.concatenate([scores, rows[found] @ q])
@@ -60,7 +65,7 @@ def threshold_search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows
                 best, scores = best[kept], scores[kept]
             at, depth = upto, depth * 2
             if len(best) >= k and at < n:
-                limit = np.where(down, ends[::-1, used][at - 1], ends[at - 1, used]) @ q[used]
+                limit = np.where(down, ends[n - at, used], ends[at - 1, used]) @ q[used]
                 if limit < scores.min():
                     break
         out_q.append(np.full(len(best), i))

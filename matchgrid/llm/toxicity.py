@@ -75,7 +75,7 @@ def telling(row: np.ndarray, term: np.ndarray, labels: np.ndarray) -> np.ndarray
     return (df >= MIN_DOCS) & ((df >= FREQUENT * n) | (np.nan_to_num(chi2) >= CHI2))
 
 
-def train(row: np.ndarray, term: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.3, ridge: float = 1e-4, batch: int = 64, emphasis: float = 2.0, seed: int = 0) -> Machine:
+def train(row: np.ndarray, term: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.3, ridge: float = 1e-4, batch: int = 64, emphasis: float = 1.0, seed: int = 0) -> Machine:
     """AdaGrad on the log loss, in which label 1 counts ``emphasis`` times. ``row`` must be sorted."""
     n, size = len(labels), 1 << BITS
     ones = float(labels.sum())
