@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchgrid.llm import html, mixing, pii, quality, secrets, topk, toxicity
+from matchgrid.llm import html, mixing, near_dedup, pii, quality, secrets, topk, toxicity
 from matchgrid.llm.common import read
 
 
@@ -17,6 +17,10 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("copy_key")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "secrets")
     return _digest(found.select("doc_id", "secrets"), "secrets", ("assign", "access", "hex"))
@@ -129,6 +133,7 @@ FROM n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,

@@ -59,7 +59,7 @@ def threshold_search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows
             read += len(found)
             found = found[ids[found] != own[i]]
             best = np.concatenate([best, found])
-            scores = np.concatenate([scores, rows[found] @ q])
+            scores = np.concatenate([scores, (rows @ q)[found] if len(found) * 8 > n else rows[found] @ q])
             if len(best) > k:
                 kept = np.lexsort((best, -scores))[:k]
                 best, scores = best[kept], scores[kept]
