@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchgrid.llm import html, mixing, near_dedup, pii, quality, secrets, topk, toxicity
+from matchgrid.llm import decontam, html, mixing, near_dedup, pii, quality, secrets, topk, toxicity
 from matchgrid.llm.common import read
 
 
@@ -131,6 +131,11 @@ SELECT doc_id, size, source_size, target, (size * e + more)::BIGINT AS taken, co
 FROM n
 """
 
+def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_near_duplicates": op2_near_duplicates,
@@ -140,5 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
     "op8_mix": op8_mix,
+    "op10_leaks": op10_leaks,
 }
 ORACLE: dict[str, str] = {"op7_top_k": OP7_SQL, "op8_mix": OP8_SQL}
