@@ -228,17 +228,19 @@ def find_leaks(
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     groups = max(1, -(-total // group_chars))
     schema = T.ArrayType(T.StructType().add("item_id", T.LongType()).add("distance", T.IntegerType()))
-    columns = []
-    for g in range(groups):
-        part = items.filter(F.pmod(F.xxhash64("i"), F.lit(groups)) == g).orderBy("i", "t").collect()
-        index = docs.sparkSession.sparkContext.broadcast(Index.of([r["i"] for r in part], [r["t"] for r in part]))
 
+    def scan(index):
         @F.pandas_udf(schema)
-        def found(texts: pd.Series, index=index) -> pd.Series:
+        def found(texts: pd.Series) -> pd.Series:
             values, result = texts.tolist(), []
             for at in range(0, len(values), 512):
                 result += [[{"item_id": i, "distance": d} for i, d in x] for x in leaks(values[at : at + 512], index.value, max_edits)]
             return pd.Series(result, dtype=object)
 
-        columns.append(found(F.coalesce(F.col(text), F.lit(""))))
+        return found(F.coalesce(F.col(text), F.lit("")))
+
+    columns = []
+    for g in range(groups):
+        part = items.filter(F.pmod(F.xxhash64("i"), F.lit(groups)) == g).orderBy("i", "t").collect()
+        columns.append(scan(docs.sparkSession.sparkContext.broadcast(Index.of([r["i"] for r in part], [r["t"] for r in part]))))
     return put(docs, {out: columns[0] if groups == 1 else F.array_sort(F.concat(*columns))})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchgrid.llm import decontam, html, mixing, near_dedup, pii, quality, secrets, topk, toxicity
+from matchgrid.llm import decontam, html, line_dedup, mixing, near_dedup, pii, quality, secrets, topk, toxicity
 from matchgrid.llm.common import read
 
 
@@ -131,6 +131,41 @@ SELECT doc_id, size, source_size, target, (size * e + more)::BIGINT AS taken, co
 FROM n
 """
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM p
+), n AS (
+  SELECT *, lower(trim(line, ' ' || chr(9) || chr(13))) AS n FROM l
+), f AS (
+  SELECT n, min((doc_id, pos)) AS first FROM n WHERE length(n) >= 20 GROUP BY n
+), h AS (
+  SELECT n, first, length(n) AS m, left(n, length(n) // 2) AS a, right(n, length(n) - length(n) // 2) AS b,
+         left(n, (length(n) - 1) // 2) AS pa, right(n, (length(n) - 1) - (length(n) - 1) // 2) AS pb
+  FROM f
+), c AS (
+  SELECT x.n AS xn, x.first AS xf, y.n AS yn, y.first AS yf FROM h x JOIN h y ON x.m = y.m AND x.a = y.a AND x.n < y.n
+  UNION SELECT x.n, x.first, y.n, y.first FROM h x JOIN h y ON x.m = y.m AND x.b = y.b AND x.n < y.n
+  UNION SELECT x.n, x.first, y.n, y.first FROM h x JOIN h y ON x.m = y.m - 1 AND x.a = y.pa
+  UNION SELECT x.n, x.first, y.n, y.first FROM h x JOIN h y ON x.m = y.m - 1 AND x.b = y.pb
+), g AS (
+  SELECT DISTINCT CASE WHEN xf > yf THEN xn ELSE yn END AS n FROM c WHERE levenshtein(xn, yn) <= 1
+), k AS (
+  SELECT n.doc_id, n.pos, n.line,
+         length(n.n) < 20 OR ((n.doc_id, n.pos) = f.first AND g.n IS NULL) AS stays
+  FROM n LEFT JOIN f ON n.n = f.n LEFT JOIN g ON n.n = g.n
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text,
+       count(*)::BIGINT AS n_lines, count(*) FILTER (NOT stays)::BIGINT AS n_dropped
+FROM k GROUP BY doc_id
+"""
+
+
 def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.distance")
@@ -145,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
     "op8_mix": op8_mix,
+    "op9_line_dedup": op9_line_dedup,
     "op10_leaks": op10_leaks,
 }
-ORACLE: dict[str, str] = {"op7_top_k": OP7_SQL, "op8_mix": OP8_SQL}
+ORACLE: dict[str, str] = {"op7_top_k": OP7_SQL, "op8_mix": OP8_SQL, "op9_line_dedup": OP9_SQL}
