@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from matchgrid.plans import projection_queries  # noqa: F401
+from matchgrid.plans.registry import ORACLE, QUERIES
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLE", "QUERIES"]
