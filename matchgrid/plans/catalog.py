@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from matchgrid.plans import projection_queries  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+
+from matchgrid.plans import projection_queries, relational_queries  # noqa: F401
 from matchgrid.plans.registry import ORACLE, QUERIES
+from matchgrid.plans.views import Views
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
+
 
-__all__ = ["ORACLE", "QUERIES"]
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Home and away form totals of every match."""
+    return relational_queries.flagship(Views(spark, sf_dir))

@@ -109,6 +109,24 @@ FROM {events}
 }
 
 
+def _pick(of: str, *names: str | None) -> str:
+    """A CASE that takes the names in turn by a number."""
+    return f"CASE ({of}) % {len(names)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if n is None else f"'{n}'") for i, n in enumerate(names)) + " END"
+
+
+_SEVENTH, _OTHER = "CAST(floor(event_id / 7) AS BIGINT)", "CAST(floor(event_id / 5) AS BIGINT)"
+VIEWS["plays"] = f"""
+SELECT event_id, user_id AS match_id, concat('T', CAST(event_id % 2 AS STRING)) AS team, CASE WHEN event_id % 10 = 0 THEN NULL ELSE concat('T', CAST({_OTHER} % 2 AS STRING)) END AS possession_team,
+  {_SEVENTH} AS possession, {_pick('event_id', 'Shot', 'Pass', 'Pass', 'Duel', 'Goal Keeper', 'Foul Committed', 'Bad Behaviour', 'Foul Won', 'Clearance', 'Interception', 'Block', 'Ball Recovery', 'Pressure', 'Dribble', 'Dispossessed', 'Miscontrol', 'Substitution', '50/50', 'Pass', 'Shot', 'Duel')} AS type,
+  {_pick(_SEVENTH, 'Goal', 'Saved', 'Off T', 'Blocked', 'Won', 'Complete', 'Pass Offside', 'Success In Play', None, None, 'Post')} AS outcome,
+  {_pick(_OTHER, 'Open Play', 'Free Kick', 'Penalty', 'Corner', 'Goal Kick', 'Throw-in', 'Kick Off', 'Tackle', 'Aerial Lost', 'Shot Saved', 'Punch', 'Collected', 'Keeper Sweeper', 'Handball', None)} AS subtype,
+  {_pick(_SEVENTH, 'Right Foot', 'Left Foot', 'Head', None)} AS body_part, {_pick(_OTHER, 'Ground Pass', 'Low Pass', 'High Pass', None)} AS height, {_pick(_SEVENTH, 'Through Ball', None, None)} AS technique,
+  CASE WHEN event_id % 8 = 0 THEN NULL ELSE CAST(event_id % 60 AS DOUBLE) END AS length, event_id % 9 = 1 AS is_cross, {_pick(_SEVENTH, 'Yellow Card', 'Red Card', 'Second Yellow', None)} AS card,
+  CAST(event_id % 64 AS DOUBLE) / 64 AS xg
+FROM {{events}}
+"""
+
+
 def parents(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
