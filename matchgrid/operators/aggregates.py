@@ -49,14 +49,14 @@ def lookback_form(history: DataFrame, keys: Sequence[str], sums: Sequence[str],
 def team_profile(form: DataFrame, keys: Sequence[str] = ("fixture_id", "team_id")) -> DataFrame:
     """Team totals (1 place) and means (2 places) over starters with earlier seasons.
 
-    Teams none of whose starters has any don't appear.
+    Both are first rounded to nine places, so that the order of addition never shows. Teams none of whose starters has any don't appear.
     """
     sums = [c for c in PROFILE_SUMS if c in form.columns]
     means = [c for c in PROFILE_MEANS if c in form.columns]
     return form.groupBy(*keys).agg(
         F.count("*").alias("num_starters_with_data"),
-        *[half_even(F.sum(c), 1).alias(f"team_total_{c}") for c in sums],
-        *[half_even(F.avg(c), 2).alias(f"team_avg_{c}") for c in means],
+        *[half_even(F.round(F.sum(c), 9), 1).alias(f"team_total_{c}") for c in sums],
+        *[half_even(F.round(F.avg(c), 9), 2).alias(f"team_avg_{c}") for c in means],
     )
 
 

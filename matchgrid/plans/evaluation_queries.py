@@ -77,12 +77,17 @@ def e06(v):
     return r9(E.wilson_table(flags(v)), "rate", "low", "high")
 
 
-@query("e07_mcnemar", "SELECT n, k, 1.0::DOUBLE AS one FROM (SELECT unnest([0, 2, 5, 6])::BIGINT AS n) CROSS JOIN (SELECT 0::BIGINT AS k) WHERE n < 0")
+@query(
+    "e07_mcnemar",
+    f"WITH {FLAGS}, d AS (SELECT m.season, count(*) FILTER (a.correct_result AND NOT b.correct_result) AS b, count(*) FILTER (b.correct_result AND NOT a.correct_result) AS c FROM fl a JOIN fl b ON a.fixture_id = b.fixture_id AND a.anonymized = b.anonymized AND a.regime = 'pregame' AND b.regime = 'halftime' "
+    "JOIN matches m ON m.fixture_id = a.fixture_id GROUP BY m.season) SELECT season, b, c, CASE WHEN b + c = 0 THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM range(0, least(b, c) + 1) t(i))), 6) END AS p_value FROM d",
+)
 def e07(v):
-    """Rows whose p-value falls outside [0, 1]: none. The values are tested against fractions."""
-    n, k = c("c_nationkey").cast("long"), (c("c_custkey") % 25)
-    t = v.customer.select(n.alias("n"), k.alias("k"), E.mcnemar_p(n, k).alias("one"))
-    return t.filter("one < 0 or one > 1")
+    f = flags(v).select("fixture_id", "anonymized", "regime", c("correct_result").alias("hit"))
+    a, b = f.filter("regime = 'pregame'").drop("regime"), f.filter("regime = 'halftime'").drop("regime")
+    pairs = J.pair_on_match(a, b, ["fixture_id", "anonymized"], strict=False).join(v.matches.select("fixture_id", "season"), "fixture_id")
+    counts = E.contingency(pairs, ["season"], "hit_a", "hit_b").select("season", c("a_only").alias("b"), c("b_only").alias("c"))
+    return counts.withColumn("p_value", F.round(E.mcnemar_p(c("b"), c("c")), 6))
 
 
 PAIRS_SQL = (

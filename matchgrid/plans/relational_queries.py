@@ -134,9 +134,9 @@ def a03(v):
 PROFILE_COLUMNS = [f"team_total_{x}" for x in A.PROFILE_SUMS] + ["team_avg_rating", "team_avg_passes_accuracy", "team_avg_goals_per_90"]
 PROFILE_SQL = (
     "prof AS (SELECT fixture_id, team_id, count(*) AS num_starters_with_data, "
-    + ", ".join(f"round_even(sum({x}), 1) AS team_total_{x}" for x in A.PROFILE_SUMS)
+    + ", ".join(f"round_even(round(sum({x}), 9), 1) AS team_total_{x}" for x in A.PROFILE_SUMS)
     + ", "
-    + ", ".join(f"round_even(avg({x}), 2) AS team_avg_{x}" for x in A.PROFILE_MEANS)
+    + ", ".join(f"round_even(round(avg({x}), 9), 2) AS team_avg_{x}" for x in A.PROFILE_MEANS)
     + " FROM form GROUP BY fixture_id, team_id)"
 )
 CHAIN_SQL = f"WITH {HISTORY_SQL}, {FORM_SQL}, {PROFILE_SQL}"
@@ -201,12 +201,14 @@ def j05(v):
     return out.groupBy("fixture_id").agg(F.count("*").alias("n"), F.sum("scored").alias("scored"), F.max("past").alias("last"))
 
 
-@query(
-    "j06_head_to_head",
+ORACLE_H2H = (
     "SELECT m.fixture_id, count(p.fixture_id) AS matches, count(*) FILTER (p.home_goals > p.away_goals AND p.home_team_name = m.home_team_name OR p.home_goals < p.away_goals AND p.away_team_name = m.home_team_name) AS team1_wins, "
     "count(*) FILTER (p.home_goals > p.away_goals AND p.home_team_name = m.away_team_name OR p.home_goals < p.away_goals AND p.away_team_name = m.away_team_name) AS team2_wins, count(*) FILTER (p.home_goals = p.away_goals) AS draws "
-    "FROM matches m LEFT JOIN matches p ON p.season < m.season AND least(m.home_team_id, m.away_team_id) = least(p.home_team_id, p.away_team_id) AND greatest(m.home_team_id, m.away_team_id) = greatest(p.home_team_id, p.away_team_id) GROUP BY m.fixture_id",
+    "FROM matches m LEFT JOIN matches p ON p.season < m.season AND least(m.home_team_id, m.away_team_id) = least(p.home_team_id, p.away_team_id) AND greatest(m.home_team_id, m.away_team_id) = greatest(p.home_team_id, p.away_team_id) GROUP BY m.fixture_id"
 )
+
+
+@query("j06_head_to_head", ORACLE_H2H)
 def j06(v):
     return J.head_to_head(v.matches)
 

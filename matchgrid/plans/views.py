@@ -86,7 +86,7 @@ CROSS JOIN (SELECT false AS anonymized, 0 AS a UNION ALL SELECT true AS anonymiz
     "outputs": """
 SELECT fixture_id, regime, anonymized, gt_home, gt_away, gt_result, pred_home, pred_away,
   CASE WHEN (fixture_id + CAST(anonymized AS INT)) % 7 = 0 THEN concat('I think team a will win, maybe ', CAST(pred_home AS STRING), ' goals')
-       WHEN fixture_id % 5 = 0 THEN concat('prediction: Home Win\nscore: ', CAST(pred_home AS STRING), chr(8211), CAST(pred_away AS STRING), '\nReasoning: form.\nMore form.')
+       WHEN fixture_id % 5 = 0 THEN concat('prediction: Home Win\nscore: ', CAST(pred_home AS STRING), '–', CAST(pred_away AS STRING), '\nReasoning: form.\nMore form.')
        WHEN fixture_id % 11 = 0 THEN concat('Result: ', pred_result, '\n', CAST(pred_home AS STRING), '-', CAST(pred_away AS STRING))
        ELSE concat('Prediction: ', pred_result, '\nScore: ', CAST(pred_home AS STRING), '-', CAST(pred_away AS STRING), '\nReasoning: squad quality.') END AS output
 FROM {predictions}
