@@ -44,51 +44,52 @@ def segment_keys(n: Column) -> list[Column]:
     return out
 
 
-def edit_distance(a: Column, b: Column, k: int) -> Column:
-    """Edit distance of two strings whose lengths differ by at most k; above k some larger number.
+def with_edit_distance(df: DataFrame, a: Column, b: Column, k: int, out: str) -> DataFrame:
+    """``df`` with the edit distance of two strings, or some number above k if it is above k.
 
     Column j of the matrix is held by the rows j - k to j + k, one bit each, as vertical
     differences; the band moves down with j. The distance is followed along the lowest diagonal,
-    and along the last row once the diagonal has met it.
+    and along the last row once the diagonal has met it. The characters stay in columns of their
+    own beside the fold, whose state is three integers.
     """
     mask = (1 << (2 * k + 1)) - 1
-    x, y = F.split(a, ""), F.split(b, "")
     m, n = F.length(a), F.length(b)
+    split = df.select("*", F.split(a, "").alias("_x"), F.split(b, "").alias("_y"), m.alias("_m"))
 
     def flip(c: Column) -> Column:
         return c.bitwiseXOR(F.lit(mask))
 
+    def bind(value: Column, use) -> Column:
+        """Evaluates a value once for all its uses: transform over an array of one."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
     def step(s: Column, j: Column) -> Column:
-        eq = F.lit(0)
-        for t in range(2 * k + 1):
-            same = F.get(s["x"], j - k + t - 1) == F.get(s["y"], j - 1)
-            eq = eq + F.when(F.coalesce(same, F.lit(False)), F.lit(1 << t)).otherwise(F.lit(0))
         vp, vn = s["vp"], s["vn"]
 
+        def matches(c: Column) -> Column:
+            eq = F.lit(0)
+            for t in range(2 * k + 1):
+                eq = eq + F.when(F.get("_x", j + (t - k - 1)) == c, F.lit(1 << t)).otherwise(F.lit(0))
+            return eq
+
         def diagonal(e: Column) -> Column:
             return ((e.bitwiseAND(vp) + vp).bitwiseAND(F.lit(mask))).bitwiseXOR(vp).bitwiseOR(e).bitwiseOR(vn)
 
-        # binds a value to a name: transform over an array of one
-        def bind(value: Column, use) -> Column:
-            return F.element_at(F.transform(F.array(value), use), 1)
-
         def finish(d0: Column) -> Column:
             hp = vn.bitwiseOR(flip(d0.bitwiseOR(vp)))
             hn = d0.bitwiseAND(vp)
             down = F.shiftright(d0, 1)
-            last = F.greatest(s["m"] - j + k, F.lit(0))
-            bit = F.pow(F.lit(2), last).cast("int")
+            bit = F.element_at(F.array(*[F.lit(1 << t) for t in range(2 * k + 1)]), F.greatest(F.col("_m") - j + k, F.lit(0)) + 1)
             on_row = F.when(hp.bitwiseAND(bit) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(bit) != 0, 1).otherwise(0)
             on_diagonal = F.when(d0.bitwiseAND(F.lit(1 << (2 * k))) != 0, 0).otherwise(1)
-            dist = s["d"] + F.when(j + k <= s["m"], on_diagonal).otherwise(on_row)
-            return F.struct(
-                hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), dist.cast("int").alias("d"), s["m"].alias("m"), s["x"].alias("x"), s["y"].alias("y")
-            )
+            dist = s["d"] + F.when(j + k <= F.col("_m"), on_diagonal).otherwise(on_row)
+            return F.struct(hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), dist.cast("int").alias("d"))
 
-        return bind(eq, lambda e: bind(diagonal(e), finish))
+        return bind(bind(matches(F.get("_y", j - 1)), diagonal), finish)
 
-    start = F.struct(F.lit(((1 << (k + 1)) - 1) << k).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("d"), m.alias("m"), x.alias("x"), y.alias("y"))
-    return F.when(F.abs(m - n) > k, F.lit(k + 1)).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"]))
+    start = F.struct(F.lit(((1 << (k + 1)) - 1) << k).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("d"))
+    distance = F.when(F.abs(m - n) > k, F.lit(k + 1)).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"]))
+    return split.withColumn(out, distance).drop("_x", "_y", "_m")
 
 
 def _matching(left: DataFrame, ids: DataFrame) -> DataFrame:
@@ -120,9 +121,10 @@ def near_links(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     both = pairs.join(texts.withColumnRenamed("r", "ra"), ["h1", "h2"]).join(texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("r").alias("rb")), ["g1", "g2"])
     stars = _crowded(crowd, texts)
     found = both.select("h1", "h2", "ra", "g1", "g2", "rb").union(stars)
-    a, b = F.col("ra.n"), F.col("rb.n")
-    found = found.filter(edit_distance(a, b, MAX_EDITS) <= MAX_EDITS)
-    later = F.col("ra") > F.col("rb")
+    scored = with_edit_distance(persist_plan(found), F.col("ra.n"), F.col("rb.n"), MAX_EDITS, "edits")
+    # written out before it is filtered: a filter would be pushed below the split characters
+    found = persist_plan(scored.select("h1", "h2", "g1", "g2", (F.col("ra") > F.col("rb")).alias("later"), "edits")).filter(F.col("edits") <= MAX_EDITS)
+    later = F.col("later")
     return found.select(*[F.when(later, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("h1", "g1"), ("h2", "g2"))]).distinct()
 
 
