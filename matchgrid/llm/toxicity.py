@@ -17,12 +17,12 @@ from pyspark.sql import types as T
 
 from matchgrid.llm import hashing
 from matchgrid.llm.common import put
-from matchgrid.llm.quality import labelled_sample
+from matchgrid.llm.quality import labelled_sample, ragged
 
 BITS = 18
 FACTORS = 8
 #: Labelled documents that the model is fitted on, at most: those of the smallest id hashes.
-SAMPLE = 20000
+SAMPLE = 12000
 #: Terms get a weight if they stand in this share of the sample's documents, or if they tell the
 #: labels apart by themselves (chi-squared with one degree of freedom) and aren't too rare.
 FREQUENT = 0.02
@@ -135,11 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "tox
         row, term = terms(texts.tolist())
         return pd.Series(np.split(term.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts)))), dtype=object)
 
-    rows = labelled_sample(docs, labels, label, may_learn, doc_id, text, sample).select(hashed("t").alias("t"), "y").toPandas()
-    rows = rows.iloc[np.argsort([hash((len(t), float(np.sum(t, dtype=np.float64)), int(y))) for t, y in zip(rows["t"], rows["y"], strict=True)], kind="stable")]
-    found = [np.asarray(t, np.int64) for t in rows["t"]]
-    row = np.repeat(np.arange(len(found)), [len(t) for t in found]) if found else np.empty(0, np.int64)
-    return train(row, np.concatenate(found) if found else np.empty(0, np.int64), rows["y"].to_numpy(np.int64))
+    rows = labelled_sample(docs, labels, label, may_learn, doc_id, text, sample).select(hashed("t").alias("t"), "y").toArrow()
+    found, labels_ = ragged(rows["t"]), rows["y"].to_numpy().astype(np.int64)
+    order = sorted(range(len(found)), key=lambda i: (len(found[i]), int(np.sum(found[i], dtype=np.int64)), int(labels_[i])))
+    lengths = [len(found[i]) for i in order]
+    term = np.concatenate([found[i] for i in order]) if found else np.empty(0, np.int32)
+    return train(np.repeat(np.arange(len(order), dtype=np.int32), lengths), term, labels_[order])
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
