@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from matchgrid.llm.common import put
 BITS = 17
 GRAMS = (3, 4)
 #: Labelled documents that the model is fitted on, at most: those of the smallest id hashes.
-SAMPLE = 4000
+SAMPLE = 2000
 
 
 def buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +81,12 @@ def train(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: i
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.log([1 - prior, prior]).astype(np.float32)
-    share = [(c / max(1, c.sum())).astype(np.float32) for _, c in found]
     steps, step = epochs * -(-len(found) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(len(found))
         for k in range(0, len(order), batch):
             ids = order[k : k + batch]
-            idx, val = np.concatenate([found[i][0] for i in ids]), np.concatenate([share[i] for i in ids])
+            idx, val = np.concatenate([found[i][0] for i in ids]), np.concatenate([found[i][1] / max(1, found[i][1].sum()) for i in ids]).astype(np.float32)
             row = np.repeat(np.arange(len(ids)), [len(found[i][0]) for i in ids])
             rows = table[idx] * val[:, None]
             mean = np.stack([np.bincount(row, rows[:, j], len(ids)) for j in range(dim)], 1).astype(np.float32)
@@ -139,9 +139,20 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "qua
         found = features(texts.tolist())
         return pd.DataFrame({"b": [b.astype(np.int32) for b, _ in found], "n": [n.astype(np.float32) for _, n in found]})
 
-    rows = labelled_sample(docs, labels, label, may_learn, doc_id, text, sample).select(hashed("t").alias("f"), "y").select("f.b", "f.n", "y").toPandas()
-    rows = rows.iloc[np.argsort([hash((len(b), float(np.sum(b, dtype=np.float64)), int(y))) for b, y in zip(rows["b"], rows["y"], strict=True)], kind="stable")]
-    return train([(np.asarray(b, np.int64), np.asarray(n)) for b, n in zip(rows["b"], rows["n"], strict=True)], rows["y"].to_numpy(np.int64))
+    rows = labelled_sample(docs, labels, label, may_learn, doc_id, text, sample).select(hashed("t").alias("f"), "y").select("f.b", "f.n", "y").toArrow()
+    found = list(zip(ragged(rows["b"]), ragged(rows["n"]), strict=True))
+    labels_ = rows["y"].to_numpy().astype(np.int64)
+    order = sorted(range(len(found)), key=lambda i: (len(found[i][0]), int(np.sum(found[i][0], dtype=np.int64)), int(labels_[i])))
+    return train([found[i] for i in order], labels_[order])
+
+
+def ragged(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow column as slices of one numpy array: nothing becomes Python objects."""
+    if not column.num_chunks:
+        return []
+    flat = pa.concat_arrays(column.chunks)
+    offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
+    return [values[i:j] for i, j in zip(offsets, offsets[1:], strict=False)]
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
