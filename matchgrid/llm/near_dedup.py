@@ -26,8 +26,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 #: Document frequencies are counted in 2**IDF_BITS buckets of word hashes: a table of fixed size.
 IDF_BITS = 18
-#: Of documents in one band that the first round didn't join, each is compared with so many others.
-NEIGHBOURS = 6
+#: Texts of a band of more texts than this are compared by blocks, those of a smaller one by pairs.
+FEW = 8
+#: Texts and characters of a block, about.
+BLOCK_TEXTS, BLOCK_CHARS = 1024, 8_000_000
+#: Shingles that are multiplied at a time.
+COLUMNS = 2048
 _STEP = 1 << 16
 
 
@@ -185,6 +189,62 @@ def similarities(left: list[str], right: list[str], idf: np.ndarray) -> np.ndarr
     return out
 
 
+def block_links(texts: list[str], labels: list, idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of texts that are similar enough and join all labels that any such pair joins.
+
+    All pairs of differing labels are compared, exactly: a shingle is one column for each weight
+    it has, as heavy as that weight is above the next smaller one, so that what two texts share
+    is a product of matrices.
+    """
+    names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    label = np.array([names[x] for x in labels])
+    if len(names) < 2:
+        return []
+    rows = np.flatnonzero(label != np.bincount(label).argmax())  # one of each pair isn't of the commonest label
+    owner, shingle, weight = shingles(texts, idf)
+    size = np.bincount(owner, weight, len(texts))
+    order = np.lexsort((weight, shingle))
+    owner, shingle, weight = owner[order], shingle[order], weight[order]
+    new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+    level = new | np.concatenate([[True], weight[1:] != weight[:-1]])
+    column = np.cumsum(level) - 1  # of each entry the one of its own weight
+    height = weight[level] - np.where(new[level], 0.0, np.concatenate([[0.0], weight[level][:-1]]))
+    lowest = np.maximum.accumulate(np.where(new, column, 0))
+    times = column - lowest + 1
+    entry = np.repeat(np.arange(len(owner)), times)
+    column = lowest[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
+    owner = owner[entry]
+    met = np.bincount(column, minlength=len(height)) > 1
+    kept = met[column]
+    column, owner = (np.cumsum(met) - 1)[column[kept]], owner[kept]
+    height = np.sqrt(height[met])
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    shared = np.zeros((len(rows), len(texts)))
+    for first in range(0, len(height), COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(texts), min(COLUMNS, len(height) - first)))
+        part[owner[lo:hi], column[lo:hi] - first] = height[column[lo:hi]]
+        shared += part[rows] @ part.T
+    union = size[rows, None] + size[None, :] - shared
+    alike = (shared >= similarity * union) & (union > 0) & (label[rows, None] != label[None, :])
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for r, c in zip(*np.nonzero(alike), strict=True):
+        a, b = root(label[rows[r]]), root(label[c])
+        if a != b:
+            parent[a] = b
+            out.append((int(rows[r]), int(c)))
+    return out
+
+
 def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
     """1 + log((1 + documents) / (1 + documents with the word)) / log(2 + documents), over all rows.
 
@@ -221,9 +281,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     smallest id of the near-duplicate class, its connected component under verified links.
 
     Equal texts are one node, so a group of copies of any size costs one row. Documents that
-    share a band are compared with one centre for each band, not with each other; those that
-    this leaves apart are compared with their neighbours in the band in a second round, all of
-    them with all where they are few. Null and empty texts (without words) are never duplicates
+    share a band are compared with one centre for each band first; then all texts of a band that
+    this leaves apart are compared with each other, however many they are: in small bands by
+    pairs, in large ones by blocks, each pair of which is one group. Null and empty texts (without words) are never duplicates
     of each other and form a class each by row content: their class_id is their own id. Null ids
     count as larger than others; repeated rows are copies; an empty table gives an empty one.
     """
@@ -249,8 +309,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             out.append(similarities(left.iloc[at : at + 256].tolist(), right.iloc[at : at + 256].tolist(), idf.value))
         return pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    signed = persist_plan(source.select("doc_id", F.md5("t").alias("k"), banded("t").alias("bands")))
-    texts = signed.filter(F.size("bands") > 0).groupBy("k").agg(F.first("bands").alias("bands"))
+    signed = persist_plan(source.select("doc_id", F.md5("t").alias("k"), F.length("t").alias("chars"), banded("t").alias("bands")))
+    texts = signed.filter(F.size("bands") > 0).groupBy("k").agg(F.first("bands").alias("bands"), F.first("chars").alias("chars"))
     members = persist_plan(texts.select("k", F.explode("bands").alias("b")))
     shared = persist_plan(members.join(members.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1"), "b"))
     # the centre of a band is the text that meets most others in all its bands: of a group of
@@ -272,16 +332,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = persist_plan(verified(pairs))
     label = components(links.select(F.col("k").alias("u"), F.col("c").alias("v")))
     placed = shared.join(label.select(F.col("u").alias("k"), F.col("v").alias("x")), "k", "left").withColumn("x", F.coalesce("x", "k"))
-    placed = placed.join(label.select(F.col("u").alias("c"), F.col("v").alias("cx")), "c", "left").withColumn("cx", F.coalesce("cx", "c"))
-    apart = placed.filter("x <> cx").select("b", "k", "x")
-    mixed_order = Window.partitionBy("b").orderBy(F.xxhash64("k", "b"), "k")
-    near = apart.withColumn("p", F.collect_list(F.struct(F.col("k").alias("pk"), F.col("x").alias("px"))).over(mixed_order.rowsBetween(-NEIGHBOURS, -1)))
-    near = near.select("k", "x", F.explode("p").alias("p")).filter("p.px <> x").select(F.greatest("k", "p.pk").alias("k"), F.least("k", "p.pk").alias("c")).distinct()
-    more = persist_plan(near.join(pairs, ["k", "c"], "left_anti"))
+    placed = placed.join(texts.select("k", "chars"), "k")
+    apart = placed.groupBy("b").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("x").alias("low"), F.max("x").alias("high")).filter("n > 2 and low <> high")
+    placed = persist_plan(placed.select("b", "k", "x").join(apart.select("b", "n", "chars"), "b"))
+    few = placed.filter(F.col("n") <= FEW).select("b", "k", "x")
+    near = few.join(few.select("b", F.col("k").alias("c"), F.col("x").alias("cx")), "b").filter("k > c and x <> cx").select("k", "c").distinct()
+    compared_before = pairs.select(F.greatest("k", "c").alias("k"), F.least("k", "c").alias("c"))
+    more = persist_plan(near.join(compared_before, ["k", "c"], "left_anti"))
+    crowd = placed.filter(F.col("n") > FEW)
+    found = []
     if not more.isEmpty():
-        found = persist_plan(verified(more))
-        if not found.isEmpty():
-            label = components(links.union(found).select(F.col("k").alias("u"), F.col("c").alias("v")))
+        found.append(persist_plan(verified(more)))
+    if not crowd.isEmpty():
+        found.append(persist_plan(_compared_by_blocks(crowd, source, idf, similarity)))
+    found = [f for f in found if not f.isEmpty()]
+    if found:
+        for f in found:
+            links = links.union(f)
+        label = components(links.select(F.col("k").alias("u"), F.col("c").alias("v")))
     nodes = signed.groupBy("k").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first(F.size("bands")).alias("s"))
     nodes = nodes.join(label.select(F.col("u").alias("k"), F.col("v").alias("x")), "k", "left").withColumn("x", F.coalesce("x", "k"))
     classes = nodes.groupBy("x").agg(F.min("copy_of").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -296,6 +364,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
 
 
+def _compared_by_blocks(crowd: DataFrame, source: DataFrame, idf, similarity: float) -> DataFrame:
+    """Links (k, c) between texts of differing x in each band b of (b, k, x, n, chars)."""
+    bodies = source.select(F.md5("t").alias("k"), "t").join(crowd.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    dealt = crowd.select("b", "k", "x", blocks.alias("m")).withColumn("p", F.pmod(F.xxhash64("k"), F.col("m")).cast("int"))
+    # a block meets itself and each other one
+    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.select("b", "k", "x", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).join(persist_plan(bodies), "k")
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        k = rows["k"].tolist()
+        out = block_links(rows["t"].tolist(), rows["x"].tolist(), idf.value, similarity)
+        return pd.DataFrame([(k[a], k[b]) for a, b in out], columns=["k", "c"], dtype=object)
+
+    return dealt.groupBy("b", "i", "j").applyInPandas(search, "k string, c string")
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates: of each class the document of the smallest id stays.
 

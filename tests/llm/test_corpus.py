@@ -374,6 +374,60 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_block_links_against_pairs():
+    rng = random.Random(21)
+    idf = 1 + np.random.default_rng(0).random(1 << near_dedup.IDF_BITS)
+    base = prose(rng, 60).split()
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(60)] = rng.choice(["one", "two", "three"])
+        texts.append(" ".join(words * rng.choice([1, 1, 2])))
+    labels = [i // 2 for i in range(60)]
+    want, got = list(range(30)), list(range(30))
+    pairs = [(i, j) for i in range(60) for j in range(i)]
+    sims = near_dedup.similarities([texts[i] for i, _ in pairs], [texts[j] for _, j in pairs], idf)
+    links = [p for p, s in zip(pairs, sims, strict=True) if s >= 0.8]
+    found = near_dedup.block_links(texts, labels, idf, 0.8)
+    assert set(map(frozenset, found)) <= set(map(frozenset, links))
+    for names, edges in ((want, links), (got, found)):
+        for i, j in edges:
+            a, b = names[labels[i]], names[labels[j]]
+            names[:] = [min(a, b) if x in (a, b) else x for x in names]
+    assert got == want
+    assert 1 < len(set(want)) < 30
+
+
+@pytest.mark.parametrize("block", [1024, 100])
+def test_twins_in_a_crowded_family(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", block, raising=False)
+    rng = random.Random(20)
+    base = prose(rng, 150).split()
+    rows, twins = [], []
+    for g in range(500):
+        places = rng.sample(range(0, 150, 6), 3)
+        first = f"w{rng.randrange(10**6)}"
+        for at in places[1 : 3 if g % 4 == 0 else 2]:  # a twin shares one change of two
+            words = list(base)
+            words[places[0]], words[at] = first, f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+        if g % 4 == 0:
+            twins.append((len(rows) - 2, len(rows) - 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert [t for t in twins if found[t[0]] != found[t[1]]] == []
+    idf = near_dedup.inverse_frequencies(df, "text")
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    alike = near_dedup.similarities([rows[i][1] for i, _ in pairs], [rows[j][1] for _, j in pairs], idf) >= near_dedup.SIMILARITY
+    want = list(range(len(rows)))
+    for i, j in (p for p, x in zip(pairs, alike, strict=True) if x):
+        if want[i] != want[j]:
+            a, b = want[i], want[j]
+            want = [min(a, b) if x in (a, b) else x for x in want]
+    assert [found[i] for i in range(len(rows))] == want
+
+
 # -- 10: leaks ---------------------------------------------------------------------------------
 
 
