@@ -27,7 +27,12 @@ KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|signature|client.?id|connection.?string", re.I | re.A)
 STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "signature", "client", "connection")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~$!@%^&*-]{12,}")
-#: A candidate starts within so many characters after the context word.
+#: A private key block: a header, perhaps fields, and the lines of the key, also with escaped line ends.
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:\s*[A-Za-z-]{1,20}:[^\n]*)*(?:\s|\\[nr])*([A-Za-z0-9+/=]{16,}(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{16,})*(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{1,64}(?=(?:\s|\\[nr])*-----END))?)", re.A)
+LINE_END = re.compile(r"\s|\\[nr]")
+#: A long text of 64 symbols compresses by its alphabet alone, so a key block is measured in pieces of this length.
+PIECE = 48
+#: A candidate starts within so many characters after the context word, on its line or a later one.
 REACH = 48
 #: Characters of surrounding text on either side that prime the compressor.
 AROUND = 1024
@@ -87,24 +92,35 @@ def _base(text: str, low: str) -> list[tuple[int, int, int, bool, float | None]]
 def _novel(text: str, low: str, taken: list) -> list[tuple[int, int, int, bool, float | None]]:
     if not any(w in low for w in STEMS):
         return []
-    found, end = [], 0
     held = sorted((s[0], s[2]) for s in taken)
+    found = []
+    for block in PEM.finditer(text):
+        s, e = block.span(1)
+        body = LINE_END.sub("", block.group(1))
+        pieces = [body[i : i + PIECE] for i in range(0, len(body), PIECE)]
+        size = sum(marginal_bytes(p, body[max(0, i * PIECE - AROUND) : i * PIECE], body[i * PIECE + len(p) :][:AROUND]) for i, p in enumerate(pieces))
+        if size / len(body) >= NOVELTY and not any(a < e and s < b for a, b in held):
+            found.append((s, 3, e, False, round(size / len(body), 4)))
+    blocks = [(f[0], f[2]) for f in found]
+    held, end, m = held + blocks, 0, None
     for word in CONTEXT.finditer(text):
-        line_end = text.find("\n", word.end(), word.end() + REACH)
-        m = CANDIDATE.search(text, max(word.end(), end))
-        if m is None:
-            break
-        if m.start() > (line_end if line_end >= 0 else word.end() + REACH):
-            continue
-        s, e = m.span()
-        end = e
-        value = m.group().rstrip(".=,")
-        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-        if not mixed or "@" in value or any(a < e and s < b for a, b in held):
-            continue
-        share = marginal_bytes(value, text[max(0, s - AROUND) : s], text[e : e + AROUND]) / len(value)
-        if share >= NOVELTY:
-            found.append((s, 3, s + len(value), False, round(share, 4)))
+        at = max(word.end(), end)
+        while True:
+            if m is None or m.start() < at:
+                m = CANDIDATE.search(text, at)
+            if m is None:
+                return found
+            if m.start() > word.end() + REACH:
+                break
+            s, e = m.span()
+            at = end = e
+            value = m.group().rstrip(".=,")
+            mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+            if not mixed or "@" in value or any(a < e and s < b for a, b in held):
+                continue
+            share = marginal_bytes(value, text[max(0, s - AROUND) : s], text[e : e + AROUND]) / len(value)
+            if share >= NOVELTY:
+                found.append((s, 3, s + len(value), False, round(share, 4)))
     return found
 
 
@@ -127,7 +143,9 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     """``docs`` with the column ``out``: array of (kind, start, end, base, novelty).
 
     Kinds assign, access and hex are the fixed patterns (base is true); kind novel is what the
-    compressor adds where no base span lies, with its marginal bytes per character. Null and
+    compressor adds where no base span lies, with its marginal bytes per character: every string
+    that begins within 48 characters after a context word, over line ends too, is measured, and
+    the lines of a private key block as one. Null and
     empty texts give an empty array; a text is scanned whole, in time linear in its length; a
     column named like ``out`` is replaced; repeated rows are scanned alike.
     """
