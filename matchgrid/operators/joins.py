@@ -57,6 +57,14 @@ def prior_tournaments(matches: DataFrame, team_match: DataFrame, team: str) -> D
     return matches.select("fixture_id", "season", team).join(prior, team).filter("past < season")
 
 
+def prior_totals(matches: DataFrame, team_match: DataFrame, team: str) -> DataFrame:
+    """Number, goals and last season of the matches that the named team played in strictly earlier seasons."""
+    # earlier seasons in one row each, as in head_to_head
+    past = team_match.groupBy(F.col("team_name").alias(team), F.col("season").alias("past")).agg(F.count("*").alias("n"), F.sum("scored").alias("scored"))
+    prior = matches.select("fixture_id", "season", team).join(past, team).filter("past < season")
+    return prior.groupBy("fixture_id").agg(F.sum("n").alias("n"), F.sum("scored").alias("scored"), F.max("past").alias("last"))
+
+
 def head_to_head(matches: DataFrame) -> DataFrame:
     """Earlier meetings of each match's two teams in either role, seen from its home side."""
     h, a = F.col("home_team_name"), F.col("away_team_name")

@@ -166,6 +166,14 @@ def q10(v):
     return Q.check_inner_gap(some, "player_id", "season", 1996, 1999).select("player_id", F.explode("missing").alias("missing"))
 
 
+@query(
+    "q10_inner_gap_whole",
+    "SELECT player_id, unnest(list_filter([1996, 1997, 1998, 1999], lambda y: NOT list_contains(seen, y)))::INTEGER AS missing FROM (SELECT player_id, list(DISTINCT season) AS seen FROM player_season_raw GROUP BY player_id HAVING min(season) < 1996 AND max(season) > 1999)",
+)
+def q10_whole(v):
+    return Q.check_inner_gap(v.player_season_raw, "player_id", "season", 1996, 1999).select("player_id", F.explode("missing").alias("missing"))
+
+
 @query("q11_parts_total", "SELECT count(*) AS whole, count(*) AS parts, true AS ok FROM lineitem")
 def q11(v):
     return Q.check_parts_total(v.lineitem, *[v.lineitem.filter(c("l_returnflag") == x) for x in ("A", "N", "R")])
@@ -177,6 +185,12 @@ def q12(v):
     return out.select("player_id", F.array_join("parents", ",").alias("parents"))
 
 
+@query("q12_single_parent_whole", "SELECT player_id, string_agg(DISTINCT team_id::VARCHAR, ',' ORDER BY team_id::VARCHAR) AS parents FROM lineups GROUP BY player_id HAVING count(DISTINCT team_id) > 1")
+def q12_whole(v):
+    out = Q.check_single_parent(v.lineups.withColumn("team", c("team_id").cast("string")), "player_id", "team")
+    return out.select("player_id", F.array_join("parents", ",").alias("parents"))
+
+
 @query("q13_required", "SELECT team_id, count(*) AS n, count(*) FILTER (number IS NULL) AS empty_number, 0::BIGINT AS empty_player_name, count(*) >= 4 AND count(*) FILTER (number IS NULL) = 0 AS ok FROM squads GROUP BY team_id")
 def q13(v):
     return Q.check_required(v.squads, "team_id", ["number", "player_name"], 4)

@@ -201,6 +201,14 @@ def j05(v):
     return out.groupBy("fixture_id").agg(F.count("*").alias("n"), F.sum("scored").alias("scored"), F.max("past").alias("last"))
 
 
+@query(
+    "j05_prior_tournaments_whole",
+    f"WITH {TEAM_MATCH_SQL}, ts AS (SELECT team_name, season, count(*) AS n, sum(scored) AS scored FROM tm GROUP BY ALL) SELECT m.fixture_id, sum(t.n)::BIGINT AS n, sum(t.scored)::BIGINT AS scored, max(t.season) AS last FROM matches m JOIN ts t ON m.home_team_name = t.team_name AND t.season < m.season GROUP BY m.fixture_id",
+)
+def j05_whole(v):
+    return J.prior_totals(v.matches, team_match(v), "home_team_name")
+
+
 ORACLE_H2H = (
     "SELECT m.fixture_id, count(p.fixture_id) AS matches, count(*) FILTER (p.home_goals > p.away_goals AND p.home_team_name = m.home_team_name OR p.home_goals < p.away_goals AND p.away_team_name = m.home_team_name) AS team1_wins, "
     "count(*) FILTER (p.home_goals > p.away_goals AND p.home_team_name = m.away_team_name OR p.home_goals < p.away_goals AND p.away_team_name = m.away_team_name) AS team2_wins, count(*) FILTER (p.home_goals = p.away_goals) AS draws "
@@ -520,6 +528,11 @@ def u03(v):
     return J.only_in_left(v.squads.select("player_id"), v.lineups.filter("is_starter and season = 1995 and fixture_id % 40 = 0").select("player_id"))
 
 
+@query("u03_only_in_left_whole", "SELECT player_id FROM squads EXCEPT SELECT player_id FROM lineups WHERE is_starter")
+def u03_whole(v):
+    return J.only_in_left(v.squads.select("player_id"), v.lineups.filter("is_starter").select("player_id"))
+
+
 @query("u04_teams_of_season", "SELECT season, home_team_name AS team FROM matches UNION SELECT season, away_team_name FROM matches")
 def u04(v):
     return J.teams_of_season(v.matches)
