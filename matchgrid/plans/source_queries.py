@@ -103,18 +103,31 @@ def s14(v):
     return feeds.flatten_ohlc(j, "j", "page", start=F.timestamp_seconds(lit(1700001000))).select("pair", "time", "open", "volume", "trades")
 
 
+def chart_pages(fills):
+    """(symbol, page, j): the fills of a symbol as chart JSON, at most 500 ids to a page."""
+    point = F.struct((lit(1700000000) + c("event_id")).alias("x"), c("price").alias("y"))
+    return fills.groupBy("symbol", F.expr("event_id div 500").alias("page")).agg(F.to_json(F.struct(F.collect_list(point).alias("values"))).alias("j"))
+
+
 @query("s15_flatten_chart_json", "SELECT symbol, make_timestamp((1700000000 + event_id) * 1000000) AS time, price AS value FROM fills")
 def s15(v):
-    j = v.fills.groupBy("symbol").agg(F.to_json(F.struct(F.collect_list(F.struct((lit(1700000000) + c("event_id")).alias("x"), c("price").alias("y"))).alias("values"))).alias("j"))
-    return feeds.flatten_chart_json(j, "j", "symbol")
+    return feeds.flatten_chart_json(chart_pages(v.fills), "j", "symbol")
 
 
 @query("x02_grouped_apply", "SELECT symbol, event_id, price - min(price) OVER (PARTITION BY symbol) AS above_low FROM fills")
 def x02(v):
-    def above_low(p: pd.DataFrame) -> pd.DataFrame:
-        return p.assign(above_low=p["price"] - p["price"].min())[["symbol", "event_id", "above_low"]]
+    return above_low(v.fills)
+
+
+def above_low(fills):
+    """Fills with their price above the symbol's low: the low by a combined minimum, the function on pages of at most 50,000 ids."""
+
+    def apply(p: pd.DataFrame) -> pd.DataFrame:
+        return p.assign(above_low=p["price"] - p["low"])[["symbol", "event_id", "above_low"]]
 
-    return streams.grouped_apply(v.fills.select("symbol", "event_id", "price"), ["symbol"], above_low, "symbol bigint, event_id bigint, above_low double")
+    rows = fills.select("symbol", "event_id", "price", F.expr("event_id div 50000").alias("page"))
+    low = rows.groupBy(c("symbol").alias("s")).agg(F.min("price").alias("low"))
+    return streams.grouped_apply(rows.join(low, c("symbol").eqNullSafe(c("s"))), ["symbol", "page"], apply, "symbol bigint, event_id bigint, above_low double")
 
 
 def _streamed(v, build, mode):

@@ -85,3 +85,17 @@ def test_stream_equals_batch(spark, tmp_path):
     got = rows(spark.table("metrics_test").select("start", "symbol", "trades", "volume", "buy_volume", F.round("vwap", 9)))
     batch = L.trade_metrics(fills.withColumn("start", F.date_trunc("hour", "ts")), ["start", "symbol"])
     assert got == rows(batch.select("start", "symbol", "trades", "volume", "buy_volume", F.round("vwap", 9)))
+
+
+def test_whole_tables_go_through_bounded_groups(spark, monkeypatch):
+    from matchgrid.plans import source_queries as Q
+
+    fills = spark.range(120_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("symbol"), (F.col("id") % 7 + 1).cast("double").alias("price"))
+    pages = Q.chart_pages(fills).select(F.size(F.from_json("j", "values array<struct<x:bigint,y:double>>")["values"]).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert pages[0] <= 500 and pages[1] == 120_000
+    keys = []
+    applied = R.grouped_apply
+    monkeypatch.setattr(R, "grouped_apply", lambda df, by, fn, schema: keys.append(df.groupBy(*by).count().agg(F.max("count")).first()[0]) or applied(df, by, fn, schema))
+    got = Q.above_low(fills)
+    assert keys[0] <= 50_000 // 3 + 1
+    assert got.agg(F.count("*"), F.sum("above_low")).first() == fills.agg(F.count("*"), F.sum(F.col("price") - 1)).first()
