@@ -217,6 +217,52 @@ def test_top_k_against_brute_force(spark):
 # -- 8: mixing ---------------------------------------------------------------------------------
 
 
+def brute_force_top(x, ids, k):
+    out = []
+    for i in range(len(x)):
+        order = sorted((-int(s), int(c)) for s, c in zip(x @ x[i], ids, strict=True) if c != ids[i])
+        out.append([(-s, c) for s, c in order[:k]])
+    return out
+
+
+@pytest.mark.parametrize("fall", [1.0, 0.7])
+def test_threshold_search_stops_by_its_bound(fall):
+    """Where few dimensions carry the scores every query stops early; where all weigh alike none
+    can, and each meets every vector through the lists. The results are those of brute force."""
+    rng = np.random.default_rng(3)
+    x = np.floor(1024 * rng.normal(size=(1500, 32)) * fall ** np.arange(32)).astype(np.int64)
+    x[7] = x[8]
+    x[9] = 0
+    ids = np.arange(1500) * 3
+    qi, ci, score, met = topk.threshold_search(x[:40], ids[:40], ids, x, 10)
+    expected = brute_force_top(x, ids, 10)
+    for i in range(40):
+        mine = sorted(((int(s), int(ids[c])) for s, c in zip(score[qi == i], ci[qi == i], strict=True)), key=lambda t: (-t[0], t[1]))
+        assert mine == expected[i]
+    stopped = float(np.mean(np.delete(met, 9) < len(x)))
+    print(f"components fall by {fall}: {stopped:.2f} of the queries stop by the bound, {met.mean() / len(x):.2f} of the vectors met")
+    assert stopped == 1.0 if fall < 1 else met.max() <= len(x)
+
+
+def test_unmet_limit_is_the_largest_inner_product():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        w, last, norm = rng.random(5) + 0.01, rng.normal(size=5), 1 + rng.random()
+        if np.linalg.norm(np.minimum(last, 0)) > norm:
+            continue
+        limit = topk.unmet_limit(w, last, norm)
+        y = np.minimum(rng.normal(size=(4000, 5)) * norm, last)
+        y = y[np.linalg.norm(y, axis=1) <= norm]
+        assert (y @ w).max(initial=-9e9) <= limit + 1e-9 and limit <= w @ last + 1e-9
+
+
+def test_top_k_of_unequal_lengths_and_repeated_ids(spark):
+    rows = [(100, [1.0, 2.0]), (100, [1.0]), (1, [3.0, 1.0, 9.0]), (2, []), (2, [1.0, 1.0]), (None, [9.0]), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 100, k=2, scale=1).orderBy("query_id", "rank").collect()]
+    assert len(got) == 2 and {g[0] for g in got} == {100} and all(g[2] in (1, 2) for g in got)
+
+
 def test_mix(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(1, 60)) if i % 7 else None, ["a", "b", None, "hot"][min(i % 9, 3)]) for i in range(400)]
