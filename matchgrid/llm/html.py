@@ -13,6 +13,7 @@ import html
 import math
 import re
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,14 +22,17 @@ from pyspark.sql import types as T
 
 from matchgrid.llm.common import put
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-HINTED = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"']*")
+HINTED = re.compile(r"(?<![\w-])(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Element names with a fixed role.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title select option datalist textarea button map".split())
+SKIPPED = frozenset("script style noscript template svg iframe object canvas audio video head title select option datalist textarea map".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt mstyle msub msup mtext nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+LINKS = frozenset("a button".split())  # what stands in them speaks against content
 NEVER = frozenset("nav footer aside form menu dialog".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tr td th ul".split())
 SCOPED = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
@@ -37,9 +41,14 @@ BOILER = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments comentarios commentlist cookie cookies copyright consent disqus dialog disclaimer "
     "discussion footer form gdpr header hidden login masthead menu message meta modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion "
     "recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar warning widget alert navbox "
-    "complementary contentinfo site-header site-footer".split()
+    "complementary contentinfo".split()
 )
-CONTENT = frozenset("article articlebody content entry entry-content main maincontent post post-content story text".split())
+CONTENT = frozenset("article articlebody content entry main maincontent post story text".split())
+# Words that make a class name speak of a state, such as has-sidebar or no-comments.
+STATES = frozenset("allow allowed closed disabled enabled free has hide is no not off on open show supports with without".split())
+# A heading of content, such as article-header, is content.
+HEADINGS = frozenset("header heading headline title".split())
+HEADED = frozenset("article content entry post story".split())
 
 POSITIVE = frozenset({"article", "main", "!content"})
 
@@ -49,30 +58,105 @@ WEIGHTS = {"bias": -0.4, "article": 2.6, "main": 1.6, "boiler": -6.0, "never": -
 SMOOTH = 0.9
 
 
+class Node:
+    """An element that may hold blocks."""
+
+    __slots__ = ("depth", "hints", "parent", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, hints: frozenset):
+        self.tag, self.parent, self.hints = tag, parent, hints
+        self.depth = parent.depth + 1 if parent else 0
+
+
 class Block:
-    __slots__ = ("hints", "linked", "parts", "path", "tag", "text")
+    __slots__ = ("linked", "node", "parts", "text")
+
+    def __init__(self, node: Node):
+        self.node, self.parts, self.linked = node, [], 0
+
+    @property
+    def tag(self) -> str:
+        return self.node.tag
+
+    @property
+    def hints(self) -> frozenset:
+        return self.node.hints
 
-    def __init__(self, path, tag, hints):
-        self.path, self.tag, self.hints, self.parts, self.linked = path, tag, hints, [], 0
+
+def tokens(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """(text before, is an end tag, name, attributes, end) of each tag; the name of what follows
+    the last one is empty.
+
+    A > between quotes doesn't end a tag. A quote that nothing closes is a character like others,
+    and behind a tag that never ends no quotes count, so that no place is read twice. The caller
+    sends the position to go on from.
+    """
+    at, start, size = 0, 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'>"}
+    quotes = True
+    while True:
+        start = page.find("<", start)
+        if start < 0 or start > last[">"] and not page.startswith("<!--", start):
+            yield page[at:], False, "", "", size
+            return
+        end, name, close = -1, "", False
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = size if end < 0 else end + 3
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            end = page.find(">", start) + 1
+        else:
+            close = page[start + 1 : start + 2] == "/"
+            m = NAME.match(page, start + 1 + close)
+            if m is None:
+                start += 1
+                continue
+            name, k = m.group().lower(), m.end()
+            while quotes:
+                k = PLAIN.match(page, k).end()
+                if k >= size or page[k] == ">":
+                    break
+                k = page.find(page[k], k + 1) + 1 if k < last[page[k]] else k + 1
+            if k >= size:
+                quotes = False
+            end = (k if quotes else page.find(">", m.end())) + 1
+        attrs = page[m.end() : end - 1] if name else ""
+        go_on = yield page[at:start], close, name, attrs, end
+        at = start = end if go_on is None else go_on
+
+
+def named_role(value: str) -> str:
+    """What the names in a class, id or role say: "!boiler", "!content" or nothing."""
+    role = ""
+    for name in value.split():
+        words = {w.lower() for w in PART.findall(name)}
+        if words & STATES or (words & HEADINGS and words & HEADED and not (words - HEADINGS) & BOILER):
+            continue
+        if words & BOILER:
+            return "!boiler"
+        if words & CONTENT:
+            role = "!content"
+    return role
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; lenient about tags that are missing or crossed."""
     out: list[Block] = []
-    stack: list[tuple[str, int, frozenset]] = []  # (tag, node, hints of it and all around it)
-    nodes = skipped = links = 0
+    stack: list[tuple[str, Node]] = []  # (tag, the element that blocks directly in it belong to)
+    where: dict[str, list[int]] = {}  # places of each tag in the stack
+    outer: list[int] = []  # places of the elements that aren't inline
+    root = Node("", None, frozenset())
+    skipped = links = 0
     current: Block | None = None
-    at = 0
 
     def text(s: str) -> None:
         nonlocal current
         if not s or skipped:
             return
         if current is None:
-            if not s.strip():
+            if s.isspace():
                 return
-            own = [x for x in stack if x[0] not in INLINE]
-            current = Block([x[1] for x in own], own[-1][0] if own else "", own[-1][2] if own else frozenset())
+            current = Block(stack[-1][1] if stack else root)
             out.append(current)
         current.parts.append(s)
         if links:
@@ -80,90 +164,84 @@ def blocks(page: str) -> list[Block]:
 
     def pop(k: int) -> None:
         nonlocal skipped, links, current
-        for tag, _, _ in stack[k:]:
+        for tag, _ in reversed(stack[k:]):
+            where[tag].pop()
             skipped -= tag in SKIPPED
-            links -= tag == "a"
+            links -= tag in LINKS
             if tag not in INLINE:
+                outer.pop()
                 current = None
         del stack[k:]
 
-    size = len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
+    def place(tag: str) -> int:
+        """Of the innermost open element of a name; -1 for none."""
+        found = where.get(tag)
+        return found[-1] if found else -1
+
+    scan = tokens(page)
+    go_on = None
+    while True:
+        try:
+            before, close, tag, attrs, end = scan.send(go_on)
+        except StopIteration:
             break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m.group(2) or "").lower()
+        go_on = None
+        text(before)
         if not tag:
             continue
-        if m.group(1):
-            if tag not in VOID:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        pop(k)
-                        break
-                    if tag in INLINE and stack[k][0] not in INLINE:
-                        break  # an inline end tag doesn't end the block around it
-            elif tag == "br":
+        if close:
+            if tag == "br":
                 text(" ")
+            elif (k := place(tag)) >= 0 and (tag not in INLINE or not outer or k > outer[-1]):
+                pop(k)  # an inline end tag doesn't end the block around it
             continue
         if tag in VOID:
-            if tag == "br":
-                text(" ") if current is not None else None
+            if tag == "br" and current is not None:
+                text(" ")
             elif tag == "hr":
                 current = None
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if tag in CLOSES_P and outer and stack[outer[-1]][0] == "p":
+            pop(outer[-1])
         if tag in SCOPED:
             same, scope = SCOPED[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in same.split():
-                    pop(k)
-                    break
-                if stack[k][0] in scope:
-                    break
-        nodes += 1
-        around = stack[-1][2] if stack else frozenset()
+            k = max(place(x) for x in same.split())
+            if k > max(place(x) for x in scope):
+                pop(k)
+        around = stack[-1][1] if stack else root
+        hints = around.hints
         mine = {tag} if tag in NEVER or tag in ("article", "main", "header") else set()
-        attrs = m.group(3)
         if attrs and attrs != "/" and tag not in ("html", "body"):
             for name, value in HINTED.findall(attrs):
-                name, value = name.lower(), value.strip("\"'").lower()
+                name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id", "role", "itemprop", "aria-label"):
-                    words = re.findall(r"[a-z]+", value)
-                    if any(w in BOILER for w in words):
-                        mine.add("!boiler")
-                    elif any(w in CONTENT for w in words) and not mine & {"article"}:
-                        mine.add("!content")
-                elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                    role = named_role(value)
+                    if role == "!boiler" or role and "article" not in mine:
+                        mine.add(role)
+                elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     mine.add("!boiler")
-        if tag == "header" and not {"article", "main"} & around:
+        if tag == "header" and not {"article", "main", "!content"} & hints:
             mine.add("!boiler")
         if "!boiler" in mine or mine & NEVER:
-            around -= POSITIVE  # the nearer element counts
+            hints = hints - POSITIVE  # the nearer element counts
             mine -= POSITIVE
-        elif mine & {"article", "main"} and not around & NEVER:
-            around -= {"!boiler"}
-        hints = around | mine if mine else around
+        elif mine & {"article", "main"} and not hints & NEVER:
+            hints = hints - {"!boiler"}
         if attrs.endswith("/") and tag not in RAW and tag in SKIPPED:
             continue
-        stack.append((tag, nodes, hints))
-        links += tag == "a"
-        if tag not in INLINE:
+        if tag in INLINE:
+            node = Node(around.tag, around.parent, hints | mine) if mine - {"!content"} else around
+        else:
+            node = Node(tag, around, hints | mine if mine else hints)
+            outer.append(len(stack))
             current = None
-        if tag in SKIPPED:
-            skipped += 1
+        where.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+        links += tag in LINKS
+        skipped += tag in SKIPPED
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.start() if end else size
+            m = re.compile(rf"</{tag}(?![\w-])", re.I).search(page, end)
+            go_on = m.start() if m else len(page)
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
     return [b for b in out if b.text]
@@ -172,7 +250,7 @@ def blocks(page: str) -> list[Block]:
 def log_odds(b: Block) -> float:
     """How much speaks for content, as log-odds."""
     w, n = WEIGHTS, len(b.text)
-    score = w["bias"] + w["words"] * min(math.log1p(b.text.count(" ") + 1), 5) + w["stops"] * min(len(re.findall(r"[.!?;,:]", b.text[:2000])), 4)
+    score = w["bias"] + w["words"] * min(math.log1p(b.text.count(" ") + 1), 5) + w["stops"] * min(sum(map(b.text.count, ".!?;,:")), 4)
     score += w["links"] * min(1.0, b.linked / n)
     score += w["article"] if "article" in b.hints else 0
     score += w["main"] if b.hints & {"main", "!content"} else 0
@@ -248,22 +326,29 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
                 a = to[path.pop() ^ 1]
 
 
+def apart(a: Node | None, b: Node | None) -> int:
+    """Steps between two elements in the tree."""
+    steps = 0
+    while a is not b:
+        if b is None or a is not None and a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
 def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     """Edges between neighbours, and between each block and the one before it of the same parent."""
     edges, last = [], {}
     for i, b in enumerate(found):
-        parent = b.path[-2] if len(b.path) > 1 else -1
+        parent = b.node.parent
         j = last.get(parent)
         if i:
-            a = found[i - 1].path
-            common = 0
-            for x, y in zip(a, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            apart = len(a) + len(b.path) - 2 * common
-            kin = (found[i - 1].hints & NEVER == b.hints & NEVER) and (("!boiler" in b.hints) == ("!boiler" in found[i - 1].hints))
-            edges.append((i - 1, i, SMOOTH * 0.5 ** max(0, apart - 2) * (1.0 if kin else 0.1)))
+            a = found[i - 1]
+            kin = (a.hints & NEVER == b.hints & NEVER) and (("!boiler" in b.hints) == ("!boiler" in a.hints))
+            # what was closed and opened between two neighbours is climbed once
+            edges.append((i - 1, i, SMOOTH * 0.5 ** min(60, max(0, apart(a.node, b.node) - 2)) * (1.0 if kin else 0.1)))
         if j is not None and j != i - 1:
             edges.append((j, i, SMOOTH * 0.5))
         last[parent] = i

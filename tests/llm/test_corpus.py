@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -32,6 +33,57 @@ def test_main_text():
     assert html.main_text(PAGE) == "Title & more First para of text, with a link. Second one; it goes on."
 
 
+BODY = "<p>The first paragraph has a few words, and some commas, in it.</p><p>Then there is a second one; it goes on, as such do.</p>"
+TEXT = "The first paragraph has a few words, and some commas, in it. Then there is a second one; it goes on, as such do."
+AROUND = "<nav><a href=/a>Home</a> <a href=/b>News</a></nav>{}<footer><p>All rights reserved, as ever, by us.</p></footer>"
+LAYOUTS = [
+    ("<article>{}</article>", ""),
+    ("<main>{}</main>", ""),
+    ("<div>{}</div>", ""),
+    ("<div class='content has-sidebar'>{}</div>", ""),
+    ("<div class='post no-comments'>{}</div>", ""),
+    ("<div class='entry content-with-related'>{}</div>", ""),
+    ("<div class='story share-enabled'>{}</div>", ""),
+    ("<div id='articleBody' data-class='ad'>{}</div>", ""),
+    ("<div class='entry-content'>{}</div>", "<div class='entry-comments'><p>I do not agree with this, not at all, and say so.</p></div>"),
+    ("<section role='main'>{}</section>", "<div role='complementary'><p>Elsewhere, there are other things, all to be read.</p></div>"),
+    ("<article>{}</article>", "<section id='comments'><p>A reader writes, at some length, that this is so.</p></section>"),
+    ("<article>{}<div class='newsletterSignup'><p>Sign up for our letter, it is free, and weekly.</p></div></article>", ""),
+    ("<div class='cookie-notice'><p>We use cookies, as all do, and you agree.</p></div><main>{}</main>", ""),
+    ("<article>{}</article>", "<aside><p>Read more about this, and that, over there.</p></aside>"),
+    ("<article>{}</article>", "<form><p>Your name, please, and your address.</p><input><button>Send</button></form>"),
+    ("<div style='display: none'><p>Nobody sees this, as it is hidden, at all.</p></div><article>{}</article>", ""),
+    ("<ul class='menu'><li><a href=/1>One</a><li><a href=/2>Two</a><li><a href=/3>Three</a></ul><div class=text>{}</div>", ""),
+    ("<article>{}<noscript><p>Please turn on scripts, now.</p></noscript><style>p {{ color: red }}</style></article>", ""),
+    ("<div class='sidebar'><article>{}</article></div>", ""),
+    ("<div class=ad>Buy now, pay later, or never!</div><article>{}</article>", "<div class='promo'>Half price, today only, for you.</div>"),
+]
+
+
+@pytest.mark.parametrize(("inside", "behind"), LAYOUTS)
+def test_layouts(inside, behind):
+    assert html.main_text("<body>" + AROUND.format(inside.format(BODY) + behind) + "</body>") == TEXT
+
+
+def test_headline_and_inline_parts_of_an_article_stay():
+    page = f"<article><div class='article-header'><h1>The headline</h1></div>{BODY}<p>Take <math><mi>x</mi></math>, press <button>Go</button>, and wait.</p></article>"
+    assert html.main_text(page) == f"The headline {TEXT} Take x, press Go, and wait."
+
+
+@pytest.mark.parametrize(
+    "page", ['<a "' * 250_000, "<div>" * 200_000, "<div>x" * 160_000, '<a ">" ' * 150_000, "<i><div>" + "<b>" * 120_000 + "</i>" * 120_000, "<" * 1_000_000 + ">", "<div>" * 60_000 + "</section>" * 60_000]
+)
+def test_a_megabyte_of_broken_markup_takes_linear_time(page):
+    began = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - began < 15
+
+
+def test_very_long_pages_stay_whole():
+    page = "<article>" + "<p>A sentence with some words, and a stop.</p>" * 20_000 + "</article>"
+    assert html.main_text(page) == " ".join(["A sentence with some words, and a stop."] * 20_000)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<nav><a>x</a></nav>", "<!-- only -->", "<script>x</script>", "<p"])
 def test_pages_without_text(page):
     assert html.main_text(page) in ("", "<p")
