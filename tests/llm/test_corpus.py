@@ -572,3 +572,49 @@ def test_leaks_reach_the_target_recall(spark):
         assert got[3000] == got[3001] == set()
         assert got[3002] == {0}
     assert decontam.find_leaks(df, bench.limit(0)).filter(F.size("leaks") > 0).count() == 0
+
+
+@pytest.mark.parametrize("words", [2, 4, 5, 6, 8, 15, 40])
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_recall_of_edited_items_against_brute_force(words, share):
+    """Of the documents that brute-force edit distance says hold an item, as many are found."""
+    rng, noise = random.Random(words), np.random.default_rng(words)
+    items = [prose(rng, words) for _ in range(80)]
+    index = decontam.Index.of(list(range(80)), items)
+    texts = [f"{prose(rng, 25)} {decontam.edited(t, int(share * len(t)), noise)} {prose(rng, 25)}" for t in items]
+    limits = [int(0.2 * len(t)) for t in items]
+    true = [(i, decontam.best_distance(items[i], decontam.normal(texts[i]), limits[i])) for i in range(80)]
+    true = [(i, d) for i, d in true if d <= limits[i]]
+    got = decontam.leaks(texts, index)
+    assert len(true) == 80
+    assert np.mean([(i, d) in got[i] for i, d in true]) >= 0.9
+    assert all(decontam.best_distance(items[i], decontam.normal(t), limits[i]) <= d <= limits[i] for t, found in zip(texts, got, strict=True) for i, d in found)
+
+
+def test_segments_lose_no_candidate():
+    rng, noise = random.Random(15), np.random.default_rng(15)
+    items = [prose(rng, rng.randrange(1, 30)) for _ in range(60)]
+    index = decontam.Index.of(list(range(60)), items)
+    before = [prose(rng, 9) for _ in items]
+    texts = [f"{b} {decontam.edited(t, rng.randrange(int(0.35 * len(t)) + 1), noise)} {prose(rng, 9)}" for b, t in zip(before, items, strict=True)]
+    # the place is right but for the width of a bin
+    rows = np.array([[i, i, len(before[i]) + 1 + shift] for i in range(60) for shift in (-3, 0, 3)])
+    kept = decontam.plausible(texts, index, rows)
+    for (t, i, place), k in zip(rows.tolist(), kept.tolist(), strict=True):
+        limit = int(0.2 * len(items[i]))
+        slack = limit + max(4, len(items[i]) // 8)
+        near = texts[t][max(0, place - slack) : place + len(items[i]) + slack]
+        assert k or decontam.best_distance(items[i], near, limit) > limit
+
+
+def test_leak_edge_cases(spark):
+    rng = random.Random(16)
+    item = prose(rng, 20)
+    docs = [(1, item, "x"), (1, item, "x"), (None, item, "y"), (2, prose(rng, 90_000) + "\n" + item + " " + prose(rng, 90_000), None), (3, "we say ok then", None), (4, "okay", None), (5, None, None), (6, "", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, leaks string")
+    bench = spark.createDataFrame([(7, item, 1), (8, item, 2), (9, "OK", 3), (None, item, 4), (10, None, 5)], "item_id long, text string, doc_id long")
+    got = decontam.find_leaks(df, bench).collect()
+    assert [f.name for f in decontam.find_leaks(df, bench).schema] == ["doc_id", "text", "leaks"]
+    found = sorted((str(r["doc_id"]), [x["item_id"] for x in r["leaks"]]) for r in got)
+    assert found == [("1", [7, 8]), ("1", [7, 8]), ("2", [7, 8]), ("3", [9]), ("4", []), ("5", []), ("6", []), ("None", [7, 8])]
+    assert decontam.find_leaks(df.limit(0), bench).count() == 0
