@@ -19,12 +19,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def persist_plan(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a checkpoint in the folder that all executors share.
 
-    The folder is the one in spark.checkpoint.dir. Only a session that names none (tests, a
-    notebook) gets a folder of its own.
+    The folder is the one in spark.checkpoint.dir. A session that names none gets a folder of its
+    own only where driver and executors are one process or share the machine; on a cluster it is
+    an error, as a folder of one machine is lost with it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "matchgrid-checkpoints"))
     return df.checkpoint()
 
@@ -45,3 +48,14 @@ def put(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     taken = {name.lower() for name in columns}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
     return df.select(*kept, *[c.alias(name) for name, c in columns.items()])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it from being a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

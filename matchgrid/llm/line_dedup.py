@@ -4,7 +4,10 @@ A line is dropped when an earlier line of the corpus is equal to it or one edit
 edit apart are found by a segment-partition join: a line is split into threshold + 1 = 2
 segments, of which one edit leaves one whole. The segments index a line by its length; a line
 probes the index of its own length and of the next shorter one with the substrings that the
-other's segments would have there. Candidates are verified by a banded bit-parallel edit distance.
+other's segments would have there. What an index entry does not fix of a line, its rest, is one
+edit from the others' rests in turn, so an entry of many lines is split by the segments of the
+rests, again and again, until few lines or one character are left. Candidates are verified by a
+banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -12,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import persist_plan, put
+from matchgrid.llm.common import persist_plan, put, unused
 
 MAX_EDITS = 1
 #: Shorter lines (after trimming) are left alone.
 MIN_CHARS = 20
-#: Index entries with more lines than this are split further before lines are paired.
-CROWDED = 32
+#: Lines of an index entry that are paired; an entry of more is split by the segments of the rests,
+#: of which there are so many.
+PAIRED = 32
+PARTS = 4
 #: A side of this many rows of two hashes (16 MB) at most is broadcast; a larger one is shuffled.
 SMALL_ROWS = 1_000_000
 
@@ -93,61 +98,101 @@ def with_edit_distance(df: DataFrame, a: Column, b: Column, k: int, out: str) ->
 
 
 def _matching(left: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``left`` whose hashes are in the checkpointed ``ids``; broadcast only if small."""
+    """The rows of ``left`` that are the first of a line in the checkpointed ``ids``.
+
+    Small ids are broadcast. Else the join goes by line and place, so that the many rows of a
+    common line don't meet.
+    """
     small = ids.count() <= SMALL_ROWS
-    return left.join(F.broadcast(ids) if small else ids, ["h1", "h2"], "left_semi")
+    return left.join(F.broadcast(ids) if small else ids, ["h1", "h2", "d", "th", "pos"], "left_semi")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """``rows`` of keys that a line and another line have, with the lines of the key in ``size``.
+
+    The lines of a key are counted before they are shuffled, and never sorted or gathered.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.count_if(~F.col("probe")).alias("own"))
+    return rows.join(sizes.filter("size > 1 and own > 0").drop("own"), "key")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(h1, h2, g1, g2): two lines that one key may join. ``rows`` hold few lines of each key."""
+    a = rows.filter("not probe").select("key", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    b = rows.select("key", "h1", "h2", "probe")
+    return b.join(a, "key").filter("probe or (h1, h2) > (g1, g2)").filter("h1 <> g1 or h2 <> g2").select("h1", "h2", "g1", "g2")
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Rows (key, h1, h2, probe, rest) by PARTS parts of the rest: each part in turn is left out
+    and stays the rest, and what stands around it joins the key. The rest of a probing line is
+    one character longer, wherever that is."""
+    extra = F.col("probe").cast("int")
+    size = F.length("rest") - extra
+    parts = []
+    for t in range(PARTS):
+        low, high = F.floor(size * t / PARTS).cast("int"), F.floor(size * (t + 1) / PARTS).cast("int")
+        before, behind = F.left("rest", low), F.right("rest", size - high)
+        parts.append(F.struct(F.xxhash64("key", F.lit(t), before, F.lit("|"), behind).alias("key"), F.substr(F.col("rest"), low + 1, high - low + extra).alias("rest")))
+    return rows.select("h1", "h2", "probe", F.explode(F.array(*parts)).alias("p")).select("p.key", "h1", "h2", "probe", "p.rest")
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """(h1, h2, g1, g2) of lines that agree but for a rest of at most one character.
+
+    All lines of a key are one edit apart: each is paired with the earliest. A probing line has
+    one character more than the line whose rest it has without it.
+    """
+    clique = rows.filter("not probe").groupBy("key").agg(F.min(F.struct("place", "h1", "h2")).alias("c"))
+    own = rows.filter("not probe").join(clique, "key").select("h1", "h2", F.col("c.h1").alias("g1"), F.col("c.h2").alias("g2"))
+    longer = rows.filter("probe").select("key", "h1", "h2", F.explode(F.array_distinct(F.array(F.substr(F.col("rest"), F.lit(2)), F.left("rest", F.length("rest") - 1)))).alias("rest"))
+    shorter = rows.filter("not probe").select("key", "rest", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    return own.filter("h1 <> g1 or h2 <> g2").union(longer.join(shorter, ["key", "rest"]).select("h1", "h2", "g1", "g2"))
 
 
 def near_links(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2, g1, g2): hashes of a line and of an earlier line one edit away.
 
-    Every line has at least one earlier line here if it has any one edit away. Lines of one index
-    entry are paired only where they are few. A crowded entry is split by what one edit can
-    leave of the other half: lines that agree but for one place form a clique, of which all are
-    linked with the earliest; a shorter line is linked with the longer ones it is left of.
+    Every line has at least one earlier line here if it has any one edit away. The lines of an
+    index entry are paired where they are few; an entry of many is split by parts of the rests,
+    which get shorter from round to round: all rounds together shuffle a line's characters as
+    often as it has such entries in a round, at most once for each halving of its length. Where
+    one character is left, each line is paired with one other.
     """
-    keyed = distinct.select("h1", "h2", F.posexplode(F.array("k1", "k2", "p1", "p2")).alias("i", "key")).select("h1", "h2", "key", (F.col("i") >= 2).alias("probe"))
-    entry = Window.partitionBy("key")
-    shared = keyed.withColumn("size", F.count("*").over(entry)).filter("size > 1")
-    shared = persist_plan(shared.withColumn("own", F.count_if(~F.col("probe")).over(entry)).filter("own > 0"))
-    ids = persist_plan(shared.select("h1", "h2").distinct())
-    hashed = lines.select("d", "th", "pos", "n", *_hashes())
-    texts = _matching(hashed, ids).groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "pos", "n")).alias("r"))
+    keyed = distinct.select("h1", "h2", F.posexplode(F.array("k1", "k2", "p1", "p2")).alias("i", "key")).select("h1", "h2", "key", "i", (F.col("i") >= 2).alias("probe"))
+    shared = persist_plan(_shared(keyed))
+    met = shared.select("h1", "h2").distinct()
+    ids = persist_plan(distinct.select("h1", "h2", "d", "th", "pos").join(met, ["h1", "h2"], "left_semi"))
+    texts = _matching(lines.select("d", "th", "pos", "n", *_hashes()), ids).groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "pos", "n")).alias("r"))
     texts = persist_plan(texts)
-    few, crowd = shared.filter(F.col("size") <= CROWDED), shared.filter(F.col("size") > CROWDED)
-    a = few.filter("not probe").select("key", "h1", "h2")
-    b = few.select("key", F.col("h1").alias("g1"), F.col("h2").alias("g2"), "probe")
-    pairs = a.join(b, "key").filter("probe or (h1, h2) > (g1, g2)").filter("h1 <> g1 or h2 <> g2").select("h1", "h2", "g1", "g2").distinct()
+    found = [_pairs(shared.filter(F.col("size") <= PAIRED))]
+    crowd = shared.filter(F.col("size") > PAIRED)
+    if not crowd.isEmpty():
+        n, first = F.col("r.n"), F.col("i") % 2 == 0  # the left segment is shared, else the right one
+        extra = F.col("probe").cast("int")
+        half = F.floor((F.length(n) - extra) / 2).cast("int")
+        rest = F.when(first, F.substr(n, half + 1)).otherwise(F.left(n, half + extra))
+        crowd = crowd.join(texts, ["h1", "h2"]).select("key", "h1", "h2", "probe", rest.alias("rest"))
+        while True:
+            level = persist_plan(_shared(_split(crowd)))
+            few = F.col("size") <= PAIRED
+            last = F.length("rest") - F.col("probe").cast("int") <= 1
+            found.append(_pairs(level.filter(few)))
+            ends = level.filter(~few & last).join(texts.select("h1", "h2", F.struct("r.d", "r.th", "r.pos").alias("place")), ["h1", "h2"])
+            found.append(_stars(ends))
+            crowd = level.filter(~few & ~last).select("key", "h1", "h2", "probe", "rest")
+            if crowd.isEmpty():
+                break
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    pairs = pairs.distinct()
     both = pairs.join(texts.withColumnRenamed("r", "ra"), ["h1", "h2"]).join(texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("r").alias("rb")), ["g1", "g2"])
-    stars = _crowded(crowd, texts)
-    found = both.select("h1", "h2", "ra", "g1", "g2", "rb").union(stars)
-    scored = with_edit_distance(persist_plan(found), F.col("ra.n"), F.col("rb.n"), MAX_EDITS, "edits")
+    scored = with_edit_distance(persist_plan(both), F.col("ra.n"), F.col("rb.n"), MAX_EDITS, "edits")
     # written out before it is filtered: a filter would be pushed below the split characters
-    found = persist_plan(scored.select("h1", "h2", "g1", "g2", (F.col("ra") > F.col("rb")).alias("later"), "edits")).filter(F.col("edits") <= MAX_EDITS)
+    near = persist_plan(scored.select("h1", "h2", "g1", "g2", (F.col("ra") > F.col("rb")).alias("later"), "edits")).filter(F.col("edits") <= MAX_EDITS)
     later = F.col("later")
-    return found.select(*[F.when(later, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("h1", "g1"), ("h2", "g2"))]).distinct()
-
-
-def _crowded(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (h1, h2, ra, g1, g2, rb) of crowded entries, linear in their lines."""
-    t = crowd.select("h1", "h2", "key", "probe").join(texts, ["h1", "h2"])
-    n = F.col("r.n")
-    length = F.length(n) - F.col("probe").cast("int")
-    half = F.floor(length / 2).cast("int")
-    first = F.col("key") == F.xxhash64(F.lit(1), length, F.left(n, half))  # which half is shared
-    rest = F.when(first, F.substr(n, half + 1)).otherwise(F.left(n, F.length(n) - (length - half)))
-    t = t.select("h1", "h2", "r", "key", "probe", rest.alias("rest"))
-    place = F.explode(F.sequence(F.lit(0), F.length("rest"))).alias("i")
-    t = t.select("*", place).filter("not probe or i > 0")
-    i = F.col("i")
-    without = F.concat(F.left("rest", i - 1), F.substr(F.col("rest"), i + 1))
-    # 0: the half as it is, for an index line, or with one character left out, for a probing one
-    sub = F.when(F.col("probe"), F.xxhash64("key", F.lit(0), without)).when(i == 0, F.xxhash64("key", F.lit(0), "rest")).otherwise(F.xxhash64("key", i, F.left("rest", i - 1), F.lit("|"), F.substr(F.col("rest"), i + 1)))
-    t = t.select("h1", "h2", "r", "probe", (F.col("probe") | (i == 0)).alias("whole"), sub.alias("sub"))
-    # the centre: the index line where there are probing lines, else the earliest of the clique
-    centre = t.filter("not probe").groupBy("sub").agg(F.min(F.struct("r", F.col("h1").alias("g1"), F.col("h2").alias("g2"))).alias("c"))
-    joined = t.join(centre, "sub").filter("h1 <> c.g1 or h2 <> c.g2")
-    return joined.select("h1", "h2", F.col("r").alias("ra"), "c.g1", "c.g2", F.col("c.r").alias("rb")).dropDuplicates(["h1", "h2", "g1", "g2"])
+    return near.select(*[F.when(later, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("h1", "g1"), ("h2", "g2"))]).distinct()
 
 
 def _hashes() -> tuple[Column, Column]:
@@ -173,22 +218,22 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     near = near_links(lines, distinct)
     kept = distinct.select("h1", "h2", "d", "th", "pos").join(near, ["h1", "h2"], "left_anti")
     kept = kept.groupBy("d", "th").agg(F.collect_list("pos").alias("_kept"))
-    keyed_docs = docs.withColumn("_th", F.xxhash64(text))
+    key, body, parts, kept_at, stay_at = unused(docs, "_id", "_th", "_lines", "_kept", "_stay")
     # a null id meets no other through =, so the key says which it is
-    keyed_docs = keyed_docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
-    kept = kept.select(F.coalesce(F.col("d").cast("string"), F.lit("null")).alias("_id"), F.col("th").alias("_th"), "_kept")
-    joined = keyed_docs.join(kept, ["_id", "_th"], "left").withColumn("_lines", F.split(F.col(text), "\n", -1))
-    everything = F.sequence(F.lit(0), F.size("_lines") - 1)
-    short = F.filter(everything, lambda i: F.length(normal(F.get("_lines", i))) < MIN_CHARS)
-    stay = F.array_sort(F.array_union(short, F.coalesce("_kept", F.array().cast("array<int>"))))
-    joined = joined.withColumn("_stay", F.when(F.col(text).isNotNull(), stay))
-    n_lines = F.when(F.col(text).isNotNull(), F.size("_lines")).otherwise(0)
+    keyed_docs = docs.select("*", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias(key), F.xxhash64(text).alias(body))
+    kept = kept.select(F.coalesce(F.col("d").cast("string"), F.lit("null")).alias(key), F.col("th").alias(body), F.col("_kept").alias(kept_at))
+    joined = keyed_docs.join(kept, [key, body], "left").withColumn(parts, F.split(F.col(text), "\n", -1))
+    everything = F.sequence(F.lit(0), F.size(parts) - 1)
+    short = F.filter(everything, lambda i: F.length(normal(F.get(parts, i))) < MIN_CHARS)
+    stay = F.array_sort(F.array_union(short, F.coalesce(kept_at, F.array().cast("array<int>"))))
+    joined = joined.withColumn(stay_at, F.when(F.col(text).isNotNull(), stay))
+    n_lines = F.when(F.col(text).isNotNull(), F.size(parts)).otherwise(0)
     out = put(
         joined,
         {
-            text: F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n"),
+            text: F.array_join(F.transform(stay_at, lambda i: F.get(parts, i)), "\n"),
             "n_lines": n_lines.cast("long"),
-            "n_dropped": (n_lines - F.coalesce(F.size("_stay"), F.lit(0))).cast("long"),
+            "n_dropped": (n_lines - F.coalesce(F.size(stay_at), F.lit(0))).cast("long"),
         },
     )
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]

@@ -406,9 +406,9 @@ def brute_lines(docs):
     return out
 
 
-@pytest.mark.parametrize("crowded", [2, 32])
-def test_lines_against_brute_force(spark, monkeypatch, crowded):
-    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+@pytest.mark.parametrize("paired", [1, 2, 32])
+def test_lines_against_brute_force(spark, monkeypatch, paired):
+    monkeypatch.setattr(line_dedup, "PAIRED", paired)
     rng = random.Random(10)
     base = [prose(rng, 5) for _ in range(6)]
     docs = {}
@@ -434,6 +434,33 @@ def test_lines_edge_cases(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_long_lines_of_one_half_are_split_without_carrying_them(spark):
+    """40 lines of 20,000 characters share a half; what is shuffled stays a few times the text."""
+    rng = random.Random(17)
+    half, other = prose(rng, 1500)[:10_000], prose(rng, 1500)[:10_000]
+    lines = []
+    for i in range(38):
+        t = list(other)
+        for _ in range(3 + i):
+            t[rng.randrange(len(t))] = "#"
+        lines.append(half + "".join(t))
+    i = 4321
+    lines += [lines[0][:13_000] + "~" + lines[0][13_001:], lines[1][:i] + lines[1][i + 1 :]]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {i: int(i >= 38) for i in range(40)}
+    size = df.agg(F.sum(F.length("text"))).first()[0]
+    rows = df.select(F.xxhash64(F.lit(1)).alias("key"), F.xxhash64("text").alias("h1"), F.xxhash64("text").alias("h2"), F.lit(False).alias("probe"), F.col("text").alias("rest"))
+    split = line_dedup._split(rows).agg(F.sum(F.length("rest")), F.count("*")).first()
+    assert split[0] == size and split[1] == 40 * line_dedup.PARTS
+
+
+def test_line_columns_of_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "a line that is long enough to count", 1, 2, "k"), (2, "a line that is long enough to count", 3, 4, "l")], "doc_id long, text string, _th int, _LINES int, _stay string")
+    got = [tuple(r) for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()]
+    assert got == [(1, "a line that is long enough to count", 1, 2, "k", 1, 0), (2, "", 3, 4, "l", 1, 1)]
+
+
 # -- 2: near-duplicates ------------------------------------------------------------------------
 
 
