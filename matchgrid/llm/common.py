@@ -32,6 +32,19 @@ def persist_plan(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Keys of this many rows of at most 64 bytes are broadcast; more are shuffled.
+SMALL_ROWS = 1_000_000
+
+
+def matching(left: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``left`` that the distinct, checkpointed ``keys`` name.
+
+    Few keys are broadcast, so that the rows that don't match stay where they are. With many, a
+    key of very many rows makes a skewed join, of which adaptive execution splits the left side.
+    """
+    return left.join(F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys, on, "left_semi")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import persist_plan, put, unused
+from matchgrid.llm.common import matching, persist_plan, put, unused
 
 MAX_EDITS = 1
 #: Shorter lines (after trimming) are left alone.
@@ -24,8 +24,6 @@ MIN_CHARS = 20
 #: of which there are so many.
 PAIRED = 32
 PARTS = 4
-#: A side of this many rows of two hashes (16 MB) at most is broadcast; a larger one is shuffled.
-SMALL_ROWS = 1_000_000
 
 
 def normal(line: Column) -> Column:
@@ -97,16 +95,6 @@ def with_edit_distance(df: DataFrame, a: Column, b: Column, k: int, out: str) ->
     return split.withColumn(out, distance).drop("_x", "_y", "_m")
 
 
-def _matching(left: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``left`` that are the first of a line in the checkpointed ``ids``.
-
-    Small ids are broadcast. Else the join goes by line and place, so that the many rows of a
-    common line don't meet.
-    """
-    small = ids.count() <= SMALL_ROWS
-    return left.join(F.broadcast(ids) if small else ids, ["h1", "h2", "d", "th", "pos"], "left_semi")
-
-
 def _shared(rows: DataFrame) -> DataFrame:
     """``rows`` of keys that a line and another line have, with the lines of the key in ``size``.
 
@@ -163,7 +151,8 @@ def near_links(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = persist_plan(_shared(keyed))
     met = shared.select("h1", "h2").distinct()
     ids = persist_plan(distinct.select("h1", "h2", "d", "th", "pos").join(met, ["h1", "h2"], "left_semi"))
-    texts = _matching(lines.select("d", "th", "pos", "n", *_hashes()), ids).groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "pos", "n")).alias("r"))
+    # by line and place, so that the many rows of a common line don't meet
+    texts = matching(lines.select("d", "th", "pos", "n", *_hashes()), ids, ["h1", "h2", "d", "th", "pos"]).groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "pos", "n")).alias("r"))
     texts = persist_plan(texts)
     found = [_pairs(shared.filter(F.col("size") <= PAIRED))]
     crowd = shared.filter(F.col("size") > PAIRED)

@@ -8,16 +8,17 @@ band are candidates, and every candidate is verified by its exact weighted Jacca
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchgrid.llm import hashing
-from matchgrid.llm.common import persist_plan
+from matchgrid.llm.common import WORD, matching, persist_plan, unused
 from matchgrid.llm.components import components
 
 WORDS = 5
@@ -25,7 +26,7 @@ SIMILARITY = 0.8
 #: At similarity 0.8, 12 bands of 3 samples find a pair with a probability of 0.9998.
 BANDS, ROWS = 12, 3
 #: Document frequencies are counted in 2**IDF_BITS buckets of word hashes: a table of fixed size.
-IDF_BITS = 18
+IDF_BITS = 20
 #: Texts of a band of more texts than this are compared by blocks, those of a smaller one by pairs.
 FEW = 8
 #: Texts and characters of a block, about.
@@ -40,7 +41,7 @@ def _pieces(text: str) -> Iterator[str]:
     tail = ""
     for piece in hashing.pieces(text):
         yield tail + piece
-        tail = " ".join((tail + piece).split()[1 - WORDS :]) + " " if len(text) > hashing.CHUNK else ""
+        tail = " ".join(re.findall(WORD, tail + piece)[1 - WORDS :]) + " " if len(text) > hashing.CHUNK else ""
 
 
 def _words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -271,7 +272,7 @@ def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
     b, n = counts["b"].to_numpy(), counts["n"].to_numpy()
     table[b[b >= 0]] = n[b >= 0]
     size = n[b < 0].sum()
-    return 1 + np.log((1 + size) / (1 + table)) / np.log(2 + size)
+    return (1 + np.log((1 + size) / (1 + table)) / np.log(2 + size)).astype(np.float32)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -323,9 +324,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def verified(candidates: DataFrame) -> DataFrame:
         """The pairs (k, c) that are similar enough."""
         candidates = persist_plan(candidates)
-        ends = candidates.select("k").union(candidates.select("c")).distinct()
-        bodies = source.select(F.md5("t").alias("k"), "t").join(ends, "k", "left_semi").dropDuplicates(["k"])
-        bodies = persist_plan(bodies)
+        ends = persist_plan(candidates.select("k").union(candidates.select("c")).distinct())
+        bodies = persist_plan(_bodies(source, ends))
         both = candidates.join(bodies, "k").withColumnRenamed("t", "ta").join(bodies.select(F.col("k").alias("c"), F.col("t").alias("tb")), "c")
         return both.select("k", "c", compared("ta", "tb").alias("j")).filter(F.col("j") >= similarity).select("k", "c")
 
@@ -364,9 +364,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
 
 
+def _bodies(source: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, t): the text of each key. Copies are put together before they are shuffled."""
+    return matching(source.select(F.md5("t").alias("k"), "t"), keys, ["k"]).groupBy("k").agg(F.first("t").alias("t"))
+
+
 def _compared_by_blocks(crowd: DataFrame, source: DataFrame, idf, similarity: float) -> DataFrame:
     """Links (k, c) between texts of differing x in each band b of (b, k, x, n, chars)."""
-    bodies = source.select(F.md5("t").alias("k"), "t").join(crowd.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    bodies = _bodies(source, persist_plan(crowd.select("k").distinct()))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
     dealt = crowd.select("b", "k", "x", blocks.alias("m")).withColumn("p", F.pmod(F.xxhash64("k"), F.col("m")).cast("int"))
     # a block meets itself and each other one
@@ -387,9 +392,16 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simila
     Documents without words all stay; of repeated rows one stays.
     """
     found = near_duplicates(docs, text, doc_id, similarity)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("copy_key").distinct()
-    keyed = docs.withColumn("_k", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    kept = keyed.join(stay.withColumnRenamed("copy_key", "_k"), "_k", "left_semi")
-    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    first = kept.filter(~wordless).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(F.col(doc_id).asc_nulls_last()))).filter("_n = 1").drop("_n")
-    return first.unionByName(kept.filter(wordless)).select(*docs.columns)
+    k, i, n = unused(docs, "_k", "_i", "_n")
+
+    def name(id_: Column) -> Column:
+        """Ids as text, so that null is one too; a document's name goes with its text's key."""
+        return F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("null"))
+
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("copy_key").alias(k), name(F.col("doc_id")).alias(i)).distinct()
+    body = F.coalesce(F.col(text), F.lit(""))
+    kept = matching(docs.select("*", F.md5(body).alias(k), name(F.col(doc_id)).alias(i)), persist_plan(stay), [k, i])
+    wordless = ~body.rlike(r"[^\x20\x09-\x0D]")
+    # only rows alike in id and text are left to choose from
+    first = kept.filter(~wordless).withColumn(n, F.row_number().over(Window.partitionBy(k, i).orderBy(k))).filter(F.col(n) == 1).drop(n)
+    return first.unionByName(kept.filter(wordless)).select(*[f"`{c}`" for c in docs.columns])

@@ -483,6 +483,58 @@ def test_samples_estimate_weighted_jaccard():
     assert abs(np.mean(errors)) < 0.02
 
 
+def brute_classes(df, rows):
+    """Components under the weighted similarity of all pairs, at the operator's own threshold."""
+    idf = near_dedup.inverse_frequencies(df.select(F.coalesce("text", F.lit("")).alias("t")), "t")
+    texts = [(i, t) for i, t, *_ in rows if t and t.strip()]
+    owner, shingle, weight = near_dedup.shingles([t for _, t in texts], idf)
+    sets = [dict(zip(shingle[owner == k].tolist(), weight[owner == k].tolist(), strict=True)) for k in range(len(texts))]
+    label = {i: i for i, *_ in rows}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, (i, _) in enumerate(texts):
+        for b in range(a):
+            both = sets[a].keys() & sets[b].keys()
+            least = sum(min(sets[a][s], sets[b][s]) for s in both)
+            if least >= 0.8 * (sum(sets[a].values()) + sum(sets[b].values()) - least):
+                x, y = sorted((root(i), root(texts[b][0])))
+                label[y] = x
+    return {i: root(i) for i in label}
+
+
+def test_links_at_the_threshold_are_not_lost(spark):
+    """Families whose members are 0.7 to 0.9 alike, with many pairs on either side of 0.8."""
+    rng = random.Random(18)
+    rows = []
+    for _ in range(8):
+        base = prose(rng, 120).split()
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == brute_classes(df, rows)
+
+
+def test_near_duplicate_edge_cases(spark):
+    rng = random.Random(19)
+    long = "\n".join(prose(rng, 40) for _ in range(6000))
+    one, two = prose(rng, 60), prose(rng, 60)
+    docs = [(None, one, 1, "a"), (1, one, 2, "b"), (1, one, 2, "b"), (None, two, 3, "c"), (None, two, 3, "d"), (2, long, 4, "e"), (3, long + " end", 5, "f"), (4, None, 6, "g"), (4, None, 6, "g"), (5, " \n", 7, "h")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _k int, _N string")
+    assert len(long) > hashing.CHUNK
+    got = {(r["doc_id"], r["class_id"], r["class_size"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {(None, 1, 3), (1, 1, 3), (None, None, 2), (2, 2, 2), (3, 2, 2), (4, 4, 1), (5, 5, 1)}
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, ((r["doc_id"], r["_k"]) for r in kept.collect()))) == sorted(map(str, [(1, 2), (None, 3), (2, 4), (4, 6), (4, 6), (5, 7)]))
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(12)
     rows = []
@@ -501,15 +553,7 @@ def test_near_duplicates_against_brute_force(spark):
     rows += [(len(rows), "", None), (len(rows) + 1, None, None), (len(rows) + 2, "two words", 100), (len(rows) + 3, "two words", 100)]
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t, _ in rows if t}
-    for i in sets:
-        for j in sets:
-            if i < j:
-                sim = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-                if sim >= 0.85:
-                    assert found[i] == found[j]
-                elif sim == 0:
-                    assert found[i] != found[j]
+    assert found == brute_classes(df, rows)
     kept = near_dedup.keep_one(df)
     assert kept.filter("text <> ''").count() == len({g for *_, g in rows if g is not None})
     assert kept.filter("text is null or text = ''").count() == 2
