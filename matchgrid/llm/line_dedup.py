@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import matching, persist_plan, put, unused
+from matchgrid.llm.common import matching, persist_plan, unused
 
 MAX_EDITS = 1
 #: Shorter lines (after trimming) are left alone.
@@ -217,13 +217,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     stay = F.array_sort(F.array_union(short, F.coalesce(kept_at, F.array().cast("array<int>"))))
     joined = joined.withColumn(stay_at, F.when(F.col(text).isNotNull(), stay))
     n_lines = F.when(F.col(text).isNotNull(), F.size(parts)).otherwise(0)
-    out = put(
-        joined,
-        {
-            text: F.array_join(F.transform(stay_at, lambda i: F.get(parts, i)), "\n"),
-            "n_lines": n_lines.cast("long"),
-            "n_dropped": (n_lines - F.coalesce(F.size(stay_at), F.lit(0))).cast("long"),
-        },
+    cut = F.struct(
+        F.array_join(F.transform(stay_at, lambda i: F.get(parts, i)), "\n").alias("text"),
+        n_lines.cast("long").alias("n_lines"),
+        (n_lines - F.coalesce(F.size(stay_at), F.lit(0))).cast("long").alias("n_dropped"),
     )
+    # exploded, so that what reads the text several times, filters too, doesn't cut it again each time
+    (cut_at,) = unused(joined, "_cut")
+    out = joined.select("*", F.explode(F.array(cut)).alias(cut_at))
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    return out.select(*[f"`{c}`" for c in names], "n_lines", "n_dropped")
+    columns = [F.col(f"{cut_at}.text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in names]
+    return out.select(*columns, f"{cut_at}.n_lines", f"{cut_at}.n_dropped")
