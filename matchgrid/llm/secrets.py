@@ -7,6 +7,7 @@ few bytes; a random key costs nearly its length. Strings that stay incompressibl
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -33,7 +34,11 @@ LINE_END = re.compile(r"\s|\\[nr]")
 #: A long text of 64 symbols compresses by its alphabet alone, so a key block is measured in pieces of this length.
 PIECE = 48
 #: A candidate starts within so many characters after the context word, on its line or a later one.
-REACH = 48
+REACH = 96
+#: Plain words may be new to the compressor too. One is measured where it is given to the context word directly.
+PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_./~+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[-_./~+=]*|[A-Z]?[a-z]+(?:[A-Z][a-z]+)+|[0-9./:_-]+")
+GIVEN = re.compile(r"""["'\s]*(?:[:=]+|[-=]>|\bis\b|\bwas\b)["'\s]*""", re.A)
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: Characters of surrounding text on either side that prime the compressor.
 AROUND = 1024
 #: Marginal compressed bytes for each character of the candidate, at least.
@@ -92,17 +97,17 @@ def _base(text: str, low: str) -> list[tuple[int, int, int, bool, float | None]]
 def _novel(text: str, low: str, taken: list) -> list[tuple[int, int, int, bool, float | None]]:
     if not any(w in low for w in STEMS):
         return []
-    held = sorted((s[0], s[2]) for s in taken)
+    held = _merged([(s[0], s[2]) for s in taken])
     found = []
     for block in PEM.finditer(text):
         s, e = block.span(1)
         body = LINE_END.sub("", block.group(1))
         pieces = [body[i : i + PIECE] for i in range(0, len(body), PIECE)]
         size = sum(marginal_bytes(p, body[max(0, i * PIECE - AROUND) : i * PIECE], body[i * PIECE + len(p) :][:AROUND]) for i, p in enumerate(pieces))
-        if size / len(body) >= NOVELTY and not any(a < e and s < b for a, b in held):
+        if size / len(body) >= NOVELTY and not _overlaps(held, s, e):
             found.append((s, 3, e, False, round(size / len(body), 4)))
-    blocks = [(f[0], f[2]) for f in found]
-    held, end, m = held + blocks, 0, None
+    held = _merged(held + [(f[0], f[2]) for f in found])
+    end, m = 0, None
     for word in CONTEXT.finditer(text):
         at = max(word.end(), end)
         while True:
@@ -115,8 +120,9 @@ def _novel(text: str, low: str, taken: list) -> list[tuple[int, int, int, bool,
             s, e = m.span()
             at = end = e
             value = m.group().rstrip(".=,")
-            mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-            if not mixed or "@" in value or any(a < e and s < b for a, b in held):
+            if ADDRESS.fullmatch(value) or _overlaps(held, s, e):
+                continue
+            if PLAIN.fullmatch(value) and not GIVEN.fullmatch(text, word.end(), s):
                 continue
             share = marginal_bytes(value, text[max(0, s - AROUND) : s], text[e : e + AROUND]) / len(value)
             if share >= NOVELTY:
@@ -124,6 +130,22 @@ def _novel(text: str, low: str, taken: list) -> list[tuple[int, int, int, bool,
     return found
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans in order that cover what the spans cover."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def _overlaps(held: list[tuple[int, int]], s: int, e: int) -> bool:
+    k = bisect.bisect_left(held, (e, 0)) - 1  # the last that begins before e
+    return k >= 0 and held[k][1] > s
+
+
 def scan(text: str | None) -> list[dict]:
     """All spans of one text by start, then kind as listed; offsets in code points."""
     if not text:
@@ -144,9 +166,10 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
 
     Kinds assign, access and hex are the fixed patterns (base is true); kind novel is what the
     compressor adds where no base span lies, with its marginal bytes per character: every string
-    that begins within 48 characters after a context word, over line ends too, is measured, and
-    the lines of a private key block as one. Null and
-    empty texts give an empty array; a text is scanned whole, in time linear in its length; a
+    that begins within 96 characters after a context word, over line ends too, is measured, and
+    the lines of a private key block as one; only mail addresses aren't, and strings made of plain
+    words or short numbers are only where the context word is given them ("secret: ...",
+    "passphrase is ..."). Null and empty texts give an empty array; a text is scanned whole, in time linear in its length; a
     column named like ``out`` is replaced; repeated rows are scanned alike.
     """
     return put(docs, {out: _spans(F.coalesce(F.col(text), F.lit("")))})
