@@ -10,7 +10,7 @@ number written once as "+1 (559) 555-3817" makes a later "559-555-3817" a phone
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ LABELS = ("other", *KINDS)
 
 #: Strings that may be personal data: shapes only, wider than the fixed patterns.
 NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
-AT = re.compile(r"(?<![^\s<(\[\"',;:])[^\s@<>()\[\]\"',;:]{1,64}(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[^\s@<>()\[\]\"',;:]{2,}")
+AT = re.compile(r"(?<![^\s<(\[\"',;:])[^\s@<>()\[\]\"',;:]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[^\s@<>()\[\]\"',;:]{2,}")
 CUES = {
     "phone": re.compile(r"(?:phone|tel|call|mobile?|cell|fax|fon|whatsapp)\b[^0-9]{0,12}$", re.I),
     "card": re.compile(r"(?:card|visa|mastercard|amex|credit|debit|karte)\b[^0-9]{0,12}$", re.I),
@@ -86,6 +86,8 @@ class Mention:
     label: int  # 1 to 4 when a fixed pattern says so, else 0
     key: str
     features: list[int]
+    alike: str = ""  # what similar mentions have in common
+    barred: tuple[int, ...] = ()  # labels that the mention's own shape rules out
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[Mention]:
@@ -112,83 +114,115 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[Mention]:
         n = len(digits)
         yes = (True, at_like, t.count(".") == 3 and not at_like, t[0] == "+", "(" in t and not at_like, 7 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n > 19, t.isdigit(), " " in t, "-" in t, *(bool(c.search(before)) for c in CUES.values()))
         key = re.sub(r"\s*[\[(]at[\])]\s*", "@", t.lower()).strip(".-_") if at_like else digits[-9:]
-        out.append(Mention(s, e, k, key, [i for i, y in enumerate(yes) if y]))
+        # of addresses the name, of numbers the end without area codes
+        alike = "@" + re.sub(r"[._+-]|[0-9]+$", "", key.partition("@")[0]) if at_like else digits[-7:]
+        may = (True, at_like, not at_like and t.count(".") == 3, not at_like and 13 <= n <= 19 and luhn(digits), not at_like and n <= 15)
+        out.append(Mention(s, e, k, key, [i for i, y in enumerate(yes) if y], alike, () if k else tuple(i for i, y in enumerate(may) if not y)))
     return out
 
 
-def skip_edges(found: list[Mention]) -> list[tuple[int, int]]:
-    """Each mention with the one before and with the first of the same key: linear in number."""
-    edges, first, last = [], {}, {}
-    for i, m in enumerate(found):
-        if m.key in last:
-            edges.append((last[m.key], i))
-            if first[m.key] != last[m.key]:
-                edges.append((first[m.key], i))
-        else:
-            first[m.key] = i
-        last[m.key] = i
-    return edges
+def skip_edges(found: list[Mention]) -> list[tuple[int, int, bool]]:
+    """(a, b, whether they are equal): each mention with the one before and with the first of the
+    same key, and of those alike but for the key: linear in number."""
+    edges: dict[tuple[int, int], bool] = {}
+    for equal in (True, False):
+        first: dict[str, int] = {}
+        last: dict[str, int] = {}
+        for i, m in enumerate(found):
+            key = m.key if equal else m.alike
+            if not key or key == "@":
+                continue
+            if key in last:
+                for j in {last[key], first[key]}:
+                    if equal or found[j].key != m.key:
+                        edges.setdefault((j, i), equal)
+            else:
+                first[key] = i
+            last[key] = i
+    return [(a, b, equal) for (a, b), equal in edges.items()]
 
 
 @dataclass
 class Field:
-    """Log-potentials: node (features x labels), chain and skip (labels x labels)."""
+    """Log-potentials: node (features x labels), chain, skip of equal and of similar mentions
+    (labels x labels)."""
 
     node: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    similar: np.ndarray
 
     @staticmethod
     def start() -> Field:
         n = len(LABELS)
         node = np.zeros((len(FEATURES), n))
         node[0, 0] = 1.0
-        return Field(node, np.zeros((n, n)), np.eye(n) * 1.0)
+        return Field(node, np.zeros((n, n)), np.eye(n) * 1.0, np.eye(n) * 0.5)
+
+
+def _of_one_kind(found: list[Mention]) -> list[Mention]:
+    """The mentions, those equal to a matched one with its label."""
+    kinds = {m.key: m.label for m in found if m.label and m.key}
+    return [replace(m, label=kinds.get(m.key, 0)) if not m.label else m for m in found]
 
 
 def fit_field(docs: list[list[Mention]], rounds: int = 400, rate: float = 4.0, ridge: float = 1e-4) -> Field:
     """Pseudo-likelihood: each label given its features and its neighbours' labels.
 
-    The labels are those of the fixed patterns. Of the features a mention is scored by, one half
-    of its shape is hidden in turn, so that the skip potentials learn to carry labels over.
+    The labels are those of the fixed patterns, and a mention equal to a matched one is of its
+    kind, whatever it looks like. That no pattern matches says "other" only of mentions that
+    nothing ties to personal data: one that is similar to a matched one, or stands behind a cue,
+    is left out, so that the field learns more than to repeat the patterns. Of the
+    features a mention is scored by, one half of its shape is hidden in turn, so that the skip
+    potentials learn to carry labels over.
     """
+    cues = set(range(len(FEATURES) - len(CUES), len(FEATURES)))
     field = Field.start()
     n = len(LABELS)
-    rows, chain_rows, skip_rows = [], [], []
+    rows, chain_rows, skip_rows, similar_rows, told, labels = [], [], [], [], [], []
     count = 0
-    for found in docs:
+    for found in map(_of_one_kind, docs):
+        labels += [m.label for m in found]
         for i, m in enumerate(found):
             for f in m.features:
                 rows.append((count + i, f))
             if i:
                 chain_rows += [(count + i, found[i - 1].label, 0), (count + i - 1, m.label, 1)]
-        for a, b in skip_edges(found):
-            skip_rows += [(count + a, found[b].label), (count + b, found[a].label)]
+        known = [bool(m.label) or not cues.intersection(m.features) for m in found]
+        for a, b, equal in skip_edges(found):
+            (skip_rows if equal else similar_rows).extend([(count + a, found[b].label), (count + b, found[a].label)])
+            for i, j in ((a, b), (b, a)):
+                known[i] &= bool(found[i].label) or not found[j].label
+        told += known
         count += len(found)
     if not count:
         return field
-    y = np.array([m.label for found in docs for m in found])
+    y = np.array(labels)
     x = np.zeros((count, len(FEATURES)))
     for i, f in rows:
         x[i, f] = 1
-    before, after, skip = np.zeros((count, n)), np.zeros((count, n)), np.zeros((count, n))
+    before, after, skip, similar = (np.zeros((count, n)) for _ in range(4))
+    weight = np.array(told, float)[:, None] / max(1, sum(told))
     for i, label, side in chain_rows:
         (after if side else before)[i, label] += 1
     for i, label in skip_rows:
-        skip[i, label] += 1
+        skip[i, label] += told[i]
+    for i, label in similar_rows:
+        similar[i, label] += told[i]
     target = np.eye(n)[y]
     hide = np.random.default_rng(0)
     for _ in range(rounds):
         seen = x * (hide.random(x.shape) < 0.5)
         seen[:, 0] = 1
-        z = seen @ field.node + before @ field.chain + after @ field.chain.T + skip @ field.skip
+        z = seen @ field.node + before @ field.chain + after @ field.chain.T + skip @ field.skip + similar @ field.similar
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (target - p) / count
+        g = (target - p) * weight
         field.node += rate * (seen.T @ g - ridge * field.node)
         field.chain += rate * (before.T @ g + (after.T @ g).T - ridge * field.chain)
-        up = skip.T @ g
-        field.skip += rate * ((up + up.T) / 2 - ridge * field.skip)
+        for side, pot in ((skip, field.skip), (similar, field.similar)):
+            up = side.T @ g
+            pot += rate * ((up + up.T) / 2 - ridge * pot)
     return field
 
 
@@ -201,11 +235,12 @@ def infer(found: list[Mention], field: Field, sweeps: int = 8) -> np.ndarray:
         if m.label:
             unary[i] = -50.0
             unary[i, m.label] = 0.0
-    edges = [(i, i + 1, 0) for i in range(n - 1)] + [(a, b, 1) for a, b in skip_edges(found)]
+        unary[i, list(m.barred)] = -50.0
+    edges = [(i, i + 1, 0) for i in range(n - 1)] + [(a, b, 1 if equal else 2) for a, b, equal in skip_edges(found)]
     if edges:
         a = np.array([e[0] for e in edges])
         b = np.array([e[1] for e in edges])
-        pot = np.where(np.array([e[2] for e in edges])[:, None, None] == 1, field.skip[None], field.chain[None])
+        pot = np.stack([field.chain, field.skip, field.similar])[[e[2] for e in edges]]
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
         pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
@@ -240,26 +275,27 @@ def scan(text: str | None, field: Field, threshold: float = 0.8) -> list[dict]:
 SPAN = T.ArrayType(
     T.StructType().add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType()).add("base", T.BooleanType()).add("probability", T.DoubleType())
 )
-_MENTION = T.ArrayType(T.StructType().add("label", T.IntegerType()).add("key", T.StringType()).add("features", T.ArrayType(T.IntegerType())))
-#: The field is fitted on so many documents (those of the smallest id hashes) and mentions at most.
+_MENTION = T.ArrayType(T.StructType().add("label", T.IntegerType()).add("key", T.StringType()).add("alike", T.StringType()).add("features", T.ArrayType(T.IntegerType())))
+#: The field is fitted on so many documents (those of the smallest id hashes) of so many characters at most.
 SAMPLE_DOCS = 2000
-SAMPLE_MENTIONS = 200
+SAMPLE_CHARS = 20_000
 
 
-def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_mentions: int = SAMPLE_MENTIONS) -> Field:
+def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Field:
     """The field of a bounded sample, labelled by the fixed patterns.
 
-    ``sample_docs`` documents of those with digits or an @ are read, and ``sample_mentions``
-    mentions of each. Scoring reads everything.
+    It holds ``sample_docs`` documents, whole, of those with digits or an @ and of at most
+    ``sample_chars`` characters. Scoring reads everything.
     """
 
     @F.pandas_udf(_MENTION)
     def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"label": m.label, "key": m.key, "features": m.features} for m in mentions(t, base_spans(t))[:sample_mentions]])
+        return texts.map(lambda t: [{"label": m.label, "key": m.key, "alike": m.alike, "features": m.features} for m in mentions(t, base_spans(t))])
 
-    some = docs.select(F.xxhash64(doc_id).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.col("t").rlike("[0-9]{4}|@"))
+    some = docs.select(F.xxhash64(doc_id).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    some = some.filter((F.length("t") <= sample_chars) & F.col("t").rlike("[0-9]{4}|@"))
     rows = some.orderBy("h", F.length("t")).limit(sample_docs).select(found("t").alias("m")).collect()
-    return fit_field([[Mention(0, 0, m["label"], m["key"], list(m["features"])) for m in r["m"]] for r in rows if r["m"]])
+    return fit_field([[Mention(0, 0, m["label"], m["key"], list(m["features"]), m["alike"]) for m in r["m"]] for r in rows if r["m"]])
 
 
 def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", out: str = "pii", field: Field | None = None) -> DataFrame:

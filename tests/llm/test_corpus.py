@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -217,6 +218,77 @@ def test_field_carries_labels_over():
     assert [(s["kind"], s["base"], t[s["start"] : s["end"]]) for s in pii.scan(t, field)] == [("phone", True, "+1 (559) 555-3817"), ("phone", False, "559-555-3817")]
 
 
+def exact_marginals(found, field):
+    """By the sum over all labellings."""
+    n, k = len(found), len(pii.LABELS)
+    unary = np.array([field.node[m.features].sum(0) for m in found])
+    for i, m in enumerate(found):
+        if m.label:
+            unary[i] = -50.0
+            unary[i, m.label] = 0.0
+        unary[i, list(m.barred)] = -50.0
+    total = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        z = sum(unary[i, y] for i, y in enumerate(labels)) + sum(field.chain[a, b] for a, b in zip(labels, labels[1:], strict=False))
+        for a, b, equal in pii.skip_edges(found):
+            z += (field.skip if equal else field.similar)[labels[a], labels[b]]
+        for i, y in enumerate(labels):
+            total[i, y] += np.exp(z)
+    return total / total.sum(1, keepdims=True)
+
+
+def test_marginals_against_exact_enumeration():
+    """Exact without loops, close with them."""
+    rng = np.random.default_rng(20)
+    n = len(pii.LABELS)
+    for trial in range(40):
+        field = pii.Field(rng.normal(0, 0.7, (len(pii.FEATURES), n)), rng.normal(0, 0.3, (n, n)), np.eye(n) * 0.5, np.eye(n) * 0.3)
+        loops = trial % 2
+        keys = [str(rng.integers(2)) if loops else str(i) for i in range(5)]
+        found = [pii.Mention(i, i, int(rng.integers(5)) if rng.random() < 0.3 else 0, keys[i], [0, int(rng.integers(1, 12))], keys[i], (3,) if rng.random() < 0.2 else ()) for i in range(5)]
+        for m in found:
+            m.barred = () if m.label else m.barred
+        got, want = pii.infer(found, field, sweeps=60), exact_marginals(found, field)
+        assert np.abs(got - want).max() < (0.12 if loops else 1e-6)
+
+
+def test_skip_edges_join_equal_and_similar_mentions():
+    t = "mail ann.lee@x.org or annlee@y.net, phone +1 559 555-3817, then 555-3817; and (559) 555-3817"
+    found = pii.mentions(t, pii.base_spans(t))
+    kinds = {(t[found[a].start : found[a].end], t[found[b].start : found[b].end]): equal for a, b, equal in pii.skip_edges(found)}
+    assert kinds[("ann.lee@x.org", "annlee@y.net")] is False
+    assert kinds[("+1 559 555-3817", "(559) 555-3817")] is True
+    assert kinds[("+1 559 555-3817", "555-3817")] is False
+
+
+def test_numbers_that_fail_the_check_digit_are_no_cards():
+    field = pii.Field.start()
+    field.node[:, 3] = 5.0
+    assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
+    assert [s["kind"] for s in pii.scan("card 4539 5787 6362 1486", field)] == ["card"]
+    assert "card" not in [s["kind"] for s in pii.scan("card 4539 5787 6362 1487", field)]
+
+
+def test_unmatched_repeats_are_learned():
+    """The patterns never match a number without its plus; the field still calls it a phone number
+    where the same one stands elsewhere, and an order number not."""
+    rng = random.Random(21)
+    docs = []
+    for _ in range(300):
+        a, b = rng.randrange(200, 999), rng.randrange(1000, 9999)
+        parts = [f"reach me at +1 ({a}) 555-{b}", f"that is {a}-555-{b}", f"order {rng.randrange(10**8, 10**9)}", f"parcel {rng.randrange(10**7, 10**10)}", f"it came from 10.0.0.{rng.randrange(255)}"]
+        docs.append(". ".join(rng.sample(parts, rng.randrange(2, 6))))
+    field = pii.fit_field([pii.mentions(t, pii.base_spans(t)) for t in docs])
+    t = "Order 481923764 of +1 (559) 555-3817 is due; we tried 559 555 3817, and 555-3817 again."
+    assert [(s["kind"], t[s["start"] : s["end"]]) for s in pii.scan(t, field) if not s["base"]] == [("phone", "559 555 3817")]
+
+    def phone(text):
+        found = pii.mentions(text, pii.base_spans(text))
+        return pii.infer(found, field)[-1, pii.LABELS.index("phone")]
+
+    assert phone(t) > phone(t.replace("and 555-3817", "and 555-9999")) + 0.02  # a similar one shares less
+
+
 def test_span_frames(spark):
     df = spark.createDataFrame([(1, "token = abcdef123"), (2, None), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["secrets"] for r in secrets.find_secrets(df).collect()}
