@@ -24,6 +24,8 @@ MIN_CHARS = 20
 #: of which there are so many.
 PAIRED = 32
 PARTS = 4
+#: Pairs that one task compares, about.
+PAIRS_A_TASK = 512
 
 
 def normal(line: Column) -> Column:
@@ -177,7 +179,10 @@ def near_links(lines: DataFrame, distinct: DataFrame) -> DataFrame:
         pairs = pairs.union(more)
     pairs = pairs.distinct()
     both = pairs.join(texts.withColumnRenamed("r", "ra"), ["h1", "h2"]).join(texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("r").alias("rb")), ["g1", "g2"])
-    scored = with_edit_distance(persist_plan(both), F.col("ra.n"), F.col("rb.n"), MAX_EDITS, "edits")
+    both = persist_plan(both)
+    # adaptive execution goes by bytes; what weighs here is the comparing
+    both = both.repartition(min(10_000, -(-both.count() // PAIRS_A_TASK) or 1))
+    scored = with_edit_distance(both, F.col("ra.n"), F.col("rb.n"), MAX_EDITS, "edits")
     # written out before it is filtered: a filter would be pushed below the split characters
     near = persist_plan(scored.select("h1", "h2", "g1", "g2", (F.col("ra") > F.col("rb")).alias("later"), "edits")).filter(F.col("edits") <= MAX_EDITS)
     later = F.col("later")

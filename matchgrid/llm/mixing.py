@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import put, word_count
+from matchgrid.llm.common import put, unused, word_count
 
 #: Relative weights given to the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -87,6 +87,9 @@ def source_targets(by_source: DataFrame, weights=WEIGHTS, max_repeats: int = MAX
     return s.select("source", "source_size", "tier", target.alias("target"))
 
 
+SCRATCH = ("_s", "_k", "_t", "_b", "_o", "_ps", "_pb", "_z", "_tier", "_target", "_c", "_e", "_left", "_c0", "_more", "_n")
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -114,51 +117,52 @@ def mix(
     ordered last; rows alike in id and text are told apart arbitrarily but count twice; an empty
     table gives an empty one.
     """
+    n = dict(zip(SCRATCH, unused(docs, *SCRATCH), strict=True))  # names that the caller doesn't use
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    sized = put(docs, {"size": word_count(F.col(text)), "_s": F.col(source), "_k": key, "_t": F.md5(F.coalesce(F.col(text), F.lit("")))})
-    sized = sized.withColumn("_b", F.conv(F.substring("_k", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32))
-    sized = sized.withColumn("_b", F.floor("_b").cast("int"))
-    sums = sized.groupBy("_s", "_b").agg(F.sum("size").alias("n"))
-    upto = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_s", "_b", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_o"))
-    targets = source_targets(sums.groupBy(F.col("_s").alias("source")).agg(F.sum("n").alias("source_size")), weights, max_repeats)
+    sized = put(docs, {"size": word_count(F.col(text)), n["_s"]: F.col(source), n["_k"]: key, n["_t"]: F.md5(F.coalesce(F.col(text), F.lit("")))})
+    sized = sized.withColumn(n["_b"], F.conv(F.substring(n["_k"], 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32))
+    sized = sized.withColumn(n["_b"], F.floor(n["_b"]).cast("int"))
+    sums = sized.groupBy(n["_s"], n["_b"]).agg(F.sum("size").alias("n"))
+    upto = Window.partitionBy(n["_s"]).orderBy(n["_b"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(n["_s"], n["_b"], F.coalesce(F.sum("n").over(upto), F.lit(0)).alias(n["_o"]))
+    targets = source_targets(sums.groupBy(F.col(n["_s"]).alias("source")).agg(F.sum("n").alias("source_size")), weights, max_repeats)
     # source by bucket at most: small beside the documents, joined without a broadcast hint
-    plan = offsets.join(targets, offsets["_s"].eqNullSafe(targets["source"])).select(
-        F.col("_s").alias("_ps"), F.col("_b").alias("_pb"), "_o", F.col("source_size").alias("_z"), F.col("tier").alias("_tier"), F.col("target").alias("_target")
+    plan = offsets.join(targets, offsets[n["_s"]].eqNullSafe(targets["source"])).select(
+        F.col(n["_s"]).alias(n["_ps"]), F.col(n["_b"]).alias(n["_pb"]), n["_o"], F.col("source_size").alias(n["_z"]), F.col("tier").alias(n["_tier"]), F.col("target").alias(n["_target"])
     )
-    order = Window.partitionBy("_s", "_b").orderBy("_k", "_t").rowsBetween(Window.unboundedPreceding, -1)
-    run = sized.withColumn("_c", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    run = run.join(plan, run["_s"].eqNullSafe(plan["_ps"]) & (run["_b"] == plan["_pb"]))
-    c0 = F.col("_c") + F.col("_o")
-    z = F.col("_z")
-    passes = F.when(z > 0, F.floor(F.col("_target") / z.cast("double"))).otherwise(F.lit(0)).cast("long")
-    left = F.floor(F.col("_target") - (F.col("_e") * z).cast("double") + F.lit(0.5)).cast("long")
-    run = run.withColumn("_e", passes).withColumn("_left", left).withColumn("_c0", c0)
-    run = run.withColumn("_more", F.least(F.greatest(F.col("_left") - F.col("_c0"), F.lit(0).cast("long")), F.col("size")))
-    run = run.withColumn("_n", F.when(F.col("size") > 0, F.col("_e") + F.when(F.col("_more") > 0, 1).otherwise(0)).otherwise(0).cast("int"))
+    order = Window.partitionBy(n["_s"], n["_b"]).orderBy(n["_k"], n["_t"]).rowsBetween(Window.unboundedPreceding, -1)
+    run = sized.withColumn(n["_c"], F.coalesce(F.sum("size").over(order), F.lit(0)))
+    run = run.join(plan, run[n["_s"]].eqNullSafe(plan[n["_ps"]]) & (run[n["_b"]] == plan[n["_pb"]]))
+    c0 = F.col(n["_c"]) + F.col(n["_o"])
+    z = F.col(n["_z"])
+    passes = F.when(z > 0, F.floor(F.col(n["_target"]) / z.cast("double"))).otherwise(F.lit(0)).cast("long")
+    left = F.floor(F.col(n["_target"]) - (F.col(n["_e"]) * z).cast("double") + F.lit(0.5)).cast("long")
+    run = run.withColumn(n["_e"], passes).withColumn(n["_left"], left).withColumn(n["_c0"], c0)
+    run = run.withColumn(n["_more"], F.least(F.greatest(F.col(n["_left"]) - F.col(n["_c0"]), F.lit(0).cast("long")), F.col("size")))
+    run = run.withColumn(n["_n"], F.when(F.col("size") > 0, F.col(n["_e"]) + F.when(F.col(n["_more"]) > 0, 1).otherwise(0)).otherwise(0).cast("int"))
 
     def position(copy: Column) -> Column:
-        share = F.least((copy.cast("long") * z + F.col("_c0")).cast("double") / F.col("_target"), F.lit(1.0))
+        share = F.least((copy.cast("long") * z + F.col(n["_c0"])).cast("double") / F.col(n["_target"]), F.lit(1.0))
         result = curriculum[0].inverse(share)
         for i, schedule in enumerate(curriculum[1:], 1):
-            result = F.when(F.col("_tier") % len(curriculum) == i, schedule.inverse(share)).otherwise(result)
+            result = F.when(F.col(n["_tier"]) % len(curriculum) == i, schedule.inverse(share)).otherwise(result)
         return result
 
-    taken = F.col("_n") > 0
-    positions = F.when(taken, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), position)).otherwise(F.array().cast("array<double>"))
+    taken = F.col(n["_n"]) > 0
+    positions = F.when(taken, F.transform(F.sequence(F.lit(0), F.col(n["_n"]) - 1), position)).otherwise(F.array().cast("array<double>"))
     out = put(
         run,
         {
             "size": F.col("size"),
             "source_size": z,
-            "target": F.col("_target"),
-            "taken": F.col("size") * F.col("_e") + F.col("_more"),
-            "copies": F.col("_n"),
+            "target": F.col(n["_target"]),
+            "taken": F.col("size") * F.col(n["_e"]) + F.col(n["_more"]),
+            "copies": F.col(n["_n"]),
             "first_position": F.when(taken, position(F.lit(0))),
             "positions": positions,
         },
     )
-    return out.drop("_s", "_k", "_t", "_b", "_c", "_ps", "_pb", "_o", "_z", "_tier", "_target", "_e", "_left", "_more", "_c0", "_n")
+    return out.drop(*n.values())
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:

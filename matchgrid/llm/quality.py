@@ -120,12 +120,13 @@ def score(texts: list[str], model: Model) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, doc_id: str, text: str, sample: int) -> DataFrame:
     """(t, y): texts and labels of at most ``sample`` rows, those of the smallest id hashes.
 
-    The labels are cut down before any text is read; ``sample`` bounds what is broadcast.
+    The labels are cut down before any text is read; ``sample`` bounds what is broadcast. Of the
+    texts of a repeated id one is taken, so that it bounds what is returned too.
     """
     some = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).filter(F.col("i").isNotNull() & F.col("y").isin(0, 1)).distinct()
     some = some.filter(may_learn).orderBy(F.xxhash64("i"), "i", "y").limit(sample)
     texts = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return texts.join(F.broadcast(some), "i").select("t", F.col("y").cast("int").alias("y"))
+    return texts.join(F.broadcast(some), "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("t", F.col("y").cast("int").alias("y"))
 
 
 _FEATURES = T.StructType().add("b", T.ArrayType(T.IntegerType())).add("n", T.ArrayType(T.FloatType()))
