@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrid.llm import decontam, line_dedup, mixing, near_dedup, toxicity
-from matchgrid.llm.common import WORD, read
+from matchgrid.llm.common import WORD, read, unused
 
 #: Documents of this toxicity or more go.
 TOXIC = 0.5
@@ -15,8 +15,8 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the threshold. The classifier learns from labels outside the held-out fold."""
     machine = toxicity.fit(docs, read(spark, sf_dir, "labels"), F.crc32(F.col("i").cast("string")) % 5 != 0)
-    scored = toxicity.score_toxicity(docs, machine, out="_toxicity")
-    return scored.filter(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    (score,) = unused(docs, "toxicity")
+    return toxicity.score_toxicity(docs, machine, out=score).filter(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontam.find_leaks(docs, read(spark, sf_dir, "benchmark"), out="_leaks")
-    return found.filter(F.size("_leaks") == 0).select(*docs.columns)
+    (leaks,) = unused(docs, "leaks")
+    return decontam.find_leaks(docs, read(spark, sf_dir, "benchmark"), out=leaks).filter(F.size(leaks) == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
