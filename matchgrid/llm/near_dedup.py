@@ -267,9 +267,9 @@ def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pd.DataFrame({"b": np.append(used, -1).astype(np.int32), "n": np.append(total[used], docs_seen)})
 
-    counts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(count, schema).groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(count, schema).groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << IDF_BITS)
-    b, n = counts["b"].to_numpy(), counts["n"].to_numpy()
+    b, n = counts["b"].to_numpy(), counts["n"].to_numpy()  # columns, never rows of Python objects
     table[b[b >= 0]] = n[b >= 0]
     size = n[b < 0].sum()
     return (1 + np.log((1 + size) / (1 + table)) / np.log(2 + size)).astype(np.float32)
