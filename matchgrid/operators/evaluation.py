@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchgrid.functions.scalars import kelly, p_over, wilson
 
@@ -127,24 +130,33 @@ def baseline(df: DataFrame, strategy: str, seed: int = 42) -> DataFrame:
 # -- betting -----------------------------------------------------------------------------------
 
 
-def place_bets(df: DataFrame, odds: float = 1.9, kelly_fraction: Column | float = 0.25, cap: Column | float = 0.1, edge: float = 0.05, line: float = 2.5) -> DataFrame:
+def place_bets(
+    df: DataFrame,
+    over_odds: float = 1.9,
+    under_odds: float = 1.9,
+    kelly_fraction: Column | float = 0.25,
+    cap: Column | float = 0.1,
+    edge: float = 0.05,
+    line: float = 2.5,
+) -> DataFrame:
     """side, stake (a share of the bankroll, 0 if skipped) and bet_return of each row.
 
-    The side with the larger edge is backed, over on a tie; none below the edge threshold.
-    Needs p_over and total.
+    The side with the larger edge over its own odds is backed, over on a tie; none below the edge
+    threshold. Needs p_over and total.
     """
     part = kelly_fraction if isinstance(kelly_fraction, Column) else F.lit(float(kelly_fraction))
     most = cap if isinstance(cap, Column) else F.lit(float(cap))
     p = F.col("p_over")
-    implied = F.lit(1.0 / odds)
-    over, under = p - implied, (F.lit(1.0) - p) - implied
+    over, under = p - F.lit(1.0 / over_odds), (F.lit(1.0) - p) - F.lit(1.0 / under_odds)
     backs_over = over >= under
     chance = F.when(backs_over, p).otherwise(F.lit(1.0) - p)
-    stake = F.least(part * kelly(chance, F.lit(odds)), most)
+    odds = F.when(backs_over, F.lit(over_odds)).otherwise(F.lit(under_odds))
+    stake = F.least(part * kelly(chance, odds), most)
     placed = (F.greatest(over, under) >= edge) & (stake > 0)
     won = backs_over == (F.col("total") > line)
+    gain = F.when(backs_over, F.lit(over_odds - 1.0)).otherwise(F.lit(under_odds - 1.0))
     df = df.withColumns({"side": F.when(placed, F.when(backs_over, "over").otherwise("under")), "stake": F.when(placed, stake).otherwise(0.0)})
-    return df.withColumns({"won": F.when(placed, won), "bet_return": F.when(placed, F.when(won, F.col("stake") * F.lit(odds - 1.0)).otherwise(-F.col("stake"))).otherwise(0.0)})
+    return df.withColumns({"won": F.when(placed, won), "bet_return": F.when(placed, F.when(won, F.col("stake") * gain).otherwise(-F.col("stake"))).otherwise(0.0)})
 
 
 def bankroll_path(bets: DataFrame, keys: Sequence[str], order: Sequence[str], start: float = 1000.0) -> DataFrame:
@@ -158,6 +170,13 @@ def bankroll_path(bets: DataFrame, keys: Sequence[str], order: Sequence[str], st
     return df.withColumn("drawdown", (F.col("bankroll") - F.col("peak")) / F.col("peak"))
 
 
+def with_start(path: DataFrame, keys: Sequence[str], start: float = 1000.0) -> DataFrame:
+    """A path with the point that it starts from: one more row for each key, before any bet, whose
+    other columns are null."""
+    first = path.select(*keys).distinct().select(*keys, F.lit(start).alias("bankroll"), F.lit(start).alias("peak"), F.lit(0.0).alias("drawdown"))
+    return path.unionByName(first, allowMissingColumns=True)
+
+
 def backtest_summary(path: DataFrame, keys: Sequence[str], order: Sequence[str], start: float = 1000.0) -> DataFrame:
     placed = F.col("stake") > 0
     returns = F.when(placed, F.col("bet_return"))
@@ -172,20 +191,33 @@ def backtest_summary(path: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.withColumns({"roi": F.col("final") / F.lit(start) - F.lit(1.0), "sharpe_scaled": F.col("sharpe") * F.sqrt(F.col("bets").cast("double"))})
 
 
-def bootstrap(bets: DataFrame, keys: Sequence[str], order: Sequence[str], trials: int = 1000, seed: int = 42, start: float = 1000.0, buckets: int = 64) -> DataFrame:
-    """Final bankrolls when a group's placed bets are drawn anew with replacement, by quantile.
+def bootstrap(bets: DataFrame, keys: Sequence[str], trials: int = 10_000, seed: int = 42, start: float = 1000.0, block: int = 500) -> DataFrame:
+    """Quantiles of the final bankroll when a group's placed bets are drawn anew with replacement.
 
-    Draw d of a trial takes the bet whose number is a hash of (seed, trial, d), modulo the number
-    of bets: any engine draws the same. The draws are rows, spread by trial, joined to the bets
-    by number and multiplied up within each trial.
+    As many bets as a group has are drawn in each trial, and their order doesn't matter: how often
+    each different return is drawn is one multinomial draw. So a group is first counted by return,
+    and a trial costs as much as it has different returns, however many bets there are. Trials are
+    dealt in blocks with generators of their own, seeded by group and block: reruns agree.
     """
-    numbered = bets.filter("stake > 0").withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).select(*keys, "i", "bet_return")
-    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).repartition(buckets, "trial")
-    draws = draws.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), F.col("d").cast("string"))
-    draws = draws.withColumn("i", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
-    finals = draws.join(numbered, [*keys, "i"]).groupBy(*keys, "trial").agg((F.lit(start) * F.product(F.lit(1.0) + F.col("bet_return"))).alias("final"))
-    return finals.groupBy(*keys).agg(
+    counted = bets.filter("stake > 0").groupBy(*keys, "bet_return").agg(F.count("*").alias("n"))
+    counted = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bet_return", "n"))).alias("r"))
+    blocks = -(-trials // block)
+    dealt = counted.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(64, *keys, "b")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def finals(group: pd.Series, b: pd.Series, returns: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for g, i, r, n in zip(group, b, returns, counts, strict=True):
+            rng = np.random.default_rng([seed, g & (1 << 64) - 1, i])
+            size = min(block, trials - i * block)
+            drawn = rng.multinomial(int(n.sum()), n / n.sum(), size=size)
+            with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+                gains = np.where(drawn > 0, drawn * np.log1p(r), 0.0)  # a total loss that isn't drawn costs nothing
+                out.append(start * np.exp(gains.sum(1)))
+        return pd.Series(out, dtype=object)
+
+    name = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long")
+    drawn = dealt.select(*keys, F.explode(finals(name, "b", F.col("r.bet_return"), F.col("r.n"))).alias("final"))
+    return drawn.groupBy(*keys).agg(
         F.percentile("final", F.lit(0.5)).alias("median"), F.percentile("final", F.lit(0.05)).alias("p05"), F.percentile("final", F.lit(0.95)).alias("p95"), F.avg((F.col("final") > start).cast("int")).alias("p_profit")
     )

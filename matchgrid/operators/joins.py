@@ -52,14 +52,8 @@ def starters_with_history(starters: DataFrame, player_season: DataFrame, lookbac
 
 
 def prior_tournaments(matches: DataFrame, team_match: DataFrame, team: str) -> DataFrame:
-    """Records of the team named in column ``team`` from strictly earlier seasons."""
-    prior = team_match.select(F.col("team_name").alias(team), F.col("season").alias("past"), *[x for x in team_match.columns if x not in ("team_name", "season", "fixture_id")])
-    return matches.select("fixture_id", "season", team).join(prior, team).filter("past < season")
-
-
-def prior_totals(matches: DataFrame, team_match: DataFrame, team: str) -> DataFrame:
     """Number, goals and last season of the matches that the named team played in strictly earlier seasons."""
-    # earlier seasons in one row each, as in head_to_head
+    # earlier seasons in one row each, as in head_to_head: no match meets another
     past = team_match.groupBy(F.col("team_name").alias(team), F.col("season").alias("past")).agg(F.count("*").alias("n"), F.sum("scored").alias("scored"))
     prior = matches.select("fixture_id", "season", team).join(past, team).filter("past < season")
     return prior.groupBy("fixture_id").agg(F.sum("n").alias("n"), F.sum("scored").alias("scored"), F.max("past").alias("last"))

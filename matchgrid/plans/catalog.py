@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchgrid.plans import evaluation_queries, market_queries, projection_queries, relational_queries, source_queries, text_queries  # noqa: F401
+from matchgrid.plans import evaluation_queries, file_queries, market_queries, projection_queries, relational_queries, source_queries, text_queries  # noqa: F401
 from matchgrid.plans.registry import ORACLE, QUERIES
 from matchgrid.plans.views import Views
 

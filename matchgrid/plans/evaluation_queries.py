@@ -155,13 +155,14 @@ def e14(v):
 INPUTS_SQL = f"{FLAGS}, bi AS (SELECT regime, fixture_id, p_over, gt_total AS total FROM fl WHERE NOT anonymized)"
 
 
-def bets_sql(part="0.25::DOUBLE", cap="0.1::DOUBLE", source="bi"):
-    over = "(p_over - 1 / 1.9::DOUBLE)"
-    under = "((1 - p_over) - 1 / 1.9::DOUBLE)"
+def bets_sql(part="0.25::DOUBLE", cap="0.1::DOUBLE", source="bi", over_odds=1.9, under_odds=1.9):
+    over = f"(p_over - 1 / {over_odds}::DOUBLE)"
+    under = f"((1 - p_over) - 1 / {under_odds}::DOUBLE)"
     chance = f"(CASE WHEN {over} >= {under} THEN p_over ELSE 1 - p_over END)"
-    stake = f"least({part} * greatest((0.8999999999999999::DOUBLE * {chance} - (1 - {chance})) / 0.8999999999999999::DOUBLE, 0), {cap})"
+    net = f"(CASE WHEN {over} >= {under} THEN {over_odds - 1.0!r}::DOUBLE ELSE {under_odds - 1.0!r}::DOUBLE END)"
+    stake = f"least({part} * greatest(({net} * {chance} - (1 - {chance})) / {net}, 0), {cap})"
     return (
-        f"bt AS (SELECT *, CASE WHEN NOT placed THEN 0 WHEN won THEN stake * 0.8999999999999999::DOUBLE ELSE -stake END AS bet_return FROM (SELECT *, greatest({over}, {under}) >= 0.05 AND {stake} > 0 AS placed, ({over} >= {under}) = (total > 2.5) AS won, {over} >= {under} AS backs_over, "
+        f"bt AS (SELECT *, CASE WHEN NOT placed THEN 0 WHEN won THEN stake * net ELSE -stake END AS bet_return FROM (SELECT *, greatest({over}, {under}) >= 0.05 AND {stake} > 0 AS placed, ({over} >= {under}) = (total > 2.5) AS won, {over} >= {under} AS backs_over, {net} AS net, "
         f"CASE WHEN greatest({over}, {under}) >= 0.05 THEN {stake} ELSE 0 END AS stake FROM {source}))"
     )
 
@@ -180,6 +181,14 @@ def b02(v):
     return r9(E.place_bets(inputs(v)).select("regime", "fixture_id", "side", "stake", "bet_return"), "stake", "bet_return")
 
 
+@query(
+    "b02_place_bets_two_odds",
+    f"WITH {INPUTS_SQL}, {bets_sql(over_odds=1.8, under_odds=2.1)} SELECT regime, fixture_id, CASE WHEN placed THEN CASE WHEN backs_over THEN 'over' ELSE 'under' END END AS side, round(stake, 9) AS stake, round(bet_return, 9) AS bet_return FROM bt",
+)
+def b02_two_odds(v):
+    return r9(E.place_bets(inputs(v), 1.8, 2.1).select("regime", "fixture_id", "side", "stake", "bet_return"), "stake", "bet_return")
+
+
 # Paths are compared on hundreds of bets each, by team, so that products stay within doubles.
 KEYED_SQL = f"{INPUTS_SQL}, bk AS (SELECT bi.*, m.home_team_id AS team FROM bi JOIN matches m ON bi.fixture_id = m.fixture_id), {bets_sql(source='bk')}"
 PATH_SQL = f"{KEYED_SQL}, pa AS (SELECT *, 1000.0::DOUBLE * product(1 + bet_return) OVER w AS bankroll FROM bt WINDOW w AS (PARTITION BY regime, team ORDER BY fixture_id ROWS UNBOUNDED PRECEDING)), pk AS (SELECT *, greatest(max(bankroll) OVER w, 1000) AS peak FROM pa WINDOW w AS (PARTITION BY regime, team ORDER BY fixture_id ROWS UNBOUNDED PRECEDING)), dd AS (SELECT *, (bankroll - peak) / peak AS drawdown FROM pk)"
@@ -200,9 +209,12 @@ def sci(x):
     return F.format_string("%.6e", x)
 
 
-@query("b03_bankroll_path", f"WITH {PATH_SQL} SELECT regime, team, fixture_id, {SHORT.format('bankroll')} AS bankroll, round(drawdown, 6) AS drawdown FROM dd")
+@query(
+    "b03_bankroll_path",
+    f"WITH {PATH_SQL} SELECT regime, team, fixture_id, {SHORT.format('bankroll')} AS bankroll, round(drawdown, 6) AS drawdown FROM dd UNION ALL SELECT DISTINCT regime, team, NULL, {SHORT.format('1000.0::DOUBLE')}, 0.0::DOUBLE FROM dd",
+)
 def b03(v):
-    return path(v).select("regime", "team", "fixture_id", sci("bankroll").alias("bankroll"), F.round("drawdown", 6).alias("drawdown"))
+    return E.with_start(path(v), ["regime", "team"]).select("regime", "team", "fixture_id", sci("bankroll").alias("bankroll"), F.round("drawdown", 6).alias("drawdown"))
 
 
 @query("w04_running_bankroll", f"WITH {PATH_SQL} SELECT regime, team, fixture_id, {SHORT.format('bankroll')} AS bankroll FROM pa")
@@ -232,7 +244,7 @@ def b04(v):
 
 
 GRID_SQL = (
-    f"{INPUTS_SQL}, bg AS (SELECT bi.*, m.home_team_id AS team, kelly_fraction, cap FROM bi JOIN matches m ON bi.fixture_id = m.fixture_id CROSS JOIN (SELECT unnest([0.125, 0.25, 0.5])::DOUBLE AS kelly_fraction) CROSS JOIN (SELECT unnest([0.05, 0.1, 0.2])::DOUBLE AS cap) WHERE bi.regime = 'halftime'), "
+    f"{INPUTS_SQL}, bg AS (SELECT bi.*, m.home_team_id AS team, kelly_fraction, cap FROM bi JOIN matches m ON bi.fixture_id = m.fixture_id CROSS JOIN (SELECT unnest([0.1, 0.25, 0.5])::DOUBLE AS kelly_fraction) CROSS JOIN (SELECT unnest([0.05, 0.1, 0.2])::DOUBLE AS cap) WHERE bi.regime = 'halftime'), "
     + bets_sql("kelly_fraction", "cap", "bg")
     + ", pa AS (SELECT *, 1000.0::DOUBLE * product(1 + bet_return) OVER w AS bankroll FROM bt WINDOW w AS (PARTITION BY team, kelly_fraction, cap ORDER BY fixture_id ROWS UNBOUNDED PRECEDING)), pk AS (SELECT *, greatest(max(bankroll) OVER w, 1000) AS peak FROM pa WINDOW w AS (PARTITION BY team, kelly_fraction, cap ORDER BY fixture_id ROWS UNBOUNDED PRECEDING)), dd AS (SELECT *, (bankroll - peak) / peak AS drawdown FROM pk)"
 )
@@ -240,7 +252,7 @@ GRID_KEYS = ["team", "kelly_fraction", "cap"]
 
 
 def grid_path(v):
-    rows = J.config_grid(keyed(v).filter("regime = 'halftime'"), [0.125, 0.25, 0.5], [0.05, 0.1, 0.2])
+    rows = J.config_grid(keyed(v).filter("regime = 'halftime'"), [0.1, 0.25, 0.5], [0.05, 0.1, 0.2])
     return E.bankroll_path(E.place_bets(rows, kelly_fraction=c("kelly_fraction"), cap=c("cap")), GRID_KEYS, ["fixture_id"])
 
 
@@ -258,14 +270,7 @@ def b06(v):
     return counts.toDF("kelly_fraction", "cap_5", "cap_10", "cap_20")
 
 
-@query(
-    "b07_bootstrap",
-    f"""WITH {KEYED_SQL}, nb AS (SELECT regime, team, row_number() OVER (PARTITION BY regime, team ORDER BY fixture_id) - 1 AS i, bet_return FROM bt WHERE placed AND team < 3), sz AS (SELECT regime, team, count(*) AS n FROM nb GROUP BY ALL),
-dr AS (SELECT regime, team, trial, d, ('0x' || substr(md5('42:' || trial || ':' || d), 1, 8))::BIGINT % n AS i FROM sz, range(0, 200) a(trial), range(0, 100000) b(d) WHERE d < n),
-fi AS (SELECT dr.regime, dr.team, trial, 1000.0::DOUBLE * product(1 + bet_return) AS final FROM dr JOIN nb ON dr.regime = nb.regime AND dr.team = nb.team AND dr.i = nb.i GROUP BY ALL)
-SELECT regime, team, {SHORT.format('quantile_cont(final, 0.5)')} AS median, {SHORT.format('quantile_cont(final, 0.05)')} AS p05, {SHORT.format('quantile_cont(final, 0.95)')} AS p95, round(avg((final > 1000)::INTEGER), 9) AS p_profit FROM fi GROUP BY ALL""",
-)
+@query("b07_bootstrap")
 def b07(v):
-    bets = E.place_bets(keyed(v).filter("team < 3"))
-    out = E.bootstrap(bets, ["regime", "team"], ["fixture_id"], trials=200)
-    return out.select("regime", "team", *[sci(x).alias(x) for x in ("median", "p05", "p95")], F.round("p_profit", 9).alias("p_profit"))
+    """All placed bets and 10,000 trials; drawn at random, so tests compare it with plain resampling."""
+    return E.bootstrap(E.place_bets(keyed(v)), ["regime", "team"])

@@ -129,7 +129,10 @@ def q04(v):
     return Q.check_duplicates(v.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("q05_sums_preserved", "SELECT 'sum_goals' AS \"check\", true AS ok UNION ALL SELECT 'sum_minutes', true UNION ALL SELECT 'sum_assists', true")
+@query(
+    "q05_sums_preserved",
+    " UNION ALL ".join(f"SELECT 'sum_{x}' AS \"check\", abs(a - b) <= 1e-6 * greatest(abs(a), 1) AS ok FROM (SELECT coalesce(sum({x}), 0) AS a FROM player_season_raw) CROSS JOIN (SELECT coalesce(sum({x}), 0) AS b FROM player_season)" for x in ("goals", "minutes", "assists")),
+)
 def q05(v):
     return Q.check_sums_preserved(v.player_season_raw, v.player_season, ["goals", "minutes", "assists"])
 
@@ -159,34 +162,22 @@ def q09(v):
 
 @query(
     "q10_inner_gap",
-    "SELECT player_id, unnest(list_filter([1996, 1997, 1998, 1999], lambda y: NOT list_contains(seen, y)))::INTEGER AS missing FROM (SELECT player_id, list(DISTINCT season) AS seen FROM player_season_raw WHERE player_id % 2 = 0 AND (season <> 1997 OR player_id % 3 = 0) GROUP BY player_id HAVING min(season) < 1996 AND max(season) > 1999)",
+    "SELECT player_id, unnest(list_filter([1996, 1997, 1998, 1999], lambda y: NOT list_contains(seen, y)))::INTEGER AS missing FROM (SELECT player_id, list(DISTINCT season) AS seen FROM player_season_raw GROUP BY player_id HAVING min(season) < 1996 AND max(season) > 1999)",
 )
 def q10(v):
-    some = v.player_season_raw.filter("player_id % 2 = 0 and (season <> 1997 or player_id % 3 = 0)")
-    return Q.check_inner_gap(some, "player_id", "season", 1996, 1999).select("player_id", F.explode("missing").alias("missing"))
+    return Q.check_inner_gap(v.player_season_raw, "player_id", "season", 1996, 1999).select("player_id", F.explode("missing").alias("missing"))
 
 
 @query(
-    "q10_inner_gap_whole",
-    "SELECT player_id, unnest(list_filter([1996, 1997, 1998, 1999], lambda y: NOT list_contains(seen, y)))::INTEGER AS missing FROM (SELECT player_id, list(DISTINCT season) AS seen FROM player_season_raw GROUP BY player_id HAVING min(season) < 1996 AND max(season) > 1999)",
+    "q11_parts_total",
+    "SELECT whole, parts, whole = parts AS ok FROM (SELECT count(*) AS whole FROM lineitem) CROSS JOIN (SELECT sum(n)::BIGINT AS parts FROM (SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT count(*) FROM lineitem WHERE l_returnflag = 'N' UNION ALL SELECT count(*) FROM lineitem WHERE l_returnflag = 'R'))",
 )
-def q10_whole(v):
-    return Q.check_inner_gap(v.player_season_raw, "player_id", "season", 1996, 1999).select("player_id", F.explode("missing").alias("missing"))
-
-
-@query("q11_parts_total", "SELECT count(*) AS whole, count(*) AS parts, true AS ok FROM lineitem")
 def q11(v):
     return Q.check_parts_total(v.lineitem, *[v.lineitem.filter(c("l_returnflag") == x) for x in ("A", "N", "R")])
 
 
-@query("q12_single_parent", "SELECT player_id, string_agg(DISTINCT team_id::VARCHAR, ',' ORDER BY team_id::VARCHAR) AS parents FROM lineups WHERE fixture_id < 2000 GROUP BY player_id HAVING count(DISTINCT team_id) > 1")
+@query("q12_single_parent", "SELECT player_id, string_agg(DISTINCT team_id::VARCHAR, ',' ORDER BY team_id::VARCHAR) AS parents FROM lineups GROUP BY player_id HAVING count(DISTINCT team_id) > 1")
 def q12(v):
-    out = Q.check_single_parent(v.lineups.filter("fixture_id < 2000").withColumn("team", c("team_id").cast("string")), "player_id", "team")
-    return out.select("player_id", F.array_join("parents", ",").alias("parents"))
-
-
-@query("q12_single_parent_whole", "SELECT player_id, string_agg(DISTINCT team_id::VARCHAR, ',' ORDER BY team_id::VARCHAR) AS parents FROM lineups GROUP BY player_id HAVING count(DISTINCT team_id) > 1")
-def q12_whole(v):
     out = Q.check_single_parent(v.lineups.withColumn("team", c("team_id").cast("string")), "player_id", "team")
     return out.select("player_id", F.array_join("parents", ",").alias("parents"))
 

@@ -73,9 +73,9 @@ def a02(v):
     return A.first_known_meta(v.player_season_raw, META, order=["season", "batch_id", "row_no"])
 
 
-@query("j01_attach_player_meta", "SELECT s.player_id, s.season, s.goals, m.height FROM player_season s LEFT JOIN (SELECT player_id, max(height_cm) AS height FROM player_season_raw WHERE season < 1998 GROUP BY player_id) m ON s.player_id = m.player_id")
+@query("j01_attach_player_meta", "SELECT s.player_id, s.season, s.goals, m.height FROM player_season s LEFT JOIN (SELECT player_id, max(height_cm) AS height FROM player_season_raw GROUP BY player_id) m ON s.player_id = m.player_id")
 def j01(v):
-    meta = v.player_season_raw.filter("season < 1998").groupBy("player_id").agg(F.max("height_cm").alias("height"))
+    meta = v.player_season_raw.groupBy("player_id").agg(F.max("height_cm").alias("height"))
     return J.attach(v.player_season, meta, "player_id").select("player_id", "season", "goals", "height")
 
 
@@ -193,20 +193,10 @@ def team_match(v):
 
 @query(
     "j05_prior_tournaments",
-    f"WITH {TEAM_MATCH_SQL} SELECT m.fixture_id, count(*) AS n, sum(t.scored)::BIGINT AS scored, max(t.season) AS last FROM matches m JOIN tm t ON m.home_team_name = t.team_name AND t.season < m.season WHERE m.fixture_id % 50 = 0 GROUP BY m.fixture_id",
-)
-def j05(v):
-    picked = v.matches.filter("fixture_id % 50 = 0")
-    out = J.prior_tournaments(picked, team_match(v), "home_team_name")
-    return out.groupBy("fixture_id").agg(F.count("*").alias("n"), F.sum("scored").alias("scored"), F.max("past").alias("last"))
-
-
-@query(
-    "j05_prior_tournaments_whole",
     f"WITH {TEAM_MATCH_SQL}, ts AS (SELECT team_name, season, count(*) AS n, sum(scored) AS scored FROM tm GROUP BY ALL) SELECT m.fixture_id, sum(t.n)::BIGINT AS n, sum(t.scored)::BIGINT AS scored, max(t.season) AS last FROM matches m JOIN ts t ON m.home_team_name = t.team_name AND t.season < m.season GROUP BY m.fixture_id",
 )
-def j05_whole(v):
-    return J.prior_totals(v.matches, team_match(v), "home_team_name")
+def j05(v):
+    return J.prior_tournaments(v.matches, team_match(v), "home_team_name")
 
 
 ORACLE_H2H = (
@@ -523,13 +513,8 @@ def u02(v):
     return J.shared_teams(v.matches.filter("season = 1996").select(c("home_team_name").alias("team")), v.matches.filter("season = 1997").select("away_team_name"))
 
 
-@query("u03_only_in_left", "SELECT player_id FROM squads EXCEPT SELECT player_id FROM lineups WHERE is_starter AND season = 1995 AND fixture_id % 40 = 0")
+@query("u03_only_in_left", "SELECT player_id FROM squads EXCEPT SELECT player_id FROM lineups WHERE is_starter")
 def u03(v):
-    return J.only_in_left(v.squads.select("player_id"), v.lineups.filter("is_starter and season = 1995 and fixture_id % 40 = 0").select("player_id"))
-
-
-@query("u03_only_in_left_whole", "SELECT player_id FROM squads EXCEPT SELECT player_id FROM lineups WHERE is_starter")
-def u03_whole(v):
     return J.only_in_left(v.squads.select("player_id"), v.lineups.filter("is_starter").select("player_id"))
 
 

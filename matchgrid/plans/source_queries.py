@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -130,27 +128,24 @@ def above_low(fills):
     return streams.grouped_apply(rows.join(low, c("symbol").eqNullSafe(c("s"))), ["symbol", "page"], apply, "symbol bigint, event_id bigint, above_low double")
 
 
-def _streamed(v, build, mode):
-    """Runs a stream over the events table to its end and returns what it wrote to memory."""
+def _streamed(v, build):
+    """Runs a stream over the events table to its end and returns what it wrote."""
     spark = v.spark
     events = spark.readStream.schema(v.events.schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
     fills = events.filter(c("event_type").isin("purchase", "click", "error")).select(
         "event_id", (c("user_id") % 5).alias("symbol"), F.when(c("event_type") == "error", "SELL").otherwise("BUY").alias("taker_side"), (F.floor(c("value") * 100).cast("double") / 100).alias("price"),
         (c("event_id") % 50 + 10).alias("quantity"), c("ts").cast("timestamp").alias("ts"), (c("event_id") * 1000000).alias("time_ns"),
     )
-    name = f"stream_{uuid.uuid4().hex}"
-    running = build(fills).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    return streams.run_to_table(build(fills), streams.shared_folder(spark, "stream"))
 
 
 @query("r01_stream_trade_metrics", "SELECT date_trunc('hour', ts) AS start, symbol, count(*) AS trades, sum(quantity)::BIGINT AS volume, sum(CASE taker_side WHEN 'BUY' THEN quantity ELSE 0 END)::BIGINT AS buy_volume, round(sum(price * quantity) / sum(quantity), 6) AS vwap, arg_max(price, event_id) AS last_price FROM fills GROUP BY 1, 2")
 def r01(v):
-    return _streamed(v, streams.stream_trade_metrics, "complete").withColumn("vwap", F.round("vwap", 6))
+    return _streamed(v, streams.stream_trade_metrics).withColumn("vwap", F.round("vwap", 6))
 
 
 @query("r02_stream_running_totals", "SELECT symbol, count(*) AS total_trades, sum(quantity)::BIGINT AS total_volume FROM fills GROUP BY symbol")
 def r02(v):
-    return _streamed(v, streams.stream_running_totals, "complete")
+    return _streamed(v, streams.stream_running_totals)
 
 

@@ -226,7 +226,7 @@ def m03(v):
 def m04(v):
     data = dataset(v)
     names = [*[f"diff_{n}" for n in NAMES], "ht_home", "ht_away", "ht_total", "ht_diff"]
-    return M.fit_predict(data.filter("season < 1999"), data.filter("season >= 1999"), names, trees=5).select("fixture_id", "label", "pred_result", "pred_home", "pred_away")
+    return M.fit_predict(data.filter("season < 1999"), data.filter("season >= 1999"), names, trees=20, rate=0.1).select("fixture_id", "label", "pred_result", "pred_home", "pred_away", "p_home_win", "p_draw", "p_away_win")
 
 
 @query(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,22 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_records(df: DataFrame, path: str) -> None:
+    """JSON arrays of records, one for each partition: every file is read by ``read_json_array``."""
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("r"))
+
+    def arrays(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened = False
+        for p in parts:
+            if len(p):
+                yield pd.DataFrame({"value": [("," if opened or i else "[") + r for i, r in enumerate(p["r"])]})
+                opened = True
+        if opened:
+            yield pd.DataFrame({"value": ["]"]})
+
+    rows.mapInPandas(arrays, "value string").write.mode("overwrite").text(path)
+
+
 def write_partitioned(df: DataFrame, path: str, key: str) -> None:
     """One folder for each value of the key, named by its slug; the rows are spread by it first."""
     out = df.withColumn("slug", slug(F.col(key)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -28,6 +30,31 @@ def on_batch(stream: DataFrame, callback: Callable[[DataFrame, int], None], chec
     return stream.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name where all executors can write: below spark.checkpoint.dir.
+
+    Only a session on one machine may go without that setting.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a complete-mode aggregate over what is there now, its state and its result in a shared
+    folder, and returns the result: nothing passes through the driver."""
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    running = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result")
+
+
 def incremental_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, fmt: str = "json") -> None:
     """Appends the files that earlier runs haven't seen to a table, and waits for the end."""
     stream = spark.readStream.schema(schema).format(fmt).load(source)
