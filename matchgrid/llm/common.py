@@ -32,8 +32,8 @@ def persist_plan(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Keys of this many rows of at most 64 bytes are broadcast; more are shuffled.
-SMALL_ROWS = 1_000_000
+#: Keys of this many rows (of about 200 bytes: 50 MB) at most are broadcast; more are shuffled.
+SMALL_ROWS = 250_000
 
 
 def matching(left: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -152,9 +152,10 @@ def near_links(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     keyed = distinct.select("h1", "h2", F.posexplode(F.array("k1", "k2", "p1", "p2")).alias("i", "key")).select("h1", "h2", "key", "i", (F.col("i") >= 2).alias("probe"))
     shared = persist_plan(_shared(keyed))
     met = shared.select("h1", "h2").distinct()
-    ids = persist_plan(distinct.select("h1", "h2", "d", "th", "pos").join(met, ["h1", "h2"], "left_semi"))
+    place = F.xxhash64("d", "th", "pos").alias("at")  # null ids are places too
+    ids = persist_plan(distinct.select("h1", "h2", place).join(met, ["h1", "h2"], "left_semi"))
     # by line and place, so that the many rows of a common line don't meet
-    texts = matching(lines.select("d", "th", "pos", "n", *_hashes()), ids, ["h1", "h2", "d", "th", "pos"]).groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "pos", "n")).alias("r"))
+    texts = matching(lines.select("d", "th", "pos", "n", *_hashes(), place), ids, ["h1", "h2", "at"]).groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "pos", "n")).alias("r"))
     texts = persist_plan(texts)
     found = [_pairs(shared.filter(F.col("size") <= PAIRED))]
     crowd = shared.filter(F.col("size") > PAIRED)

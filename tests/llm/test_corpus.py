@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchgrid.llm import decontam, hashing, html, line_dedup, mixing, near_dedup, pii, quality, secrets, topk, toxicity
+from matchgrid.llm import common, decontam, hashing, html, line_dedup, mixing, near_dedup, pii, quality, secrets, topk, toxicity
 from matchgrid.llm.components import components
 
 WORDS = "the of and river stone quiet garden yellow market under seven lamps across winter song paper bridge early copper field north wheel glass candle open harbour".split()
@@ -579,6 +579,17 @@ def test_line_columns_of_clashing_names_stay(spark):
     assert got == [(1, "a line that is long enough to count", 1, 2, "k", 1, 0), (2, "", 3, 4, "l", 1, 1)]
 
 
+@pytest.mark.parametrize("rows", [0, 250_000])
+def test_keys_are_broadcast_or_shuffled_alike(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "SMALL_ROWS", rows)
+    line = "a line that is long enough to count"
+    df = spark.createDataFrame([(None, line), (1, line + "\nx"), (2, line), (2, line), (3, line[:-1] + "T?\n" + line[:-1]), (4, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(df).collect()), key=str)
+    assert got == sorted([(None, line), (1, "x"), (2, ""), (2, ""), (3, ""), (4, None)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dedup.keep_one(df.filter("doc_id is null or doc_id in (2, 4)")).collect()), key=str)
+    assert kept == sorted([(2, line), (4, None)], key=str)
+
+
 # -- 2: near-duplicates ------------------------------------------------------------------------
 
 
