@@ -46,18 +46,34 @@ def lookback_form(history: DataFrame, keys: Sequence[str], sums: Sequence[str],
     )
 
 
-def team_profile(form: DataFrame, keys: Sequence[str] = ("fixture_id", "team_id")) -> DataFrame:
+def form_by_season(player_season: DataFrame, sums: Sequence[str], rates: Sequence[str] = RATES, lookback: int = 3) -> DataFrame:
+    """A player's look-back form at each season that follows a season of theirs by at most ``lookback``.
+
+    Made once for a player and season, however many matches use it; they join it by equality.
+    """
+    later = F.explode(F.sequence(F.col("past") + 1, F.col("past") + lookback))
+    past = player_season.withColumnsRenamed({"season": "past", "position": "past_position"}).withColumn("season", later)
+    return lookback_form(past, ["player_id", "season"], sums, rates)
+
+
+def has_form() -> Column:
+    return F.col("seasons_with_data").isNotNull()
+
+
+def team_profile(form: DataFrame, keys: Sequence[str] = ("fixture_id", "team_id"), extra: Sequence[Column] = ()) -> DataFrame:
     """Team totals (1 place) and means (2 places) over starters with earlier seasons.
 
     Both are first rounded to nine places, so that the order of addition never shows. Teams none of whose starters has any don't appear.
+    ``form`` may hold starters without earlier seasons, with nulls for their form. ``extra`` aggregates are made in the same pass.
     """
     sums = [c for c in PROFILE_SUMS if c in form.columns]
     means = [c for c in PROFILE_MEANS if c in form.columns]
     return form.groupBy(*keys).agg(
-        F.count("*").alias("num_starters_with_data"),
+        F.count("seasons_with_data").alias("num_starters_with_data"),
         *[half_even(F.round(F.sum(c), 9), 1).alias(f"team_total_{c}") for c in sums],
         *[half_even(F.round(F.avg(c), 9), 2).alias(f"team_avg_{c}") for c in means],
-    )
+        *extra,
+    ).filter("num_starters_with_data > 0")
 
 
 def position_of(lineup: str = "position", career: str = "form_position") -> Column:

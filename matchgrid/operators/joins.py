@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A side of this many rows at most is broadcast; beyond it Spark shuffles and may re-plan.
@@ -59,21 +59,30 @@ def prior_tournaments(matches: DataFrame, team_match: DataFrame, team: str) -> D
     return prior.groupBy("fixture_id").agg(F.sum("n").alias("n"), F.sum("scored").alias("scored"), F.max("past").alias("last"))
 
 
-def head_to_head(matches: DataFrame) -> DataFrame:
-    """Earlier meetings of each match's two teams in either role, seen from its home side."""
+def with_head_to_head(matches: DataFrame) -> DataFrame:
+    """``matches`` with ``h2h``: earlier meetings of the two teams in either role, seen from the home side.
+
+    Meetings are counted by pair and season and summed up over the seasons; a match joins the sum
+    before its season by equality, so its row meets one other.
+    """
     h, a = F.col("home_team_name"), F.col("away_team_name")
     won_by = F.when(F.col("home_goals") > F.col("away_goals"), h).when(F.col("home_goals") < F.col("away_goals"), a)
-    pair = [F.least(h, a).alias("x"), F.greatest(h, a).alias("y")]
-    # earlier seasons in one row each, so that a pair's history isn't joined match by match
-    past = matches.select(*pair, F.col("season").alias("past"), won_by.alias("winner")).groupBy("x", "y", "past")
-    past = past.agg(F.count("*").alias("n"), F.count_if(F.col("winner") == F.col("x")).alias("wx"), F.count_if(F.col("winner") == F.col("y")).alias("wy"))
-    now = matches.select("fixture_id", "season", h, *pair)
-    found = now.join(past, ["x", "y"]).filter("past < season").groupBy("fixture_id").agg(F.sum("n").alias("n"), F.sum("wx").alias("wx"), F.sum("wy").alias("wy"))
-    out = now.join(found, "fixture_id", "left")
-    home_is_x = F.col("home_team_name") == F.col("x")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    one, two = F.when(home_is_x, F.col("wx")).otherwise(F.col("wy")), F.when(home_is_x, F.col("wy")).otherwise(F.col("wx"))
-    return out.select("fixture_id", zero(F.col("n")).alias("matches"), zero(one).alias("team1_wins"), zero(two).alias("team2_wins"), zero(F.col("n") - F.col("wx") - F.col("wy")).alias("draws"))
+    pair = [F.least(h, a).alias("_x"), F.greatest(h, a).alias("_y")]
+    met = matches.filter(F.col("season").isNotNull()).select(*pair, "season", won_by.alias("winner")).groupBy("_x", "_y", "season")
+    met = met.agg(F.count("*").alias("n"), F.count_if(F.col("winner") == F.col("_x")).alias("wx"), F.count_if(F.col("winner") == F.col("_y")).alias("wy"))
+    before = Window.partitionBy("_x", "_y").orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
+    past = met.select("_x", "_y", "season", F.struct(*[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in ("n", "wx", "wy")]).alias("_past"))
+    home_is_x = h == F.col("_x")
+    of = lambda name: F.coalesce(F.col("_past")[name], F.lit(0))
+    one, two = F.when(home_is_x, of("wx")).otherwise(of("wy")), F.when(home_is_x, of("wy")).otherwise(of("wx"))
+    h2h = F.struct(of("n").alias("matches"), one.alias("team1_wins"), two.alias("team2_wins"), (of("n") - of("wx") - of("wy")).alias("draws"))
+    return matches.select("*", *pair).join(past, ["_x", "_y", "season"], "left").select(*matches.columns, h2h.alias("h2h"))
+
+
+def head_to_head(matches: DataFrame) -> DataFrame:
+    """(fixture_id, matches, team1_wins, team2_wins, draws) of each match's earlier meetings."""
+    needed = matches.select("fixture_id", "season", "home_team_name", "away_team_name", "home_goals", "away_goals")
+    return with_head_to_head(needed).select("fixture_id", "h2h.*")
 
 
 def attach_events(matches: DataFrame, events: DataFrame) -> DataFrame:
@@ -88,13 +97,24 @@ def attach_events(matches: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumns({x: F.coalesce(x, F.array()) for x in ("goals", "cards", "substitutions")})
 
 
+def attach_sides(matches: DataFrame, per_team: DataFrame, name: str = "profile") -> DataFrame:
+    """``matches`` with ``home_<name>`` and ``away_<name>``: the team's row of ``per_team``, null if there is none.
+
+    ``per_team`` has one row at most for a fixture and team. A fixture's rows are put together
+    first, so a match is joined once for both sides.
+    """
+    rest = [x for x in per_team.columns if x not in ("fixture_id", "team_id")]
+    sides = per_team.groupBy("fixture_id").agg(F.collect_list(F.struct("team_id", F.struct(*rest).alias("row"))).alias("_sides"))
+    of = lambda side: F.get(F.filter("_sides", lambda t: t["team_id"] == F.col(f"{side}_team_id")), F.lit(0))["row"]
+    out = matches.join(sides, "fixture_id", "left")
+    return out.select(*matches.columns, of("home").alias(f"home_{name}"), of("away").alias(f"away_{name}"))
+
+
 def attach_two_profiles(matches: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The profile table joined in the home and in the away role."""
+    """The profile table, of one row for a fixture and team, joined in the home and in the away role."""
     rest = [x for x in profiles.columns if x not in ("fixture_id", "team_id")]
-    for side in ("home", "away"):
-        role = profiles.select("fixture_id", F.col("team_id").alias(f"{side}_team_id"), *[F.col(x).alias(f"{side}_{x}") for x in rest])
-        matches = matches.join(role, ["fixture_id", f"{side}_team_id"], "left")
-    return matches
+    flat = [F.col(f"{side}_profile")[x].alias(f"{side}_{x}") for side in ("home", "away") for x in rest]
+    return attach_sides(matches, profiles).select(*matches.columns, *flat)
 
 
 def attach_opponent(lineups: DataFrame, matches: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.functions.scalars import fmt_or_dash, half_even, result_from_score
-from matchgrid.operators.aggregates import position_of, team_profile
+from matchgrid.operators.aggregates import has_form, position_of, team_profile
+from matchgrid.operators.joins import attach_sides, with_head_to_head
 
 # Fixed texts of the samples.
 SYSTEM_PROMPT = "You are a football match prediction model. Given team stats, predict the result, score, and brief reasoning."
@@ -16,19 +17,25 @@ CLOSING = "Predict result, score, and reasoning."
 POSITIONS = ("Goalkeeper", "Defender", "Midfielder", "Attacker", "Forward")
 
 
-def team_blocks(form: DataFrame, lineups: DataFrame) -> DataFrame:
-    """Profile, coach, formation, position text and top scorer of each team and match with data."""
-    profile = team_profile(form)
-    rank = F.array_position(F.array(*[F.lit(p) for p in POSITIONS]), F.col("pos"))
-    counts = form.withColumn("pos", position_of()).groupBy("fixture_id", "team_id", "pos").agg(F.count("*").alias("n"))
-    item = F.struct(F.when(rank > 0, rank).otherwise(99).alias("rank"), "pos", "n")
-    text = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), F.upper(F.left(x["pos"], F.lit(3)))))
-    positions = counts.groupBy("fixture_id", "team_id").agg(F.array_join(text, ", ").alias("positions"))
-    top = form.groupBy("fixture_id", "team_id").agg(F.coalesce(F.max(half_even(F.col("goals"), 2)), F.lit(0.0)).alias("top_scorer"))
-    staff = lineups.filter("is_starter").groupBy("fixture_id", "team_id").agg(F.min_by(F.struct("coach", "formation"), F.struct("number", "player_id")).alias("s"))
-    staff = staff.select("fixture_id", "team_id", "s.coach", "s.formation")
-    keys = ["fixture_id", "team_id"]
-    return profile.join(positions, keys).join(top, keys).join(staff, keys, "left")
+def team_blocks(starters: DataFrame) -> DataFrame:
+    """Profile, coach, formation, position text and top scorer of each team and match with data.
+
+    ``starters`` are lineup rows with their form, or nulls where a player has none. All of a block
+    comes from one aggregation; the list in it is as long as a team has starters.
+    """
+    staff = F.min_by(F.struct("coach", "formation"), F.struct("number", "player_id"))
+    top = F.coalesce(F.max(half_even(F.col("goals"), 2)), F.lit(0.0))
+    listed = F.collect_list(F.when(has_form(), position_of()))
+    out = team_profile(starters, extra=[listed.alias("positions"), top.alias("top_scorer"), staff.alias("staff")])
+    order = F.array(*[F.lit(p) for p in POSITIONS])
+
+    def counted(p: Column) -> Column:
+        rank = F.array_position(order, p)
+        return F.struct(F.when(rank > 0, rank).otherwise(99).alias("rank"), p.alias("pos"), F.size(F.filter("positions", lambda x: x == p)).alias("n"))
+
+    items = F.array_sort(F.transform(F.array_distinct("positions"), counted))
+    text = F.transform(items, lambda x: F.concat(x["n"].cast("string"), F.lit(" "), F.upper(F.left(x["pos"], F.lit(3)))))
+    return out.withColumn("positions", F.array_join(text, ", ")).select("*", "staff.coach", "staff.formation").drop("staff")
 
 
 def form_before(team_match: DataFrame, n: int = 3) -> DataFrame:
@@ -48,16 +55,16 @@ def form_before(team_match: DataFrame, n: int = 3) -> DataFrame:
     return last.select("team_name", "season", F.array_join(F.transform(kept, lambda x: x["t"]), ", ").alias("form"))
 
 
-def match_context(matches: DataFrame, blocks: DataFrame, form: DataFrame, h2h: DataFrame) -> DataFrame:
-    """One nested row for each fixture: both teams' blocks and form, meetings and outcome."""
-    rest = [c for c in blocks.columns if c not in ("fixture_id", "team_id")]
-    out = matches
+def match_context(matches: DataFrame, blocks: DataFrame, form: DataFrame) -> DataFrame:
+    """One nested row for each fixture: both teams' blocks and form, meetings and outcome.
+
+    What is joined by team comes first, while rows are narrow.
+    """
+    out = with_head_to_head(matches)
     for side in ("home", "away"):
-        role = blocks.select("fixture_id", F.col("team_id").alias(f"{side}_team_id"), F.struct(*rest).alias(f"{side}_profile"))
         past = form.select(F.col("team_name").alias(f"{side}_team_name"), "season", F.col("form").alias(f"{side}_form"))
-        out = out.join(role, ["fixture_id", f"{side}_team_id"], "left").join(past, [f"{side}_team_name", "season"], "left")
-    met = h2h.select("fixture_id", F.struct("matches", "team1_wins", "team2_wins", "draws").alias("h2h"))
-    return out.join(met, "fixture_id", "left").withColumn("result", result_from_score(F.col("home_goals"), F.col("away_goals")))
+        out = out.join(past, [f"{side}_team_name", "season"], "left")
+    return attach_sides(out, blocks).withColumn("result", result_from_score(F.col("home_goals"), F.col("away_goals")))
 
 
 def render_team_block(profile: Column, label: Column) -> Column:
@@ -134,8 +141,13 @@ def render_reasoning(anonymized: Column) -> Column:
 
 
 def chat_samples(context: DataFrame, seed: int = 42) -> DataFrame:
-    """Each match named and anonymised: messages, metadata and an order that a seeded hash gives."""
+    """Each match named and anonymised: messages and metadata, in an order that a seeded hash gives.
+
+    Rows are put in order before they are rendered: contexts are shorter than their messages, and
+    the sample that the range sort takes doesn't render them.
+    """
     rows = context.withColumn("anonymized", F.explode(F.array(F.lit(False), F.lit(True))))
+    rows = rows.withColumn("shuffle_key", F.xxhash64("fixture_id", "anonymized", F.lit(seed))).orderBy("shuffle_key")
     hidden = F.col("anonymized")
     score = F.concat(F.col("home_goals").cast("string"), F.lit("-"), F.col("away_goals").cast("string"))
     answer = F.concat(F.lit("Prediction: "), F.col("result"), F.lit("\nScore: "), score, F.lit("\nReasoning: "), render_reasoning(hidden))
@@ -143,7 +155,7 @@ def chat_samples(context: DataFrame, seed: int = 42) -> DataFrame:
     return rows.select(
         F.array(message("system", F.lit(SYSTEM_PROMPT)), message("user", render_user_message(hidden)), message("assistant", answer)).alias("messages"),
         F.struct("fixture_id", "season", "home_team_name", "away_team_name", "result", score.alias("score"), "anonymized").alias("metadata"),
-        F.xxhash64("fixture_id", "anonymized", F.lit(seed)).alias("shuffle_key"),
+        "shuffle_key",
     )
 
 
@@ -216,29 +228,24 @@ TEAM_FEATURES = {
 FEATURE_POSITIONS = ("Attacker", "Midfielder", "Defender", "Goalkeeper")
 
 
-def team_features(profile: DataFrame, breakdown: DataFrame, keys: Sequence[str] = ("fixture_id", "team_id")) -> DataFrame:
-    """Ten scalars and four position counts as doubles; missing ones are 0."""
-    joined = profile.join(breakdown, list(keys), "left")
+def team_features(form: DataFrame, keys: Sequence[str] = ("fixture_id", "team_id")) -> DataFrame:
+    """Ten scalars and four position counts of a team's starters with form, as doubles; missing ones are 0."""
+    counts = [F.count_if(has_form() & (position_of() == p)).cast("double").alias(f"pos_{p.lower()}") for p in FEATURE_POSITIONS]
+    profile = team_profile(form, keys, extra=counts)
     scalars = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n) for n, c in TEAM_FEATURES.items()]
-    counts = [F.coalesce(F.try_element_at("position_breakdown", F.lit(p)).cast("double"), F.lit(0.0)).alias(f"pos_{p.lower()}") for p in FEATURE_POSITIONS]
-    return joined.select(*keys, *scalars, *counts)
+    return profile.select(*keys, *scalars, *[f"pos_{p.lower()}" for p in FEATURE_POSITIONS])
 
 
 def match_features(matches: DataFrame, features: DataFrame, regime: str = "pregame") -> DataFrame:
     """home_, away_ and diff_ features of each match, with the halftime state in its regime."""
     names = [c for c in features.columns if c not in ("fixture_id", "team_id")]
-    out = matches
-    for side in ("home", "away"):
-        role = features.select("fixture_id", F.col("team_id").alias(f"{side}_team_id"), *[F.col(n).alias(f"{side}_{n}") for n in names])
-        out = out.join(role, ["fixture_id", f"{side}_team_id"], "left")
-    zero = {f"{side}_{n}": F.coalesce(F.col(f"{side}_{n}"), F.lit(0.0)) for side in ("home", "away") for n in names}
-    out = out.withColumns(zero).withColumns({f"diff_{n}": F.col(f"home_{n}") - F.col(f"away_{n}") for n in names})
-    made = [*zero, *[f"diff_{n}" for n in names]]
+    of = lambda side, n: F.coalesce(F.col(f"{side}_profile")[n], F.lit(0.0))
+    made = {f"{side}_{n}": of(side, n) for side in ("home", "away") for n in names}
+    made |= {f"diff_{n}": of("home", n) - of("away", n) for n in names}
     if regime == "halftime":
         hh, ha = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("halftime_home", "halftime_away"))
-        out = out.withColumns({"ht_home": hh, "ht_away": ha, "ht_total": hh + ha, "ht_diff": hh - ha})
-        made += ["ht_home", "ht_away", "ht_total", "ht_diff"]
-    return out.select(*matches.columns, *made)
+        made |= {"ht_home": hh, "ht_away": ha, "ht_total": hh + ha, "ht_diff": hh - ha}
+    return attach_sides(matches, features).select(*matches.columns, *[c.alias(n) for n, c in made.items()])
 
 
 def decode_predictions(df: DataFrame, scores: str, home: str, away: str, labels: Sequence[str] = ("home_win", "draw", "away_win")) -> DataFrame:

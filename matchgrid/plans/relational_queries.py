@@ -119,8 +119,9 @@ FORM_SQL = (
 FORM_KEYS = ["fixture_id", "team_id", "player_id", "number", "position"]
 
 
-def form(v):
-    return A.lookback_form(history(v), FORM_KEYS, SUMS)
+def form(v, how="inner", *more):
+    starters = v.lineups.filter("is_starter").select(*FORM_KEYS, "season", *more)
+    return starters.join(A.form_by_season(P.derive_player_rates(v.player_season), SUMS), ["player_id", "season"], how)
 
 
 @query(
@@ -187,8 +188,8 @@ TEAM_MATCH_SQL = """tm AS (SELECT fixture_id, season, home_team_name AS team_nam
 
 
 def team_match(v):
-    side = lambda us, them: v.matches.select("fixture_id", "season", c(f"{us}_team_name").alias("team_name"), c(f"{them}_team_name").alias("opponent_name"), c(f"{us}_goals").alias("scored"), c(f"{them}_goals").alias("conceded"))
-    return side("home", "away").unionByName(side("away", "home"))
+    side = lambda us, them: F.struct(c(f"{us}_team_name").alias("team_name"), c(f"{them}_team_name").alias("opponent_name"), c(f"{us}_goals").alias("scored"), c(f"{them}_goals").alias("conceded"))
+    return v.matches.select("fixture_id", "season", F.inline(F.array(side("home", "away"), side("away", "home"))))
 
 
 @query(

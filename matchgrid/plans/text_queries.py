@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchgrid.functions import scalars as S
-from matchgrid.operators import aggregates as A
 from matchgrid.operators import joins as J
 from matchgrid.operators import model as M
 from matchgrid.operators import projections as P
@@ -29,8 +28,7 @@ cx AS (SELECT m.*, h AS hp, a AS ap, f1.form AS home_form, f2.form AS away_form,
 
 
 def context(v):
-    form = R.form(v)
-    return G.match_context(v.matches, G.team_blocks(form, v.lineups), G.form_before(R.team_match(v)), J.head_to_head(v.matches))
+    return G.match_context(v.matches, G.team_blocks(R.form(v, "left", "coach", "formation")), G.form_before(R.team_match(v)))
 
 
 @query(
@@ -117,7 +115,7 @@ TEAMS = ("'Team A'", "'Team B'")
     f"SELECT fixture_id, anonymized, 'system' AS role, '{G.SYSTEM_PROMPT}' AS content FROM sm UNION ALL SELECT fixture_id, anonymized, 'user', u FROM sm UNION ALL SELECT fixture_id, anonymized, 'assistant', a FROM sm",
 )
 def g06(v):
-    out = G.chat_samples(context(v)).orderBy("shuffle_key").select("metadata.fixture_id", "metadata.anonymized", F.explode("messages").alias("m"))
+    out = G.chat_samples(context(v)).select("metadata.fixture_id", "metadata.anonymized", F.explode("messages").alias("m"))
     return out.select("fixture_id", "anonymized", c("m")["role"].alias("role"), c("m")["content"].alias("content"))
 
 
@@ -194,8 +192,7 @@ NAMES = [*G.TEAM_FEATURES, *[f"pos_{p.lower()}" for p in G.FEATURE_POSITIONS]]
 
 
 def features(v):
-    form = R.form(v)
-    return G.team_features(A.team_profile(form), A.position_breakdown(form))
+    return G.team_features(R.form(v))
 
 
 @query("m01_team_features", f"{FEATURE_SQL} SELECT fixture_id, team_id, {', '.join(NAMES)} FROM tf")
