@@ -1,6 +1,7 @@
 """Line deduplication across a corpus, up to one edit, in DataFrame functions only.
 
-A line is dropped when an earlier line of the corpus is equal to it or one edit away. Pairs one
+A line is dropped when an earlier line of the corpus is equal to it or, from 20 characters on,
+one edit away; in shorter lines an edit makes another line. Pairs one
 edit apart are found by a segment-partition join: a line is split into threshold + 1 = 2
 segments, of which one edit leaves one whole. The segments index a line by its length; a line
 probes the index of its own length and of the next shorter one with the substrings that the
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from matchgrid.llm.common import matching, persist_plan, unused
 
 MAX_EDITS = 1
-#: Shorter lines (after trimming) are left alone.
+#: Shorter lines (after trimming) are dropped only if equal to an earlier one.
 MIN_CHARS = 20
 #: Lines of an index entry that are paired; an entry of more is split by the segments of the rests,
 #: of which there are so many.
@@ -33,20 +34,20 @@ def normal(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(d, th, pos, n): document, hash of its text, line number and normal form of long lines."""
+    """(d, th, pos, n): document, hash of its text, line number and normal form of lines that aren't blank."""
     parts = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return parts.select("d", "th", "pos", normal(F.col("line")).alias("n")).filter(F.length("n") >= MIN_CHARS)
+    return parts.select("d", "th", "pos", normal(F.col("line")).alias("n")).filter("n <> ''")
 
 
 def segment_keys(n: Column) -> list[Column]:
-    """The line's own two index keys, and the two it probes the next shorter length with."""
+    """The line's own two index keys, and the two it probes the next shorter length with; nulls for a short line."""
     size, out = F.length(n), []
     for shorter in (0, 1):
         length = size - shorter
         half = F.floor(length / 2).cast("int")
         out.append(F.xxhash64(F.lit(1), length, F.left(n, half)))
         out.append(F.xxhash64(F.lit(2), length, F.right(n, length - half)))
-    return out
+    return [F.when(size >= MIN_CHARS, key) for key in out]
 
 
 def with_edit_distance(df: DataFrame, a: Column, b: Column, k: int, out: str) -> DataFrame:
@@ -143,13 +144,13 @@ def _stars(rows: DataFrame) -> DataFrame:
 def near_links(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2, g1, g2): hashes of a line and of an earlier line one edit away.
 
-    Every line has at least one earlier line here if it has any one edit away. The lines of an
+    Every line of 20 characters has at least one earlier such line here if it has any one edit away. The lines of an
     index entry are paired where they are few; an entry of many is split by parts of the rests,
     which get shorter from round to round: all rounds together shuffle a line's characters as
     often as it has such entries in a round, at most once for each halving of its length. Where
     one character is left, each line is paired with one other.
     """
-    keyed = distinct.select("h1", "h2", F.posexplode(F.array("k1", "k2", "p1", "p2")).alias("i", "key")).select("h1", "h2", "key", "i", (F.col("i") >= 2).alias("probe"))
+    keyed = distinct.select("h1", "h2", F.posexplode(F.array("k1", "k2", "p1", "p2")).alias("i", "key")).select("h1", "h2", "key", "i", (F.col("i") >= 2).alias("probe")).filter("key is not null")
     shared = persist_plan(_shared(keyed))
     met = shared.select("h1", "h2").distinct()
     place = F.xxhash64("d", "th", "pos").alias("at")  # null ids are places too
@@ -199,7 +200,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """``docs`` with ``text`` cut down to first lines, and n_lines and n_dropped added.
 
     Lines are compared trimmed and in lower case; the order is that of the ids (null first), then
-    of the text's hash, then of the lines. Lines of under 20 characters stay. Null texts stay
+    of the text's hash, then of the lines. Lines of under 20 characters go only if equal to an
+    earlier line, and blank ones stay: they part paragraphs. Null texts stay
     null and empty ones empty, with 0 and 1 lines; a text of which nothing is left becomes
     empty; rows alike in id and text are one document and get the same result; columns named
     n_lines or n_dropped are replaced; an empty table gives an empty one.
@@ -219,8 +221,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     kept = kept.select(F.coalesce(F.col("d").cast("string"), F.lit("null")).alias(key), F.col("th").alias(body), F.col("_kept").alias(kept_at))
     joined = keyed_docs.join(kept, [key, body], "left").withColumn(parts, F.split(F.col(text), "\n", -1))
     everything = F.sequence(F.lit(0), F.size(parts) - 1)
-    short = F.filter(everything, lambda i: F.length(normal(F.get(parts, i))) < MIN_CHARS)
-    stay = F.array_sort(F.array_union(short, F.coalesce(kept_at, F.array().cast("array<int>"))))
+    blank = F.filter(everything, lambda i: normal(F.get(parts, i)) == "")
+    stay = F.array_sort(F.array_union(blank, F.coalesce(kept_at, F.array().cast("array<int>"))))
     joined = joined.withColumn(stay_at, F.when(F.col(text).isNotNull(), stay))
     n_lines = F.when(F.col(text).isNotNull(), F.size(parts)).otherwise(0)
     cut = F.struct(

@@ -143,11 +143,11 @@ WITH p AS (
 ), n AS (
   SELECT *, lower(trim(line, ' ' || chr(9) || chr(13))) AS n FROM l
 ), f AS (
-  SELECT n, min((doc_id, pos)) AS first FROM n WHERE length(n) >= 20 GROUP BY n
+  SELECT n, min((doc_id, pos)) AS first FROM n WHERE n <> '' GROUP BY n
 ), h AS (
   SELECT n, first, length(n) AS m, left(n, length(n) // 2) AS a, right(n, length(n) - length(n) // 2) AS b,
          left(n, (length(n) - 1) // 2) AS pa, right(n, (length(n) - 1) - (length(n) - 1) // 2) AS pb
-  FROM f
+  FROM f WHERE length(n) >= 20
 ), c AS (
   SELECT x.n AS xn, x.first AS xf, y.n AS yn, y.first AS yf FROM h x JOIN h y ON x.m = y.m AND x.a = y.a AND x.n < y.n
   UNION SELECT x.n, x.first, y.n, y.first FROM h x JOIN h y ON x.m = y.m AND x.b = y.b AND x.n < y.n
@@ -157,7 +157,7 @@ WITH p AS (
   SELECT DISTINCT CASE WHEN xf > yf THEN xn ELSE yn END AS n FROM c WHERE levenshtein(xn, yn) <= 1
 ), k AS (
   SELECT n.doc_id, n.pos, n.line,
-         length(n.n) < 20 OR ((n.doc_id, n.pos) = f.first AND g.n IS NULL) AS stays
+         n.n = '' OR ((n.doc_id, n.pos) = f.first AND g.n IS NULL) AS stays
   FROM n LEFT JOIN f ON n.n = f.n LEFT JOIN g ON n.n = g.n
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text,

@@ -515,7 +515,8 @@ def brute_lines(docs):
         kept = []
         for line in t.split("\n"):
             n = line.strip(" \t\r").lower()
-            if len(n) >= line_dedup.MIN_CHARS and any(abs(len(n) - len(x)) <= 1 and within_one(n, x) for x in seen):
+            least = line_dedup.MIN_CHARS
+            if n and (n in seen or len(n) >= least and any(len(x) >= least and abs(len(n) - len(x)) <= 1 and within_one(n, x) for x in seen)):
                 seen.append(n)
                 continue
             seen.append(n)
@@ -537,7 +538,7 @@ def test_lines_against_brute_force(spark, monkeypatch, paired):
             for _ in range(rng.randrange(3)):
                 i = rng.randrange(len(t))
                 t[i : i + rng.randrange(2)] = rng.choice(["", "q", "z"])
-            lines.append("".join(t) if rng.random() < 0.8 else rng.choice(["", "short", prose(rng, 8)]))
+            lines.append("".join(t) if rng.random() < 0.8 else rng.choice(["", "short", "Short ", "shorts", base[0][:19], base[0][:20], prose(rng, 8)]))
         docs[d] = "\n".join(lines)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
@@ -552,6 +553,12 @@ def test_lines_edge_cases(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines_go_only_if_equal(spark):
+    df = spark.createDataFrame([(1, "Terms of use\n\nbody of one\n"), (2, " terms of use\t\n\nbody of two\n \nbody of two"), (3, "terms of use!\r\nBody of one")], "doc_id long, text string")
+    got = [(r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()]
+    assert got == [("Terms of use\n\nbody of one\n", 4, 0), ("\nbody of two\n ", 5, 2), ("terms of use!\r", 2, 1)]
+
+
 def test_long_lines_of_one_half_are_split_without_carrying_them(spark):
     """40 lines of 20,000 characters share a half; what is shuffled stays a few times the text."""
     rng = random.Random(17)
