@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchgrid.llm import decontam, html, line_dedup, mixing, near_dedup, pii, quality, secrets, topk, toxicity
+from matchgrid.llm import clustering, decontam, html, importance, language_model, line_dedup, mixing, near_dedup, pii, quality, secrets, topk, toxicity
 from matchgrid.llm.common import read
 
 
@@ -171,6 +171,89 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.distance")
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(_held_out(F.col("doc_id"), 5, 1), F.lit(False))
+    scored = language_model.score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH steps AS (
+  SELECT list(c ORDER BY b) AS s FROM (
+    SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS b))
+), t AS (
+  SELECT 'd' AS part, doc_id AS id, row_number() OVER () AS n, text FROM documents
+  UNION ALL SELECT 'b', NULL, row_number() OVER (), text FROM benchmark
+), w AS (
+  SELECT part, id, n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t
+), f AS (
+  SELECT part, n, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM w
+), c AS (
+  SELECT part, n, f, count(*) AS k FROM f GROUP BY ALL
+), g AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)),
+    lambda c, x: xor(c // 256, s[xor(c % 256, x) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT f FROM c) CROSS JOIN steps
+), n AS (
+  SELECT b, coalesce(sum(k) FILTER (part = 'd'), 0)::DOUBLE AS s, coalesce(sum(k) FILTER (part = 'b'), 0)::DOUBLE AS t FROM c JOIN g USING (f) GROUP BY b
+), gains AS (
+  SELECT b, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM n
+), sums AS (
+  SELECT n, sum(k)::BIGINT AS n_features, floor(sum(k * gain)::DOUBLE / sum(k)::DOUBLE)::BIGINT AS weight FROM c JOIN g USING (f) JOIN gains USING (b) WHERE part = 'd' GROUP BY n
+), d AS (
+  SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         ('0x' || left(sha256('7:' || id::VARCHAR), 8))::BIGINT AS h
+  FROM w LEFT JOIN sums USING (n) WHERE part = 'd'
+), e AS (
+  SELECT doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS able FROM e
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM r
+"""
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """Each round is a pair of CTEs: the nearest centroid of every vector, then the new centroids."""
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS c, x AS m FROM v ORDER BY sha256('2:' || vec_id::VARCHAR) LIMIT 40
+)"""
+    ]
+    for i in range(6):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT n, vec_id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT n, vec_id, x, c, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{i}) GROUP BY n, vec_id, x
+)"""
+        )
+        if i < 5:
+            parts.append(
+                f"""c{i + 1} AS MATERIALIZED (
+  SELECT c0.c, coalesce(s.m, o.m) AS m FROM c0 JOIN c{i} o ON c0.c = o.c LEFT JOIN (
+    SELECT c, list(m ORDER BY j) AS m FROM (
+      SELECT c, j, floor(sum(x[j])::DOUBLE / count(*)::DOUBLE)::BIGINT AS m FROM a{i} CROSS JOIN (SELECT unnest(range(1, 65)) AS j) GROUP BY c, j) GROUP BY c) s ON c0.c = s.c
+)"""
+            )
+    return "WITH " + ", ".join(parts) + """
+SELECT vec_id, a5.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a5.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON a5.c = c5.c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_near_duplicates": op2_near_duplicates,
@@ -182,5 +265,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_line_dedup": op9_line_dedup,
     "op10_leaks": op10_leaks,
+    "op11_language_model": op11_language_model,
+    "op12_importance": op12_importance,
+    "op13_clusters": op13_clusters,
 }
-ORACLE: dict[str, str] = {"op7_top_k": OP7_SQL, "op8_mix": OP8_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE: dict[str, str] = {"op7_top_k": OP7_SQL, "op8_mix": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_importance": OP12_SQL, "op13_clusters": _op13_sql()}
