@@ -139,32 +139,40 @@ class _Block:
 
 
 def _blocks(docs: DataFrame, order: int, key_type: T.DataType) -> DataFrame:
-    """(block, keys, size, data); needs columns key, text, kind."""
+    """(block, keys, size, data); needs columns key, text, kind.
+
+    Documents for the weights have blocks of their own, of odd numbers.
+    """
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, uid, number, block = TaskContext.get().partitionId() << 32, 0, 0, _Block()
+        base, uid, made, open_ = TaskContext.get().partitionId() << 32, 0, 0, [_Block(), _Block()]
+        names = None
+
+        def close(weighed: int) -> pa.RecordBatch:
+            nonlocal made
+            row = open_[weighed].row(base + 2 * made + weighed)
+            made, open_[weighed] = made + 1, _Block()
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, names, strict=True)], schema=names)
+
         for batch in batches:
             names = pa.schema([("block", pa.int64()), ("keys", pa.list_(batch.schema.field("key").type)), ("size", pa.int64()), ("data", pa.binary())])
             keys, kinds = batch.column("key").to_pylist(), batch.column("kind").to_pylist()
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            before, place, first = np.empty(0, np.uint64), 0, True
+            before, place = np.empty(0, np.uint64), 0
             for i, tokens, ends in _token_runs(texts):
-                if first:
-                    before, place = np.empty(0, np.uint64), 0
-                at = 0
+                weighed, at = int(kinds[i] == WEIGHED), 0
                 while at < len(tokens):
+                    block = open_[weighed]
                     took = tokens[at : at + max(1, BLOCK - block.size)]
-                    block.add(base + uid, keys[i], kinds[i], np.concatenate([before, took]), place - len(before), len(before))
-                    at, place, first = at + len(took), place + len(took), False
-                    before = np.concatenate([before, took])
-                    before = before[len(before) - min(place, order - 1) :]
+                    both = np.concatenate([before, took])
+                    block.add(base + uid, keys[i], kinds[i], both, place - len(before), len(before))
+                    at, place = at + len(took), place + len(took)
+                    before = both[len(both) - min(place, order - 1) :]
                     if block.size >= BLOCK:
-                        yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(block.row(base + number), names, strict=True)], schema=names)
-                        number, block = number + 1, _Block()
-                first = ends
-                uid += ends
-        if block.rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(block.row(base + number), names, strict=True)], schema=names)
+                        yield close(weighed)
+                if ends:
+                    before, place, uid = np.empty(0, np.uint64), 0, uid + 1
+        yield from (close(w) for w in (0, 1) if open_[w].rows)
 
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key_type)), T.StructField("size", T.LongType()), T.StructField("data", T.BinaryType())])
     return docs.mapInArrow(lay_out, schema)
@@ -381,18 +389,21 @@ def score_texts(docs: DataFrame, learns: Column, key: str = "doc_id", text: str
     """
     if order < 1:
         raise ValueError("order must be 1 or more")
-    spark, key_type = docs.sparkSession, docs.schema[key].dataType
+    key_type = docs.schema[key].dataType
     part = F.when(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(HELD)) == 0, WEIGHED).otherwise(COUNTED)
     kind = F.when(F.coalesce(learns, F.lit(False)), part).otherwise(SCORED)
     ready = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), kind.cast("int").alias("kind"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = persist_plan(_blocks(ready, order, key_type).repartition(parts, "block"))
+    blocks = persist_plan(_blocks(ready, order, key_type))
     n = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    answers = persist_plan(_answers(blocks, order, 1 + order * n // RANGE).repartition(parts, "block"))
+    answers = persist_plan(_answers(blocks, order, 1 + order * n // RANGE))
     stats = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS]).first()
     n_words, n_tokens, n_docs = stats["words"], stats["n_counted"] + stats["n_weighed"], stats["docs_counted"] + stats["docs_weighed"]
-    joined = blocks.groupBy("block").cogroup(answers.select("block", "range", "data").groupBy("block"))
-    weights = _learn_weights(joined, order, stats["n_counted"], stats["docs_counted"], n_words)
+
+    def joined(which: Column):
+        answered = answers.filter(which).select("block", "range", "data").groupBy("block")
+        return blocks.filter(which).groupBy("block").cogroup(answered)
+
+    weights = _learn_weights(joined(F.col("block") % 2 == 1), order, stats["n_counted"], stats["docs_counted"], n_words)
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         (data,), (keys,) = block.column("data"), block.column("keys")
@@ -406,5 +417,5 @@ def score_texts(docs: DataFrame, learns: Column, key: str = "doc_id", text: str
         return pa.table([pa.array(tokens.uid), keys.values, *[pa.array(x.astype(np.int64)) for x in sums[:2]], *[pa.array(x) for x in sums[2:]]], names=["uid", "key", "n_tokens", "n_known", "base_score", "score"])
 
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("key", key_type)] + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")])
-    scored = joined.applyInArrow(score, schema).groupBy("uid").agg(F.first("key").alias("key"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    scored = joined(F.lit(True)).applyInArrow(score, schema).groupBy("uid").agg(F.first("key").alias("key"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return scored.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
