@@ -7,11 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchgrid.functions.scalars import kelly, p_over, wilson
+from matchgrid.operators.ranges import ROWS, compound
 
 # -- scores ------------------------------------------------------------------------------------
 
@@ -159,14 +160,13 @@ def place_bets(
     return df.withColumns({"won": F.when(placed, won), "bet_return": F.when(placed, F.when(won, F.col("stake") * gain).otherwise(-F.col("stake"))).otherwise(0.0)})
 
 
-def bankroll_path(bets: DataFrame, keys: Sequence[str], order: Sequence[str], start: float = 1000.0) -> DataFrame:
+def bankroll_path(bets: DataFrame, keys: Sequence[str], order: Sequence[str], start: float = 1000.0, rows: int = ROWS) -> DataFrame:
     """Bankroll after each step, its peak so far (not below the start) and the drawdown.
 
-    Stakes are shares, so a path is a running product, partitioned by strategy and setting.
+    Stakes are shares, so a path is a running product. The path of a strategy of many bets is made
+    in ranges of its order, which join by their products and peaks.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = bets.withColumn("bankroll", F.lit(start) * F.product(F.lit(1.0) + F.col("bet_return")).over(w))
-    df = df.withColumn("peak", F.greatest(F.max("bankroll").over(w), F.lit(start)))
+    df = compound(bets, keys, order, F.lit(1.0) + F.col("bet_return"), start, "bankroll", "peak", rows)
     return df.withColumn("drawdown", (F.col("bankroll") - F.col("peak")) / F.col("peak"))
 
 

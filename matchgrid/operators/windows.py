@@ -1,4 +1,4 @@
-"""Window operators, orderings and top-n."""
+"""Window operators, orderings and top-n. Those over the rows of a key take keys of any size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrid.operators.ranges import ROWS, rolling, running
+
 
 def keep_first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row for each key, the first of a total order. Row limits reach below the shuffle."""
@@ -30,17 +32,15 @@ def strength_rank(strength: DataFrame) -> DataFrame:
     return strength.withColumn("strength", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("strength"), F.asc("team_id"))))
 
 
-def running_product(df: DataFrame, keys: Sequence[str], order: Sequence[str], factor: Column, name: str, start: float) -> DataFrame:
+def running_product(df: DataFrame, keys: Sequence[str], order: Sequence[str], factor: Column, name: str, start: float, rows: int = ROWS) -> DataFrame:
     """start times the product of the factors so far, within each key."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.lit(start) * F.product(factor).over(w))
+    return running(df, keys, order, {name: ("product", factor)}, rows).withColumn(name, F.lit(start) * F.col(name))
 
 
-def drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, start: float) -> DataFrame:
+def drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, start: float, rows: int = ROWS) -> DataFrame:
     """running_peak (not below the start) and drawdown, 0 or less."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest(F.max(value).over(w), F.lit(start))
-    return df.withColumn("running_peak", peak).withColumn("drawdown", (F.col(value) - F.col("running_peak")) / F.col("running_peak"))
+    df = running(df, keys, order, {"running_peak": ("max", F.col(value))}, rows).withColumn("running_peak", F.greatest("running_peak", F.lit(start)))
+    return df.withColumn("drawdown", (F.col(value) - F.col("running_peak")) / F.col("running_peak"))
 
 
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -48,28 +48,29 @@ def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
     return df.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= n)
 
 
-def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, name: str) -> DataFrame:
+def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, name: str, rows: int = ROWS) -> DataFrame:
     """Mean of the last n rows; nulls are skipped, short starts allowed."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
-    return df.withColumn(name, F.avg(value).over(w))
+    return rolling(df, keys, order, n, lambda w: {name: F.avg(value).over(w.rowsBetween(1 - n, 0))}, rows)
 
 
-def rolling_flow_imbalance(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, history: int = 100) -> DataFrame:
+def rolling_flow_imbalance(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, history: int = 100, rows: int = ROWS) -> DataFrame:
     """(bought - sold) / (bought + sold) over the last n fills (at most ``history``); null on 0."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - min(n, history), 0)
-    buy = F.sum(F.when(F.col("taker_side") == "BUY", F.col("quantity")).otherwise(0)).over(w)
-    sell = F.sum(F.when(F.col("taker_side") == "SELL", F.col("quantity")).otherwise(0)).over(w)
-    return df.withColumn("flow_imbalance", F.try_divide((buy - sell).cast("double"), (buy + sell).cast("double")))
+    n = min(n, history)
 
+    def imbalance(w) -> dict[str, Column]:
+        buy, sell = (F.sum(F.when(F.col("taker_side") == side, F.col("quantity")).otherwise(0)).over(w.rowsBetween(1 - n, 0)) for side in ("BUY", "SELL"))
+        return {"flow_imbalance": F.try_divide((buy - sell).cast("double"), (buy + sell).cast("double"))}
 
-def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") % n == 0)
+    return rolling(df, keys, order, n, imbalance, rows)
+
+
+def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, rows: int = ROWS) -> DataFrame:
+    """Rows whose number within their key (``nth``, from 1) is divisible by n."""
+    return running(df, keys, order, {"nth": ("sum", F.lit(1))}, rows).filter(F.col("nth") % n == 0)
 
 
-def cumulative_counters(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"total_trades": F.count("*").over(w), "total_volume": F.sum("quantity").over(w)})
+def cumulative_counters(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = ROWS) -> DataFrame:
+    return running(df, keys, order, {"total_trades": ("sum", F.lit(1)), "total_volume": ("sum", F.col("quantity"))}, rows)
 
 
 def top_n(df: DataFrame, n: int, value: str, ties: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from matchgrid.operators import checks as Q
 from matchgrid.operators import orders as L
 from matchgrid.operators import windows as W
+from matchgrid.operators.ranges import as_of_join
 from matchgrid.plans.registry import query
 
 c, lit = F.col, F.lit
@@ -65,6 +66,73 @@ def l05(v):
     return L.top_of_book(L.price_levels(l3(v))).withColumns({x: F.round(x, 6) for x in ("spread_bps", "micro_price")})
 
 
+# -- the book over time: every tenth valid event of a symbol is a sample point ------------------
+
+
+def _series_sql(n: int) -> str:
+    """Books rebuilt for each sample point from all events and fills up to it."""
+    return f"""{VALID_SQL}, ok AS (SELECT * FROM vo WHERE error IS NULL), sp AS (SELECT symbol, time_ns, row_number() OVER (PARTITION BY symbol ORDER BY time_ns) AS nth FROM (SELECT symbol, time_ns, row_number() OVER (PARTITION BY symbol ORDER BY time_ns, event_id) AS k FROM ok) WHERE k % {n} = 0),
+ob AS (SELECT sp.symbol AS at_symbol, sp.time_ns AS at_ns, nth, order_id, arg_max(price, event_id) FILTER (action IN ('NEW', 'AMEND')) AS price, arg_max(quantity, event_id) FILTER (action IN ('NEW', 'AMEND')) AS quantity,
+  CASE WHEN upper(arg_min(side, event_id) FILTER (action = 'NEW')) IN ('BUY', 'BID', 'B') THEN 'BUY' ELSE 'SELL' END AS side, arg_min(ok.symbol, event_id) FILTER (action = 'NEW') AS symbol, count(*) FILTER (action = 'CANCEL') AS cancels, count(*) FILTER (action = 'NEW') AS news
+  FROM sp JOIN ok ON ok.time_ns <= sp.time_ns GROUP BY 1, 2, 3, 4), of AS (SELECT sp.symbol AS at_symbol, sp.time_ns AS at_ns, 'o' || (event_id - 3) AS order_id, sum(quantity // 4)::BIGINT AS filled FROM sp JOIN fills ON fills.time_ns <= sp.time_ns GROUP BY 1, 2, 3),
+ol AS (SELECT at_symbol AS symbol, at_ns AS time_ns, nth, side, price, sum(quantity - coalesce(filled, 0))::BIGINT AS quantity, count(*) AS orders FROM ob LEFT JOIN of USING (at_symbol, at_ns, order_id) WHERE symbol = at_symbol AND cancels = 0 AND news > 0 AND quantity - coalesce(filled, 0) > 0 GROUP BY ALL),
+tl AS (SELECT *, row_number() OVER (PARTITION BY symbol, nth, side ORDER BY CASE side WHEN 'BUY' THEN -price ELSE price END) AS level FROM ol QUALIFY level <= 10),
+tb AS (SELECT symbol, nth, max(price) FILTER (side = 'BUY') AS bid, arg_max(quantity, price) FILTER (side = 'BUY') AS bid_qty, min(price) FILTER (side = 'SELL') AS ask, arg_min(quantity, price) FILTER (side = 'SELL') AS ask_qty,
+  coalesce(sum(quantity) FILTER (side = 'BUY'), 0)::BIGINT AS bid_volume, coalesce(sum(quantity) FILTER (side = 'SELL'), 0)::BIGINT AS ask_volume, count(*) FILTER (side = 'BUY') AS bid_depth, count(*) FILTER (side = 'SELL') AS ask_depth,
+  coalesce(sum(quantity) FILTER (side = 'BUY' AND level <= 5), 0)::DOUBLE AS bt, coalesce(sum(quantity) FILTER (side = 'SELL' AND level <= 5), 0)::DOUBLE AS at_ FROM tl GROUP BY symbol, nth),
+se AS (SELECT sp.symbol, sp.nth, sp.time_ns, bid, bid_qty, ask, ask_qty, ask - bid AS spread, (bid + ask) / 2 AS mid, coalesce(bid_volume, 0) AS bid_volume, coalesce(ask_volume, 0) AS ask_volume, coalesce(bid_depth, 0) AS bid_depth, coalesce(ask_depth, 0) AS ask_depth,
+  coalesce((bt - at_) / nullif(bt + at_, 0), 0) AS volume_imbalance FROM sp LEFT JOIN tb ON sp.symbol = tb.symbol AND sp.nth = tb.nth)"""
+
+
+SERIES_SQL = _series_sql(10)
+
+
+def series(v, n: int = 10):
+    valid = L.validate_orders(v.order_events).filter("error is null")
+    fills = v.fills.select(F.concat(lit("o"), (c("event_id") - 3).cast("string")).alias("order_id"), F.expr("quantity div 4").alias("quantity"), "time_ns")
+    points = W.every_nth(valid.select("symbol", "time_ns", "event_id"), ["symbol"], ["time_ns", "event_id"], n)
+    return L.book_series(valid, points, fills)
+
+
+@query("l04_price_levels_series", f"WITH {SERIES_SQL} SELECT symbol, nth, time_ns, side, price, quantity, orders, level::INTEGER AS level FROM tl")
+def l04_series(v):
+    both = series(v).select("symbol", "nth", "time_ns", F.explode(F.array(F.struct(lit("BUY").alias("side"), c("bids").alias("levels")), F.struct(lit("SELL").alias("side"), c("asks").alias("levels")))).alias("s"))
+    rows = both.select("symbol", "nth", "time_ns", "s.side", F.posexplode("s.levels").alias("level", "l"))
+    return rows.select("symbol", "nth", "time_ns", "side", "l.price", "l.quantity", "l.orders", (c("level") + 1).alias("level"))
+
+
+@query(
+    "l05_top_of_book_series",
+    f"WITH {SERIES_SQL} SELECT symbol, nth, time_ns, bid, bid_qty, ask, ask_qty, spread, mid, round(spread * 10000 / mid, 6) AS spread_bps, round((bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty), 6) AS micro_price FROM se",
+)
+def l05_series(v):
+    return L.top_of_series(series(v)).withColumns({x: F.round(x, 6) for x in ("spread_bps", "micro_price")})
+
+
+@query(
+    "l07_market_metrics_series",
+    f"WITH {SERIES_SQL} SELECT symbol, nth, time_ns, bid, ask, spread, mid, round(spread * 10000 / mid, 6) AS spread_bps, bid_volume, ask_volume, bid_depth::INTEGER AS bid_depth, ask_depth::INTEGER AS ask_depth, round(volume_imbalance, 9) AS volume_imbalance, round(avg(spread) OVER w, 6) AS rolling_spread, "
+    "round(avg(volume_imbalance) OVER w, 9) AS rolling_imbalance FROM se WINDOW w AS (PARTITION BY symbol ORDER BY nth ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
+)
+def l07_series(v):
+    return L.market_series(series(v)).withColumns({"spread_bps": F.round("spread_bps", 6), "rolling_spread": F.round("rolling_spread", 6), "volume_imbalance": F.round("volume_imbalance", 9), "rolling_imbalance": F.round("rolling_imbalance", 9)})
+
+
+@query(
+    "l06_slippage_to_mid",
+    f"WITH {SERIES_SQL}, qt AS (SELECT symbol, time_ns, mid FROM se WHERE mid IS NOT NULL) SELECT event_id, mid, round((price - mid) / mid * CASE taker_side WHEN 'BUY' THEN 1 ELSE -1 END, 9) AS slippage FROM fills ASOF LEFT JOIN qt ON fills.symbol = qt.symbol AND fills.time_ns > qt.time_ns",
+)
+def l06_slippage(v):
+    quotes = L.top_of_series(series(v)).select("symbol", "time_ns", "mid")
+    return L.slippage(v.fills, quotes).select("event_id", "mid", F.round("slippage", 9).alias("slippage"))
+
+
+@query("j14_events_as_of", "SELECT e.event_id, r.event_id AS seen_id, r.price AS seen_price FROM order_events e ASOF LEFT JOIN (SELECT event_id, symbol, price, time_ns FROM fills) r ON e.symbol = r.symbol AND e.time_ns >= r.time_ns")
+def j14_as_of(v):
+    seen = v.fills.select("symbol", "time_ns", c("event_id").alias("seen_id"), c("price").alias("seen_price"))
+    return as_of_join(v.order_events, seen, ["symbol"], "time_ns", ["seen_id", "seen_price"]).select("event_id", "seen_id", "seen_price")
+
+
 TRADES_SQL = "count(*) AS trades, count(*) FILTER (taker_side = 'BUY') AS buys, count(*) FILTER (taker_side = 'SELL') AS sells, sum(quantity)::BIGINT AS volume, coalesce(sum(quantity) FILTER (taker_side = 'BUY'), 0)::BIGINT AS buy_volume, coalesce(sum(quantity) FILTER (taker_side = 'SELL'), 0)::BIGINT AS sell_volume, round(sum(price * quantity) / sum(quantity), 6) AS vwap, arg_max(price, event_id) AS last_price"
 
 
