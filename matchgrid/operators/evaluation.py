@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchgrid.functions.scalars import kelly, p_over, wilson
+from matchgrid.operators.projections import derive_prediction_flags
 from matchgrid.operators.ranges import ROWS, compound
 
 # -- scores ------------------------------------------------------------------------------------
@@ -120,6 +121,21 @@ def mcnemar_table(flags: DataFrame) -> DataFrame:
     return out.withColumn("p_value", mcnemar_p(F.col("a_only"), F.col("b_only")))
 
 
+def model_comparison(llm: DataFrame, tabular: DataFrame, keys: Sequence[str] = ("fixture_id", "regime")) -> DataFrame:
+    """The scores of both models by regime, on the matches that both have rows of.
+
+    The language model is right where its score gives the result; the tabular one where its label is
+    the stored one. Both tables: keys, gt_home, gt_away, gt_result, pred_result, pred_home, pred_away.
+    """
+    names = [*keys, "gt_home", "gt_away", "gt_result", "pred_result", "pred_home", "pred_away"]
+    a = derive_prediction_flags(llm.select(*names)).withColumn("model", F.lit("llm"))
+    b = derive_prediction_flags(tabular.select(*names)).withColumn("correct_result", F.col("pred_result") == F.col("gt_result")).withColumn("model", F.lit("tabular"))
+    shared = a.select(*keys).distinct().join(b.select(*keys).distinct(), list(keys))
+    both = a.unionByName(b).join(shared, list(keys), "left_semi")
+    measures = {"accuracy": share("correct_result"), "exact_score": share("correct_score"), "goal_mae": goal_mae(), "ou_accuracy": share("correct_direction")}
+    return both.groupBy("model", "regime").agg(F.count("*").alias("n"), *[x.alias(name) for name, x in measures.items()])
+
+
 def baseline(df: DataFrame, strategy: str, seed: int = 42) -> DataFrame:
     """Fixed predictions: home (1-0), draw (1-1), or random by .40 / .35 / .25 through a hash of the key."""
     if strategy in ("home", "draw"):
