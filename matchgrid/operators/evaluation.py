@@ -207,33 +207,67 @@ def backtest_summary(path: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.withColumns({"roi": F.col("final") / F.lit(start) - F.lit(1.0), "sharpe_scaled": F.col("sharpe") * F.sqrt(F.col("bets").cast("double"))})
 
 
-def bootstrap(bets: DataFrame, keys: Sequence[str], trials: int = 10_000, seed: int = 42, start: float = 1000.0, block: int = 500) -> DataFrame:
+#: Different returns of a group that are drawn together, where it has no more than CHUNK squared.
+CHUNK = 4096
+
+
+def bootstrap(bets: DataFrame, keys: Sequence[str], trials: int = 10_000, seed: int = 42, start: float = 1000.0, block: int = 500, chunk: int = CHUNK) -> DataFrame:
     """Quantiles of the final bankroll when a group's placed bets are drawn anew with replacement.
 
     As many bets as a group has are drawn in each trial, and their order doesn't matter: how often
     each different return is drawn is one multinomial draw. So a group is first counted by return,
-    and a trial costs as much as it has different returns, however many bets there are. Trials are
-    dealt in blocks with generators of their own, seeded by group and block: reruns agree.
+    and a trial costs as much as it has different returns, however many bets there are. Returns are
+    dealt to chunks by a hash. How many of a trial's draws fall in a chunk follows from binomial
+    draws down a binary tree over the chunks, which every chunk of the group repeats alike for its
+    own path; then a chunk draws its own returns, and its part of the trial's log gain is added to
+    the others'. A task holds one chunk and one block of trials; a group's values are one for each
+    trial. Generators are seeded by group, block and place in the tree: reruns agree.
     """
-    counted = bets.filter("stake > 0").groupBy(*keys, "bet_return").agg(F.count("*").alias("n"))
-    counted = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bet_return", "n"))).alias("r"))
+    # counted first and filtered then: a filter below would repeat all of what a stake is made of
+    counted = bets.groupBy(*keys, "bet_return").agg(F.count_if(F.col("stake") > 0).alias("_n")).filter("_n > 0")
+    group = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long")
+    sizes = counted.groupBy(*keys).agg(F.count("*").alias("_d")).select(group.alias("_of"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.ceil(F.col("_d") / F.greatest(F.lit(float(chunk)), F.sqrt("_d"))).alias("_chunks"))
+    alike = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] or [F.lit(True)]
+    dealt = counted.join(sizes, alike).withColumn("_chunk", F.pmod(F.xxhash64("bet_return"), F.col("_chunks")).cast("int"))
+    chunks = dealt.groupBy("_of", *keys, "_chunk").agg(F.array_sort(F.collect_list(F.struct("bet_return", "_n"))).alias("_r"), F.sum("_n").alias("_size"))
+    weights = chunks.groupBy("_of", *keys).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_size"))).alias("_w"))
+    weights = weights.select("_w", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     blocks = -(-trials // block)
-    dealt = counted.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(64, *keys, "b")
+    tasks = chunks.join(weights, alike).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("_of", "_chunk", "_block")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def finals(group: pd.Series, b: pd.Series, returns: pd.Series, counts: pd.Series) -> pd.Series:
+    def gains(of: pd.Series, chunk: pd.Series, b: pd.Series, returns: pd.Series, counts: pd.Series, chunks: pd.Series, sizes: pd.Series) -> pd.Series:
         out = []
-        for g, i, r, n in zip(group, b, returns, counts, strict=True):
-            rng = np.random.default_rng([seed, g & (1 << 64) - 1, i])
-            size = min(block, trials - i * block)
-            drawn = rng.multinomial(int(n.sum()), n / n.sum(), size=size)
-            with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-                gains = np.where(drawn > 0, drawn * np.log1p(r), 0.0)  # a total loss that isn't drawn costs nothing
-                out.append(start * np.exp(gains.sum(1)))
+        for g, c, i, r, n, ids, w in zip(of, chunk, b, returns, counts, chunks, sizes, strict=True):
+            name = [seed, g & (1 << 64) - 1, i]
+            drawn = _draws_of(name, min(block, trials - i * block), int(np.searchsorted(ids, c)), np.concatenate([[0], np.cumsum(w)]))
+            out.append(_log_gains(np.random.default_rng([*name, 1, c]), drawn, r, n))
         return pd.Series(out, dtype=object)
 
-    name = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long")
-    drawn = dealt.select(*keys, F.explode(finals(name, "b", F.col("r.bet_return"), F.col("r.n"))).alias("final"))
-    return drawn.groupBy(*keys).agg(
-        F.percentile("final", F.lit(0.5)).alias("median"), F.percentile("final", F.lit(0.05)).alias("p05"), F.percentile("final", F.lit(0.95)).alias("p95"), F.avg((F.col("final") > start).cast("int")).alias("p_profit")
-    )
+    parts = tasks.select(*keys, "_block", F.posexplode(gains("_of", "_chunk", "_block", "_r.bet_return", "_r._n", "_w._chunk", "_w._size")).alias("_trial", "_gain"))
+    finals = parts.groupBy(*keys, "_block", "_trial").agg((F.lit(start) * F.exp(F.round(F.sum("_gain"), 9))).alias("final"))
+    out = finals.groupBy(*keys).agg(F.percentile("final", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias("q"), F.avg((F.col("final") > start).cast("int")).alias("p_profit"))
+    return out.select(*keys, F.col("q")[0].alias("median"), F.col("q")[1].alias("p05"), F.col("q")[2].alias("p95"), "p_profit")
+
+
+def _draws_of(name: list[int], size: int, at: int, bounds: np.ndarray) -> np.ndarray:
+    """How many of each trial's draws fall in the chunk number ``at``. ``bounds``: sums of the chunks' sizes before each."""
+    low, high, node = 0, len(bounds) - 1, 1
+    drawn = np.full(size, bounds[-1], np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = np.random.default_rng([*name, 0, node]).binomial(drawn, (bounds[middle] - bounds[low]) / (bounds[high] - bounds[low]))
+        if at < middle:
+            high, drawn, node = middle, left, 2 * node
+        else:
+            low, drawn, node = middle, drawn - left, 2 * node + 1
+    return drawn
+
+
+def _log_gains(rng: np.random.Generator, drawn: np.ndarray, returns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of the log gains of each trial's draws; a total loss that isn't drawn costs nothing."""
+    times = rng.multinomial(drawn, counts / counts.sum())
+    alive = returns > -1.0
+    out = times[:, alive] @ np.log1p(returns[alive])
+    out[times[:, ~alive].any(1)] = -np.inf
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -44,3 +46,29 @@ def test_a_path_begins_at_its_start(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, -0.5), ("b", 1, 0.1)], "s string, i int, bet_return double")
     path = E.with_start(E.bankroll_path(df, ["s"], ["i"]), ["s"])
     assert [(r["s"], r["i"], round(r["bankroll"], 6)) for r in path.orderBy("s", "i").collect()] == [("a", None, 1000.0), ("a", 1, 1500.0), ("a", 2, 750.0), ("b", None, 1000.0), ("b", 1, 1100.0)]
+
+
+def test_bootstrap_in_chunks_is_the_bootstrap_in_one(spark):
+    """Returns dealt to many chunks give the same distribution; exact moments are known."""
+    rng = np.random.default_rng(1)
+    returns = np.round(rng.normal(0.002, 0.05, 300), 4)
+    rows = [("g", float(r), 0.1) for r in returns] + [("one", 0.1, 0.1)] * 4 + [(None, -1.0, 0.1)] * 3
+    bets = spark.createDataFrame([*rows, ("g", 9.0, 0.0)], "team string, bet_return double, stake double")
+    want = 1000 * np.exp(np.log1p(rng.choice(returns, (20_000, len(returns)))).sum(1))
+    for chunk in (1, 20, 4096):
+        got = {r["team"]: r for r in E.bootstrap(bets, ["team"], 4000, chunk=chunk).collect()}
+        for q, name in ((0.5, "median"), (0.05, "p05"), (0.95, "p95")):
+            assert got["g"][name] == pytest.approx(np.quantile(want, q), rel=0.08)
+        assert got["g"]["p_profit"] == pytest.approx((want > 1000).mean(), abs=0.04)
+        assert got["one"]["median"] == pytest.approx(1000 * 1.1**4) and got[None]["p95"] == 0.0 and got[None]["p_profit"] == 0.0
+    a, b = (E.bootstrap(bets.repartition(n), ["team"], 700, chunk=7).collect() for n in (1, 5))
+    assert sorted(map(str, a)) == sorted(map(str, b))  # reruns agree
+
+
+def test_draws_of_all_chunks_add_up():
+    bounds = np.concatenate([[0], np.cumsum([5, 1, 30, 4, 10, 50, 7])])
+    parts = [E._draws_of([42, 7, 0], 3000, i, bounds) for i in range(7)]
+    assert (sum(parts) == 107).all()
+    for p, share in zip(parts, np.diff(bounds) / 107, strict=True):
+        assert p.mean() == pytest.approx(107 * share, abs=5 * math.sqrt(107 * share / 3000) + 1e-9)
+        assert p.var() == pytest.approx(107 * share * (1 - share), rel=0.15)
