@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from matchgrid.operators import orders as L
+from matchgrid.plans import source_queries as Q
 from matchgrid.sources import readers as S
 from matchgrid.streaming import streams as R
 
@@ -80,16 +82,60 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(fills.schema).parquet(str(tmp_path / "fills"))
     R.on_batch(stream, lambda df, _: seen.append(df.count()), str(tmp_path / "ck")).awaitTermination()
     assert sum(seen) == 200
-    q = R.stream_trade_metrics(spark.readStream.schema(fills.schema).parquet(str(tmp_path / "fills"))).writeStream.outputMode("complete").format("memory").queryName("metrics_test").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = rows(spark.table("metrics_test").select("start", "symbol", "trades", "volume", "buy_volume", F.round("vwap", 9)))
+    got, late = R.windows_and_late(spark.readStream.schema(fills.schema).parquet(str(tmp_path / "fills")), str(tmp_path / "out"))
+    names = ("start", "symbol", "trades", "volume", "buy_volume", F.round("vwap", 9))
     batch = L.trade_metrics(fills.withColumn("start", F.date_trunc("hour", "ts")), ["start", "symbol"])
-    assert got == rows(batch.select("start", "symbol", "trades", "volume", "buy_volume", F.round("vwap", 9)))
+    closed = batch.filter(F.col("start") + F.expr("interval 1 hour") <= F.lit(fills.agg(F.max("ts")).first()[0]) - F.expr("interval 10 minutes"))
+    assert rows(got.select(*names)) == rows(closed.select(*names)) and closed.count() > 0 and late.count() == 0
+
+
+def test_late_fills_stand_apart_and_restarts_go_on(spark, tmp_path):
+    """Files out of order, with a restart after each: what comes after its window closed is in no window."""
+    schema = "event_id long, symbol long, taker_side string, price double, quantity long, ts timestamp, time_ns long"
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda i, minutes: (i, i % 2, "BUY", 2.0, 10, None if minutes is None else t0 + dt.timedelta(minutes=minutes), i)
+    arrivals = [[at(1, 5), at(2, 50)], [at(3, 65), at(4, 55)], [at(5, 200), at(6, 59), at(7, None)], [at(8, 30), at(9, 61), at(10, 190)], [at(11, 400)]]
+    out, results = str(tmp_path / "out"), []
+    for i, arrival in enumerate(arrivals):
+        spark.createDataFrame(arrival, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        if i == 3:  # a run that fails before it has committed its batch
+            query = R.split_late(stream, out)
+            query.awaitTermination()
+            last = sorted((tmp_path / "out" / "split" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
+            last.unlink()
+            last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+        windows, late = R.windows_and_late(stream, out)
+        results.append(([tuple(r) for r in windows.select("start", "symbol", "trades").collect()], sorted(r[0] for r in late.select("event_id").collect())))
+    assert [late for _, late in results] == [[], [], [7], [7, 8, 9], [7, 8, 9]]
+    hour = lambda h: t0 + dt.timedelta(hours=h)
+    assert sorted(results[2][0]) == [(hour(0), 0, 3), (hour(0), 1, 1), (hour(1), 1, 1)]
+    assert sorted(results[4][0]) == sorted([(hour(0), 0, 3), (hour(0), 1, 1), (hour(1), 1, 1), (hour(3), 0, 1), (hour(3), 1, 1)])
+
+
+def test_running_totals_go_on_after_a_restart(spark, tmp_path):
+    schema = "event_id long, symbol long, quantity long, time_ns long"
+    data = [(i, None if i % 11 == 0 else i % 3, i % 7 or None, i) for i in range(60)]
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, Q.ROCKSDB)
+    try:
+        for i in range(3):
+            spark.createDataFrame(data[20 * i : 20 * i + 20], schema).write.mode("append").parquet(str(tmp_path / "in"))
+            R.append_to_table(R.stream_running_totals(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), "update")
+    finally:
+        spark.conf.set(store, before)
+    got = spark.read.schema(R.TOTALS).parquet(str(tmp_path / "out" / "result"))
+    assert got.count() == 60  # each batch wrote its own fills only
+    seen = {}
+    for r in sorted(got.collect(), key=lambda r: r["event_id"]):
+        _, symbol, quantity, _ = data[r["event_id"]]
+        n, volume = seen.get(symbol, (0, 0))
+        seen[symbol] = n + 1, volume + (quantity or 0)
+        assert (r["symbol"], r["total_trades"], r["total_volume"]) == (symbol, *seen[symbol])
 
 
 def test_whole_tables_go_through_bounded_groups(spark, monkeypatch):
-    from matchgrid.plans import source_queries as Q
-
     fills = spark.range(120_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("symbol"), (F.col("id") % 7 + 1).cast("double").alias("price"))
     pages = Q.chart_pages(fills).select(F.size(F.from_json("j", "values array<struct<x:bigint,y:double>>")["values"]).alias("n")).agg(F.max("n"), F.sum("n")).first()
     assert pages[0] <= 500 and pages[1] == 120_000
