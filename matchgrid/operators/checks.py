@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructType
 
 
@@ -30,30 +35,39 @@ def check_schema(df: DataFrame, target: StructType) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("check"), F.lit(b).alias("ok"), F.lit(c).alias("detail")) for a, b, c in rows])).alias("r")).select("r.*")
 
 
-def check_file_schemas(spark: SparkSession, files: Sequence[str], target: StructType) -> DataFrame:
+def check_file_schemas(spark: SparkSession, files: Sequence[str], target: StructType, through_spark: bool = False) -> DataFrame:
     """(file, column, problem): where the files of a table differ from a target, from their footers.
 
     A folder stands for all Parquet files below it. Problems are missing, extra, type (with both types) and
-    order (of a file whose columns are all there, but in another order). Paths are dealt to tasks, which
-    read the footers through Spark's own file source, so any store that Spark reads will do; no row
-    is read and no footer passes through the driver.
+    order (of a file whose columns are all there, but in another order). Spark lists the files and
+    deals them to tasks; a task opens its files by itself and reads their footers only. With
+    ``through_spark`` Spark hands over whole files instead, for stores that only it can open. No
+    footer passes through the driver.
     """
     names = [f.name for f in target]
     wanted = {f.name: f.dataType.simpleString() for f in target}
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(list(files))
+    found = found.select("path", "content") if through_spark else found.select("path").repartition("path")
+
+    def footer(row: dict) -> pa.Schema:
+        if through_spark:
+            return pq.read_schema(pa.BufferReader(row["content"]))
+        store, path = FileSystem.from_uri(re.sub("^file:/+", "/", row["path"]))
+        return pq.read_schema(path, filesystem=store)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                have = {f.name: from_arrow_type(f.type).simpleString() for f in pq.read_schema(pa.BufferReader(content.as_buffer()))}
+            for row in batch.to_pylist():
+                path, have = row["path"], {f.name: from_arrow_type(f.type).simpleString() for f in footer(row)}
                 rows += [(path, c, "missing") for c in names if c not in have] + [(path, c, "extra") for c in have if c not in wanted]
                 rows += [(path, c, f"type {have[c]} for {wanted[c]}") for c in names if c in have and have[c] != wanted[c]]
                 if list(have) != names and set(have) == set(names):
                     rows.append((path, None, "order"))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], names=["file", "column", "problem"])
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["file", "column", "problem"])
 
-    return found.select("path", "content").mapInArrow(compare, "file string, column string, problem string")
+    return found.mapInArrow(compare, "file string, column string, problem string")
 
 
 def check_no_new_nulls(df: DataFrame, before: str, after: str) -> DataFrame:

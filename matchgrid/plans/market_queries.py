@@ -175,8 +175,22 @@ def one(check, bad, source):
     return f"SELECT '{check}' AS \"check\", n = 0 AS ok, n::VARCHAR AS detail FROM (SELECT coalesce({bad}, 0)::BIGINT AS n FROM {source})"
 
 
-@query("q01_schema")
+@query(
+    "q01_schema",
+    "WITH t AS (SELECT column_name AS c, column_type AS d FROM (DESCRIBE SELECT * FROM lineitem)) SELECT 'lineitem' AS file, 'l_weight' AS \"column\", 'missing' AS problem WHERE 'l_weight' NOT IN (SELECT c FROM t) UNION ALL SELECT 'lineitem', c, 'extra' FROM t WHERE c NOT IN ('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_discount', 'l_shipdate', 'l_weight') "
+    "UNION ALL SELECT 'lineitem', c, 'type ' || lower(d) || ' for int' FROM t WHERE c = 'l_orderkey' AND d <> 'INTEGER'",
+)
 def q01(v):
+    """Footers of all files of lineitem against a target that differs in some columns."""
+    have = v.lineitem.schema
+    want = T.StructType([T.StructField("l_orderkey", T.IntegerType()), *[have[x] for x in ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate")], T.StructField("l_weight", T.DoubleType())])
+    found = Q.check_file_schemas(v.spark, [f"{v.sf_dir}/lineitem.parquet"], want)
+    return found.withColumn("file", F.regexp_extract("file", r"([^/]+)\.parquet(/|$)", 1))
+
+
+@query("q01_schema_of_table")
+def q01_table(v):
+    """Names, order, count and types of a table as Spark sees it; DuckDB has other names for types."""
     want = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.LongType()), T.StructField("n_comment", T.StringType())])
     return Q.check_schema(v.nation, want)
 

@@ -119,3 +119,20 @@ def test_team_measures_count_second_yellows_twice(spark):
     assert (got["a"]["yellow_cards"], got["a"]["red_cards"], got["a"]["xg_conceded"]) == (1, 1, 0.5)
     assert {r["ball_possession_pct"] for r in A.possession_share(df).collect()} == {50.0}
     assert df.filter(F.col("type") == "Shot").count() == 1
+
+
+def test_one_drifted_file_among_many(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from matchgrid.operators import checks
+
+    good = spark.range(40).selectExpr("id", "cast(id as string) as name", "cast(id as double) as x")
+    good.repartition(12).write.parquet(str(tmp_path / "t"))
+    good.selectExpr("id", "cast(x as int) as x", "name", "1 as more").coalesce(1).write.parquet(str(tmp_path / "t" / "late" / "day=1"))
+    good.selectExpr("name", "id", "x").coalesce(1).write.parquet(str(tmp_path / "t" / "late" / "day=2"))
+    want = T.StructType.fromDDL("id long, name string, x double")
+    for through_spark in (False, True):
+        found = checks.check_file_schemas(spark, [str(tmp_path / "t")], want, through_spark).collect()
+        assert sorted((r["file"].split("/")[-2], r["column"], r["problem"]) for r in found if r["column"]) == [("day=1", "more", "extra"), ("day=1", "x", "type int for double")]
+        assert [(r["file"].split("/")[-2], r["problem"]) for r in found if r["column"] is None] == [("day=2", "order")]
+    assert checks.check_file_schemas(spark, [str(tmp_path / "t" / "late" / "day=2")], T.StructType.fromDDL("name string, id long, x double")).count() == 0
