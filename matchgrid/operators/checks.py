@@ -59,7 +59,7 @@ def check_file_schemas(spark: SparkSession, files: Sequence[str], target: Struct
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                path, have = row["path"], {f.name: from_arrow_type(f.type).simpleString() for f in footer(row)}
+                path, have = row["path"], {f.name: from_arrow_type(f.type, prefer_timestamp_ntz=True).simpleString() for f in footer(row)}
                 rows += [(path, c, "missing") for c in names if c not in have] + [(path, c, "extra") for c in have if c not in wanted]
                 rows += [(path, c, f"type {have[c]} for {wanted[c]}") for c in names if c in have and have[c] != wanted[c]]
                 if list(have) != names and set(have) == set(names):
