@@ -16,15 +16,16 @@ exact distance between the item and the best stretch of the document around the
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchgrid.llm import hashing
-from matchgrid.llm.common import put
+from matchgrid.llm.common import persist_plan, put, unused
 
 #: Edits for each character of an item, at most.
 MAX_EDITS = 0.2
@@ -424,11 +425,12 @@ def find_leaks(
     A document holds an item if some stretch of it is within ``max_edits`` edits per character of
     the item, both in lower case and with runs of white space as one space. An item too short for
     one edit is held where its words stand in the text. Null and empty texts and items match
-    nothing; equal items are reported each; documents are scanned whole, where they lie: nothing
-    is shuffled, and repeated rows get equal results. Items are sent out in groups of at most
-    ``group_chars`` characters (but for one longer item) and about 30 times as many bytes, as many
-    groups as the benchmark needs, each a pass over the documents. A column named like ``out`` is
-    replaced.
+    nothing; equal items are reported each; documents are scanned whole, where they lie, and
+    repeated rows get equal results. Items are sent out in groups of at most ``group_chars``
+    characters (but for one longer item) and about 30 times as many bytes, one group at a time. One
+    group needs no shuffle. Each of several is a job of its own over the documents that writes what
+    it finds, by a key of the text, before its index goes; what all found is joined to the
+    documents. A column named like ``out`` is replaced.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and length(trim(t)) > 0")
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
@@ -445,8 +447,22 @@ def find_leaks(
 
         return found(F.coalesce(F.col(text), F.lit("")))
 
-    columns = []
-    for g in range(groups):
+    def index_of(g: int):
         part = items.filter(F.pmod(F.xxhash64("i"), F.lit(groups)) == g).orderBy("i", "t").collect()
-        columns.append(scan(docs.sparkSession.sparkContext.broadcast(Index.of([r["i"] for r in part], [r["t"] for r in part], max_edits))))
-    return put(docs, {out: columns[0] if groups == 1 else F.array_sort(F.concat(*columns))})
+        return docs.sparkSession.sparkContext.broadcast(Index.of([r["i"] for r in part], [r["t"] for r in part], max_edits))
+
+    if groups == 1:
+        return put(docs, {out: scan(index_of(0))})
+    passes = []
+    for g in range(groups):
+        index = index_of(g)
+        passes.append(persist_plan(docs.select(_text_key(text).alias("k"), F.explode(scan(index)).alias("leak")).distinct()))
+        index.destroy()  # no worker holds two
+    by_text = reduce(DataFrame.union, passes).groupBy("k").agg(F.array_sort(F.collect_list("leak")).alias("found"))
+    key, other, found = unused(docs, "_key", "_other", "_found")
+    joined = docs.withColumn(key, _text_key(text)).join(by_text.select(F.col("k").alias(other), F.col("found").alias(found)), F.col(key) == F.col(other), "left")
+    return put(joined, {out: F.coalesce(F.col(found), F.array().cast(schema))}).drop(key, other, found)
+
+
+def _text_key(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))

@@ -28,10 +28,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
+PHONE_LABEL = LABELS.index("phone")
 
 #: Strings that may be personal data: shapes only, wider than the fixed patterns.
 NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
-AT = re.compile(r"(?<![^\s<(\[\"',;:])[^\s@<>()\[\]\"',;:]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[^\s@<>()\[\]\"',;:]{2,}")
+AT = re.compile(r"(?<![^\s<(\[\"',;:])[^\s@<>()\[\]\"',;:]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[^\s@<>()\[\]\"',;:]{2,}+(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[^\s@<>()\[\]\"',;:]++)*+")
 CUES = {
     "phone": re.compile(r"(?:phone|tel|call|mobile?|cell|fax|fon|whatsapp)\b[^0-9]{0,12}$", re.I),
     "card": re.compile(r"(?:card|visa|mastercard|amex|credit|debit|karte)\b[^0-9]{0,12}$", re.I),
@@ -113,12 +114,24 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[Mention]:
         at_like = "@" in t or "at)" in t.lower() or "at]" in t.lower()
         n = len(digits)
         yes = (True, at_like, t.count(".") == 3 and not at_like, t[0] == "+", "(" in t and not at_like, 7 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n > 19, t.isdigit(), " " in t, "-" in t, *(bool(c.search(before)) for c in CUES.values()))
-        key = re.sub(r"\s*[\[(]at[\])]\s*", "@", t.lower()).strip(".-_") if at_like else digits[-9:]
+        key = re.sub(r"\s*[\[(]dot[\])]\s*", ".", re.sub(r"\s*[\[(]at[\])]\s*", "@", t.lower())).strip(".-_") if at_like else digits[-9:]
         # of addresses the name, of numbers the end without area codes
         alike = "@" + re.sub(r"[._+-]|[0-9]+$", "", key.partition("@")[0]) if at_like else digits[-7:]
         may = (True, at_like, not at_like and t.count(".") == 3, not at_like and 13 <= n <= 19 and luhn(digits), not at_like and n <= 15)
         out.append(Mention(s, e, k, key, [i for i, y in enumerate(yes) if y], alike, () if k else tuple(i for i, y in enumerate(may) if not y)))
-    return out
+    return _bar_bare_numbers(out)
+
+
+def _bar_bare_numbers(found: list[Mention]) -> list[Mention]:
+    """A number that no pattern caught is no phone unless something in the document speaks for one: a
+    plus, a word before it, or a phone of the same or similar digits. Dates, serial and order numbers
+    have none of these, and their shapes alone say nothing."""
+    phones = {x for m in found if m.label == PHONE_LABEL for x in (m.key, m.alike)}
+    plus, cue = FEATURES.index("plus"), FEATURES.index("cue_phone")
+    for m in found:
+        if not m.label and plus not in m.features and cue not in m.features and m.key not in phones and m.alike not in phones:
+            m.barred = tuple(sorted({*m.barred, PHONE_LABEL}))
+    return found
 
 
 def skip_edges(found: list[Mention]) -> list[tuple[int, int, bool]]:

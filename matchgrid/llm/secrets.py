@@ -28,8 +28,14 @@ KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|signature|client.?id|connection.?string", re.I | re.A)
 STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "signature", "client", "connection")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~$!@%^&*-]{12,}")
-#: A private key block: a header, perhaps fields, and the lines of the key, also with escaped line ends.
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:\s*[A-Za-z-]{1,20}:[^\n]*)*(?:\s|\\[nr])*([A-Za-z0-9+/=]{16,}(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{16,})*(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{1,64}(?=(?:\s|\\[nr])*-----END))?)", re.A)
+#: A private key block: a header, up to 16 fields of a line each, and the lines of the key, also with
+#: escaped line ends. Each part takes all it can and gives nothing back, so a start that fails fails once.
+_GAP = r"(?:\s|\\[nr])"
+PEM = re.compile(
+    rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----{_GAP}*+(?:[A-Za-z-]{{1,20}}+:(?:(?!\\[nr])[^\n]){{0,1000}}+{_GAP}++){{0,16}}+"
+    rf"([A-Za-z0-9+/=]{{16,}}+(?:{_GAP}++[A-Za-z0-9+/=]{{16,}}+)*+(?:{_GAP}++[A-Za-z0-9+/=]{{1,64}}+(?={_GAP}*+-----END))?)",
+    re.A,
+)
 LINE_END = re.compile(r"\s|\\[nr]")
 #: A long text of 64 symbols compresses by its alphabet alone, so a key block is measured in pieces of this length.
 PIECE = 48
@@ -39,6 +45,8 @@ REACH = 96
 PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_./~+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[-_./~+=]*|[A-Z]?[a-z]+(?:[A-Z][a-z]+)+|[0-9./:_-]+")
 GIVEN = re.compile(r"""["'\s]*(?:[:=]+|[-=]>|\bis\b|\bwas\b)["'\s]*""", re.A)
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Marks around a word that say nothing about it.
+MARKS = "*!$%^&~@-_.=,"
 #: Characters of surrounding text on either side that prime the compressor.
 AROUND = 1024
 #: Marginal compressed bytes for each character of the candidate, at least.
@@ -122,7 +130,7 @@ def _novel(text: str, low: str, taken: list) -> list[tuple[int, int, int, bool,
             value = m.group().rstrip(".=,")
             if ADDRESS.fullmatch(value) or _overlaps(held, s, e):
                 continue
-            if PLAIN.fullmatch(value) and not GIVEN.fullmatch(text, word.end(), s):
+            if (not value.strip(MARKS) or PLAIN.fullmatch(value.strip(MARKS))) and not GIVEN.fullmatch(text, word.end(), s):
                 continue
             share = marginal_bytes(value, text[max(0, s - AROUND) : s], text[e : e + AROUND]) / len(value)
             if share >= NOVELTY:
