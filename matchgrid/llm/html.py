@@ -30,10 +30,12 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Element names with a fixed role.
 SKIPPED = frozenset("script style noscript template svg iframe object canvas audio video head title select option datalist textarea map".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
+CONTROLS = frozenset("input select textarea button".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt mstyle msub msup mtext nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 LINKS = frozenset("a button".split())  # what stands in them speaks against content
-NEVER = frozenset("nav footer aside form menu dialog".split())
+NEVER = frozenset("nav footer aside menu dialog".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tr td th ul".split())
 SCOPED = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
 # Words in class, id or role that speak for boilerplate or for content.
@@ -43,6 +45,11 @@ BOILER = frozenset(
     "recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar warning widget alert navbox "
     "complementary contentinfo".split()
 )
+# Those of them that names of content hold too: they only weigh against a block, and only in names of nothing else.
+WEAK = frozenset("alert copyright dialog disclaimer discussion form header message meta related replies reply respond search tags toc warning".split())
+STRONG = BOILER - WEAK
+# Words of layout, which say nothing beside others.
+GENERIC = frozenset("area article bar block body bottom box col column container content entry group inner item items left list main outer page panel post right row section site top wrap wrapper".split())
 CONTENT = frozenset("article articlebody content entry main maincontent post story text".split())
 # Words that make a class name speak of a state, such as has-sidebar or no-comments.
 STATES = frozenset("allow allowed closed disabled enabled free has hide is no not off on open show supports with without".split())
@@ -53,9 +60,11 @@ HEADED = frozenset("article content entry post story".split())
 POSITIVE = frozenset({"article", "main", "!content"})
 
 #: Log-odds of the block classifier.
-WEIGHTS = {"bias": -0.4, "article": 2.6, "main": 1.6, "boiler": -6.0, "never": -8.0, "heading": 0.8, "paragraph": 0.9, "list": -0.3, "links": -3.2, "words": 0.35, "stops": 0.35}
+WEIGHTS = {"bias": -0.4, "article": 2.6, "main": 1.6, "boiler": -6.0, "weak": -3.5, "never": -8.0, "heading": 0.8, "paragraph": 0.9, "list": -0.3, "links": -3.2, "words": 0.35, "stops": 0.35}
+#: A form with fewer characters of text for each of its controls is one to fill in; others are mere wrappers.
+FORM_CHARS = 200
 #: Smoothness of neighbours with the same parent; falls by half with each step in the tree.
-SMOOTH = 0.9
+SMOOTH = 1.5
 
 
 class Node:
@@ -69,10 +78,10 @@ class Node:
 
 
 class Block:
-    __slots__ = ("linked", "node", "parts", "text")
+    __slots__ = ("filled_in", "linked", "node", "parts", "text")
 
     def __init__(self, node: Node):
-        self.node, self.parts, self.linked = node, [], 0
+        self.node, self.parts, self.linked, self.filled_in = node, [], 0, False
 
     @property
     def tag(self) -> str:
@@ -125,16 +134,23 @@ def tokens(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
         at = start = end if go_on is None else go_on
 
 
-def named_role(value: str) -> str:
-    """What the names in a class, id or role say: "!boiler", "!content" or nothing."""
+def named_role(value: str, spelled: bool = False) -> str:
+    """What the names in a class, id or label say: "!boiler", "!weak", "!content" or nothing.
+
+    ``spelled``: the names may be made of the words of a text, as ids are of headlines. They speak
+    for boilerplate only if they hold nothing else.
+    """
     role = ""
     for name in value.split():
         words = {w.lower() for w in PART.findall(name)}
         if words & STATES or (words & HEADINGS and words & HEADED and not (words - HEADINGS) & BOILER):
             continue
-        if words & BOILER:
+        pure = not words - BOILER - GENERIC
+        if words & STRONG and (pure or not spelled):
             return "!boiler"
-        if words & CONTENT:
+        if words & WEAK and pure:
+            role = "!weak"
+        elif words & CONTENT and not role and not (spelled and words - CONTENT - GENERIC):
             role = "!content"
     return role
 
@@ -148,6 +164,7 @@ def blocks(page: str) -> list[Block]:
     root = Node("", None, frozenset())
     skipped = links = 0
     current: Block | None = None
+    forms: list[int] = []  # controls of each form
 
     def text(s: str) -> None:
         nonlocal current
@@ -195,6 +212,9 @@ def blocks(page: str) -> list[Block]:
             elif (k := place(tag)) >= 0 and (tag not in INLINE or not outer or k > outer[-1]):
                 pop(k)  # an inline end tag doesn't end the block around it
             continue
+        if tag in CONTROLS and forms and place("form") >= 0 and not (tag == "input" and re.search(r"\btype\s*=\s*[\"']?hidden", attrs, re.I)):
+            innermost = max(int(h[5:]) for h in stack[place("form")][1].hints if h.startswith("form:"))
+            forms[innermost] += 1
         if tag in VOID:
             if tag == "br" and current is not None:
                 text(" ")
@@ -211,11 +231,18 @@ def blocks(page: str) -> list[Block]:
         around = stack[-1][1] if stack else root
         hints = around.hints
         mine = {tag} if tag in NEVER or tag in ("article", "main", "header") else set()
+        if tag == "form":
+            mine.add(f"form:{len(forms)}")
+            forms.append(0)
         if attrs and attrs != "/" and tag not in ("html", "body"):
             for name, value in HINTED.findall(attrs):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id", "role", "itemprop", "aria-label"):
-                    role = named_role(value)
+                    if name == "id" and (tag in TITLES or tag in ("article", "main")):
+                        continue
+                    role = named_role(value) if name not in ("id", "aria-label") else named_role(re.sub(r"\s+", "-", value), True)
+                    if name == "role" and role == "!weak":
+                        role = "!boiler"  # roles are from a fixed list
                     if role == "!boiler" or role and "article" not in mine:
                         mine.add(role)
                 elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -244,7 +271,15 @@ def blocks(page: str) -> list[Block]:
             go_on = m.start() if m else len(page)
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
-    return [b for b in out if b.text]
+    found = [b for b in out if b.text]
+    chars = [0] * len(forms)
+    inside = [[int(h[5:]) for h in b.hints if h.startswith("form:")] if forms else [] for b in found]
+    for b, own in zip(found, inside, strict=True):
+        for k in own:
+            chars[k] += len(b.text)
+    for b, own in zip(found, inside, strict=True):
+        b.filled_in = any(forms[k] and chars[k] < FORM_CHARS * forms[k] for k in own)
+    return found
 
 
 def log_odds(b: Block) -> float:
@@ -254,9 +289,9 @@ def log_odds(b: Block) -> float:
     score += w["links"] * min(1.0, b.linked / n)
     score += w["article"] if "article" in b.hints else 0
     score += w["main"] if b.hints & {"main", "!content"} else 0
-    score += w["never"] if b.hints & NEVER else 0
-    score += w["boiler"] if "!boiler" in b.hints else 0
-    score += w["heading"] if re.fullmatch(r"h[1-6]", b.tag) else w["paragraph"] if b.tag in ("p", "pre", "blockquote") else w["list"] if b.tag == "li" else 0
+    score += w["never"] if b.hints & NEVER or b.filled_in else 0
+    score += w["boiler"] if "!boiler" in b.hints else w["weak"] if "!weak" in b.hints else 0
+    score += w["heading"] if b.tag in TITLES else w["paragraph"] if b.tag in ("p", "pre", "blockquote") else w["list"] if b.tag == "li" else 0
     return score
 
 
@@ -346,7 +381,7 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
         j = last.get(parent)
         if i:
             a = found[i - 1]
-            kin = (a.hints & NEVER == b.hints & NEVER) and (("!boiler" in b.hints) == ("!boiler" in a.hints))
+            kin = (a.hints & NEVER == b.hints & NEVER) and (("!boiler" in b.hints) == ("!boiler" in a.hints)) and a.filled_in == b.filled_in
             # what was closed and opened between two neighbours is climbed once
             edges.append((i - 1, i, SMOOTH * 0.5 ** min(60, max(0, apart(a.node, b.node) - 2)) * (1.0 if kin else 0.1)))
         if j is not None and j != i - 1:

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from matchgrid.llm import decontam, pii, secrets
+from matchgrid.llm import decontam, html, pii, secrets
 
 # -- secrets -----------------------------------------------------------------------------------
 
@@ -144,3 +144,49 @@ def test_groups_of_a_benchmark_are_scanned_one_at_a_time(spark, monkeypatch):
     assert many.filter(F.size("leaks") > 0).count() == 13
     plan = many._jdf.queryExecution().toString()
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+
+
+# -- pages -------------------------------------------------------------------------------------
+
+LONG = "<p>The first paragraph has a few words, and some commas, in it, as it goes on for quite a while here.</p><p>Then there is a second one; it goes on, as such do, and ends where it ends.</p><p>A third one closes the matter, with all that was left to say, in so many words.</p>"
+PLAIN = " ".join(x.split("</p>")[0] for x in LONG.split("<p>")[1:])
+HEAD = "<h1>A headline</h1>"
+NAV = "<nav><a href=/a>Home</a> <a href=/b>News</a></nav>"
+KEPT = [
+    "<form id='aspnetForm'><input type=hidden name=v>{}</form>", "<form><main><article>{}</article></main><input name=q></form>", "<form action=/x>{}</form>", "<article id='copyright-law'>{}</article>",
+    "<main><div class='message'>{}</div></main>", "<article><section id='discussion'>{}</section></article>", "<article><section class='form-design'>{}</section></article>", "<main><section id='search-algorithms'>{}</section></main>",
+    "<article><div id='related-work'>{}</div></article>", "<main id='header-files'>{}</main>", "<article class='post warning-signs'>{}</article>", "<article><div class='meta-analysis'>{}</div></article>", "<main><article id='comment-culture'>{}</article></main>",
+    "<article aria-label='On social notices and menus'>{}</article>", "<article><div class='content' id='tags-in-markup'>{}</div></article>", "<main><section id='reply-to-critics'>{}</section></main>",
+    "<div class='entry-content' id='post-menu-planning'>{}</div>", "<article><div class='alert'>{}</div></article>", "<main><div id='message'>{}</div></main>", "<form id=f><input name=q><div class=content>{}</div></form>",
+]
+DROPPED = [
+    "<form><p>Your name, please, and your address, and what you want to say.</p><input name=a><input name=b><textarea></textarea><button>Send</button></form>", "<form class='search'><label>Search for it here:</label> <input name=q></form>",
+    "<section id='comments'><p>A reader writes, at some length, that this is so, and that it was ever so.</p></section>", "<div id='site-footer'><p>All rights reserved, as ever, by us and by our partners.</p></div>", "<div id='sidebar-right'><p>Elsewhere, there are other things, all to be read, by all.</p></div>",
+    "<div class='cookie-notice'><p>We use cookies, as all do, and you agree to that, surely.</p></div>", "<div role='alert'><p>Please update the browser, it is old, and slow.</p></div>", "<div class='alert'><p>Please update it now.</p></div>", "<div aria-label='Comments'><p>I disagree with all of this, and say so, at length.</p></div>",
+    "<ul class='related'><li><a href=/1>One other story</a><li><a href=/2>Two other stories</a></ul>", "<div class='newsletter-form'><p>Sign up for our letter, it is free, and weekly.</p></div>", "<p class='hidden'>Nobody sees this, as it is hidden, at all.</p>",
+]
+
+
+@pytest.mark.parametrize("layout", KEPT)
+def test_content_under_telling_names_stays(layout):
+    page = f"<html><body>{NAV}{layout.format(HEAD + LONG)}<footer><p>All rights reserved, as ever, by us.</p></footer></body></html>"
+    assert html.main_text(page) == f"A headline {PLAIN}"
+
+
+@pytest.mark.parametrize("extra", DROPPED)
+def test_boilerplate_under_names_goes(extra):
+    for page in (f"<body>{NAV}<article>{HEAD}{LONG}</article>{extra}</body>", f"<body>{extra}<main>{HEAD}{LONG}</main></body>"):
+        assert html.main_text(page) == f"A headline {PLAIN}"
+
+
+def test_headlines_with_telling_ids_stay():
+    for name in ("related-work", "search-algorithms", "comments", "menu", "discussion"):
+        assert html.main_text(f"<article>{HEAD}<p>Some words, as ever, and a few more.</p><h2 id='{name}'>Second</h2>{LONG}</article>").startswith("A headline Some words, as ever, and a few more. Second The first")
+
+
+def test_the_cut_overrules_single_blocks():
+    """A short block between long ones is kept for its neighbours, though alone it would go."""
+    page = f"<main>{LONG}<p class='message'>So it is.</p>{LONG}</main>"
+    found = html.blocks(page)
+    odds = [html.log_odds(b) for b in found]
+    assert min(odds) < 0 and html.main_text(page) == f"{PLAIN} So it is. {PLAIN}"
