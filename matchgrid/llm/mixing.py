@@ -168,3 +168,13 @@ def mix(
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """The documents the mix takes, range-sorted by training position."""
     return mixed.filter(F.col("copies") > 0).orderBy("first_position")
+
+
+def copies_in_training_order(mixed: DataFrame) -> DataFrame:
+    """One row for each copy that training meets, range-sorted by ``position``; a document taken
+    several times stands at each of its positions. ``words``: how many of it this copy gives, less
+    than all for a last copy that is read in part. Columns of these names are replaced."""
+    copy, at = unused(mixed, "_copy", "_at")
+    dealt = mixed.filter(F.col("copies") > 0).select("*", F.posexplode("positions").alias(copy, at))
+    rest = F.col("taken") - F.col("size") * F.col(copy)
+    return put(dealt, {"position": F.col(at), "words": F.least(F.col("size"), rest)}).drop(copy, at).orderBy("position", "doc_id")

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from matchgrid.llm import decontam, html, pii, secrets
+from matchgrid.llm import decontam, html, mixing, pii, secrets
 
 # -- secrets -----------------------------------------------------------------------------------
 
@@ -190,3 +190,20 @@ def test_the_cut_overrules_single_blocks():
     found = html.blocks(page)
     odds = [html.log_odds(b) for b in found]
     assert min(odds) < 0 and html.main_text(page) == f"{PLAIN} So it is. {PLAIN}"
+
+
+# -- training order ----------------------------------------------------------------------------
+
+
+def test_copies_stand_in_the_order_of_their_positions(spark):
+    docs = [(i, "w " * (i % 7 + 1), "ab"[i % 5 == 0]) for i in range(60)] + [(60, None, "a"), (61, "w", None)]
+    mixed = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).withColumn("words", F.lit("clash"))
+    rows = mixing.copies_in_training_order(mixed).collect()
+    positions = [r["position"] for r in rows]
+    assert positions == sorted(positions) and len(rows) == mixed.agg(F.sum("copies")).first()[0]
+    taken = {r["doc_id"]: r["taken"] for r in mixed.collect() if r["copies"]}
+    got: dict[int, int] = {}
+    for r in rows:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["words"]
+        assert 0 < r["words"] <= r["size"]
+    assert got == taken and max(r["copies"] for r in rows) > 1
