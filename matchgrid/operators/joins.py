@@ -100,12 +100,14 @@ def attach_events(matches: DataFrame, events: DataFrame) -> DataFrame:
 def attach_sides(matches: DataFrame, per_team: DataFrame, name: str = "profile") -> DataFrame:
     """``matches`` with ``home_<name>`` and ``away_<name>``: the team's row of ``per_team``, null if there is none.
 
-    ``per_team`` has one row at most for a fixture and team. A fixture's rows are put together
-    first, so a match is joined once for both sides.
+    ``per_team`` has one row at most for a fixture and team; a second one is an error, and rows
+    without a team belong to no side. A fixture's rows are put together first, so a match is joined
+    once for both sides.
     """
     rest = [x for x in per_team.columns if x not in ("fixture_id", "team_id")]
-    sides = per_team.groupBy("fixture_id").agg(F.collect_list(F.struct("team_id", F.struct(*rest).alias("row"))).alias("_sides"))
-    of = lambda side: F.get(F.filter("_sides", lambda t: t["team_id"] == F.col(f"{side}_team_id")), F.lit(0))["row"]
+    rows = F.map_from_entries(F.collect_list(F.struct("team_id", F.struct(*rest))))  # fails on equal teams
+    sides = per_team.filter("team_id is not null").groupBy("fixture_id").agg(rows.alias("_sides"))
+    of = lambda side: F.try_element_at("_sides", F.col(f"{side}_team_id"))
     out = matches.join(sides, "fixture_id", "left")
     return out.select(*matches.columns, of("home").alias(f"home_{name}"), of("away").alias(f"away_{name}"))
 

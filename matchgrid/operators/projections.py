@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from matchgrid.functions.scalars import half_even, ratio, result_from_score
 
-#: Columns of a player's match that null stands for zero in, once the player appeared.
+#: Columns of a player's match that null stands for zero in, once the player appeared.
 ZERO_IF_APPEARED = (
-    "shots_total shots_on_target goals_scored goals_conceded goals_assists goals_saves passes_total passes_key passes_accuracy tackles_total tackles_blocks tackles_interceptions "
-    "duels_total duels_won dribbles_attempts dribbles_success dribbles_past fouls_drawn fouls_committed cards_yellow cards_red penalty_won penalty_committed penalty_scored "
-    "penalty_missed penalty_saved offsides"
-).split()
+    "shots_total", "shots_on_target", "goals_scored", "goals_conceded", "goals_assists", "goals_saves", "passes_total", "passes_key", "passes_accuracy", "tackles_total",
+    "tackles_blocks", "tackles_interceptions", "duels_total", "duels_won", "dribbles_attempts", "dribbles_success", "dribbles_past", "fouls_drawn", "fouls_committed",
+    "cards_yellow", "cards_red", "penalty_won", "penalty_committed", "penalty_scored", "penalty_missed", "penalty_saved", "offsides",
+)
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-#: Counts that are summed over a player's season, and rates that are averaged.
-SUMS = (
-    "appearances lineups minutes goals assists shots_total shots_on_target passes_total passes_key tackles_total tackles_blocks tackles_interceptions duels_total duels_won "
-    "dribbles_attempts dribbles_success fouls_drawn fouls_committed cards_yellow cards_red goals_conceded saves penalty_saved"
-).split()
+#: Counts that are summed over a player's season, and rates that are averaged.
+SUMS = [
+    "appearances", "lineups", "minutes", "goals", "assists", "shots_total", "shots_on_target", "passes_total", "passes_key", "tackles_total", "tackles_blocks",
+    "tackles_interceptions", "duels_total", "duels_won", "dribbles_attempts", "dribbles_success", "fouls_drawn", "fouls_committed", "cards_yellow", "cards_red", "goals_conceded",
+    "saves", "penalty_saved",
+]
 MEANS = ["rating", "passes_accuracy"]
 
 _STATS = ",\n".join(

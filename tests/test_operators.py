@@ -136,3 +136,12 @@ def test_one_drifted_file_among_many(spark, tmp_path):
         assert sorted((r["file"].split("/")[-2], r["column"], r["problem"]) for r in found if r["column"]) == [("day=1", "more", "extra"), ("day=1", "x", "type int for double")]
         assert [(r["file"].split("/")[-2], r["problem"]) for r in found if r["column"] is None] == [("day=2", "order")]
     assert checks.check_file_schemas(spark, [str(tmp_path / "t" / "late" / "day=2")], T.StructType.fromDDL("name string, id long, x double")).count() == 0
+
+
+def test_sides_of_a_match_and_repeated_teams(spark):
+    matches = spark.createDataFrame([(1, 10, 20), (2, 20, 30), (3, 30, None)], "fixture_id long, home_team_id long, away_team_id long")
+    teams = spark.createDataFrame([(1, 10, "a"), (1, 20, "b"), (2, 30, "c"), (2, None, "d"), (9, 1, "e")], "fixture_id long, team_id long, x string")
+    got = J.attach_sides(matches, teams).orderBy("fixture_id").collect()
+    assert [(r["home_profile"] and r["home_profile"]["x"], r["away_profile"] and r["away_profile"]["x"]) for r in got] == [("a", "b"), (None, "c"), (None, None)]
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        J.attach_sides(matches, teams.union(teams.limit(1))).collect()
