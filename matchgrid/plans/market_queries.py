@@ -152,9 +152,17 @@ def l07(v):
     return L.market_metrics(L.price_levels(l3(v))).withColumns({x: F.round(x, 9) for x in ("volume_imbalance", "order_imbalance")})
 
 
-@query("l08_event_outcomes", f"WITH {VALID_SQL} SELECT symbol, count(*) AS total, count(*) FILTER (error IS NULL) AS ok, 0::BIGINT AS failed, count(error) AS validation_errors FROM vo GROUP BY symbol")
+@query(
+    "l08_event_outcomes",
+    f"WITH {VALID_SQL}, oc AS (SELECT *, coalesce(error, CASE WHEN action = 'CANCEL' AND order_id NOT IN (SELECT order_id FROM order_events WHERE action = 'NEW') THEN '' END) AS outcome FROM vo) "
+    "SELECT symbol, count(*) AS total, count(*) FILTER (outcome IS NULL) AS ok, count(*) FILTER (outcome = '') AS failed, count(*) FILTER (outcome <> '') AS validation_errors FROM oc GROUP BY symbol",
+)
 def l08(v):
-    return L.event_outcome_summary(L.validate_orders(v.order_events), ["symbol"])
+    """A cancel of an order that never was fails without a message."""
+    known = v.order_events.filter("action = 'NEW'").select("order_id").distinct().withColumn("known", lit(True))
+    events = L.validate_orders(v.order_events).join(known, "order_id", "left")
+    unknown = (c("action") == "CANCEL") & c("known").isNull()
+    return L.event_outcome_summary(events.withColumn("error", F.coalesce("error", F.when(unknown, ""))), ["symbol"])
 
 
 @query(
@@ -264,9 +272,10 @@ def q12(v):
     return out.select("player_id", F.array_join("parents", ",").alias("parents"))
 
 
-@query("q13_required", "SELECT team_id, count(*) AS n, count(*) FILTER (number IS NULL) AS empty_number, 0::BIGINT AS empty_player_name, count(*) >= 4 AND count(*) FILTER (number IS NULL) = 0 AS ok FROM squads GROUP BY team_id")
+@query("q13_required", "SELECT team_id, count(*) AS n, count(*) FILTER (number IS NULL) AS empty_number, count(*) FILTER (player_name = '') AS empty_player_name, count(*) >= 4 AND count(*) FILTER (number IS NULL OR player_name = '') = 0 AS ok FROM (SELECT team_id, number, CASE WHEN player_id % 7 = 0 THEN '' ELSE player_name END AS player_name FROM squads) GROUP BY team_id")
 def q13(v):
-    return Q.check_required(v.squads, "team_id", ["number", "player_name"], 4)
+    named = v.squads.withColumn("player_name", F.when(c("player_id") % 7 == 0, "").otherwise(c("player_name")))
+    return Q.check_required(named, "team_id", ["number", "player_name"], 4)
 
 
 @query(

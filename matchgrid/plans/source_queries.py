@@ -76,10 +76,10 @@ def s10(v):
     return feeds.flatten_player_match(feeds.parsed(j, "j", feeds.PLAYER_MATCH))
 
 
-@query("s11_flatten_team_stats", "SELECT fixture_id, home_team_id AS team_id, (home_goals * 10)::DOUBLE AS ball_possession, coalesce(halftime_home, 0)::DOUBLE AS total_shots, 5.0::DOUBLE AS passes_pct FROM matches")
+@query("s11_flatten_team_stats", "SELECT fixture_id, home_team_id AS team_id, (home_goals * 10)::DOUBLE AS ball_possession, coalesce(halftime_home, 0)::DOUBLE AS total_shots, CASE WHEN fixture_id % 3 = 0 THEN 0.0::DOUBLE ELSE (away_goals * 7)::DOUBLE END AS passes_pct FROM matches")
 def s11(v):
     item = lambda t, x: F.struct(lit(t).alias("type"), x.cast("string").alias("value"))
-    stats = F.array(item("Ball Possession", F.concat((c("home_goals") * 10).cast("string"), lit("%"))), item("Total Shots", c("halftime_home")), item("Passes %", lit("5%")))
+    stats = F.array(item("Ball Possession", F.concat((c("home_goals") * 10).cast("string"), lit("%"))), item("Total Shots", c("halftime_home")), item("Passes %", F.when(c("fixture_id") % 3 > 0, F.concat((c("away_goals") * 7).cast("string"), lit("%")))))
     j = v.matches.select(F.to_json(F.struct("fixture_id", F.struct(c("home_team_id").alias("id")).alias("team"), stats.alias("statistics"))).alias("j"))
     return feeds.flatten_team_stats(feeds.parsed(j, "j", feeds.TEAM_STATS), ["ball_possession", "total_shots", "passes_pct"])
 
