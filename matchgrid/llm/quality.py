@@ -13,17 +13,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchgrid.llm import hashing
-from matchgrid.llm.common import put
+from matchgrid.llm.common import persist_plan, put
 
 BITS = 17
 GRAMS = (3, 4)
 #: Labelled documents that the model is fitted on, at most: those of the smallest id hashes.
 SAMPLE = 2000
+#: Terms of all of them together, at most (8 bytes each on the driver); rows past it are left out.
+TERMS = 20_000_000
 
 
 def buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +120,7 @@ def score(texts: list[str], model: Model) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, doc_id: str, text: str, sample: int) -> DataFrame:
-    """(t, y): texts and labels of at most ``sample`` rows, those of the smallest id hashes.
+    """(i, t, y): ids, texts and labels of at most ``sample`` rows, those of the smallest id hashes.
 
     The labels are cut down before any text is read; ``sample`` bounds what is broadcast. Of the
     texts of a repeated id one is taken, so that it bounds what is returned too.
@@ -126,21 +128,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: C
     some = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).filter(F.col("i").isNotNull() & F.col("y").isin(0, 1)).distinct()
     some = some.filter(may_learn).orderBy(F.xxhash64("i"), "i", "y").limit(sample)
     texts = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return texts.join(F.broadcast(some), "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("t", F.col("y").cast("int").alias("y"))
+    return texts.join(F.broadcast(some), "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("i", "t", F.col("y").cast("int").alias("y"))
+
+
+def within(rows: DataFrame, terms: Column, most: int) -> DataFrame:
+    """The rows of a sample, in the order of their id hashes, that have ``most`` terms at most together:
+    what is fetched is bounded by its terms too, however long the texts are. The rows are written
+    first, so that only ids and counts are put in order.
+    """
+    held = persist_plan(rows)
+    so_far = Window.orderBy(F.xxhash64("i"), "i", "y").rowsBetween(Window.unboundedPreceding, 0)
+    kept = held.select("i", "y", F.sum(terms).over(so_far).alias("n")).filter(F.col("n") <= most).select("i", "y")
+    return held.join(F.broadcast(kept), ["i", "y"], "left_semi")
 
 
 _FEATURES = T.StructType().add("b", T.ArrayType(T.IntegerType())).add("n", T.ArrayType(T.FloatType()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """The model of a bounded sample of labelled documents. ``may_learn`` is over the id, named i."""
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, most: int = TERMS) -> Model:
+    """The model of a bounded sample of labelled documents: ``sample`` rows and ``most`` terms at most.
+    ``may_learn`` is over the id, named i."""
 
     @F.pandas_udf(_FEATURES)
     def hashed(texts: pd.Series) -> pd.DataFrame:
         found = features(texts.tolist())
         return pd.DataFrame({"b": [b.astype(np.int32) for b, _ in found], "n": [n.astype(np.float32) for _, n in found]})
 
-    rows = labelled_sample(docs, labels, label, may_learn, doc_id, text, sample).select(hashed("t").alias("f"), "y").select("f.b", "f.n", "y").toArrow()
+    sampled = labelled_sample(docs, labels, label, may_learn, doc_id, text, sample).select("i", "y", hashed("t").alias("f"))
+    rows = within(sampled, F.size("f.b"), most).select("f.b", "f.n", "y").toArrow()
     found = list(zip(ragged(rows["b"]), ragged(rows["n"]), strict=True))
     labels_ = rows["y"].to_numpy().astype(np.int64)
     order = sorted(range(len(found)), key=lambda i: (len(found[i][0]), int(np.sum(found[i][0], dtype=np.int64)), int(labels_[i])))

@@ -17,12 +17,14 @@ from pyspark.sql import types as T
 
 from matchgrid.llm import hashing
 from matchgrid.llm.common import put
-from matchgrid.llm.quality import labelled_sample, ragged
+from matchgrid.llm.quality import labelled_sample, ragged, within
 
 BITS = 18
 FACTORS = 8
 #: Labelled documents that the model is fitted on, at most: those of the smallest id hashes.
 SAMPLE = 12000
+#: Different terms of each of them, added up, at most (4 bytes each on the driver); rows past it are left out.
+TERMS = 20_000_000
 #: Terms get a weight if they stand in this share of the sample's documents, or if they tell the
 #: labels apart by themselves (chi-squared with one degree of freedom) and aren't too rare.
 FREQUENT = 0.02
@@ -127,15 +129,17 @@ def score(texts: list[str], machine: Machine) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(machine.raw(row, term, len(texts)), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Machine:
-    """The machine of a bounded sample of labelled documents. ``may_learn`` is over the id, named i."""
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, most: int = TERMS) -> Machine:
+    """The machine of a bounded sample of labelled documents: ``sample`` rows and ``most`` terms at most.
+    ``may_learn`` is over the id, named i."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def hashed(texts: pd.Series) -> pd.Series:
         row, term = terms(texts.tolist())
         return pd.Series(np.split(term.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts)))), dtype=object)
 
-    rows = labelled_sample(docs, labels, label, may_learn, doc_id, text, sample).select(hashed("t").alias("t"), "y").toArrow()
+    sampled = labelled_sample(docs, labels, label, may_learn, doc_id, text, sample).select("i", "y", hashed("t").alias("t"))
+    rows = within(sampled, F.size("t"), most).select("t", "y").toArrow()
     found, labels_ = ragged(rows["t"]), rows["y"].to_numpy().astype(np.int64)
     order = sorted(range(len(found)), key=lambda i: (len(found[i]), int(np.sum(found[i], dtype=np.int64)), int(labels_[i])))
     lengths = [len(found[i]) for i in order]

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from matchgrid.llm import decontam, html, mixing, pii, secrets
+from matchgrid.llm import decontam, html, mixing, pii, quality, secrets, toxicity
 
 # -- secrets -----------------------------------------------------------------------------------
 
@@ -207,3 +207,26 @@ def test_copies_stand_in_the_order_of_their_positions(spark):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["words"]
         assert 0 < r["words"] <= r["size"]
     assert got == taken and max(r["copies"] for r in rows) > 1
+
+
+# -- samples to learn from ---------------------------------------------------------------------
+
+
+def test_samples_are_bounded_by_terms_too(spark):
+    rows = spark.createDataFrame([(i, i % 2, list(range(10 + 90 * (i == 7)))) for i in range(50)], "i long, y int, t array<int>").repartition(4)
+    all_ = quality.within(rows, F.size("t"), 10**6)
+    assert all_.count() == 50
+    order = [r["i"] for r in rows.orderBy(F.xxhash64("i")).collect()]
+    for most in (5, 120, 300):
+        got = {r["i"] for r in quality.within(rows, F.size("t"), most).collect()}
+        so_far, want = 0, set()
+        for i in order:
+            so_far += 10 + 90 * (i == 7)
+            want |= {i} if so_far <= most else set()
+        assert got == want
+    docs = spark.createDataFrame([(i, "good words here " * 5 if i % 2 else "bad things there " * 400) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for module, score, label in ((quality, quality.score_quality, "quality"), (toxicity, toxicity.score_toxicity, "toxic")):
+        for most in (0, 2000):
+            model = module.fit(docs, labels, F.lit(True), label, most=most)
+            assert all(0 <= r["score"] <= 1 for r in score(docs, model).collect())
