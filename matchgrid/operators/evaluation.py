@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from matchgrid.functions.scalars import kelly, p_over, wilson
 from matchgrid.operators.projections import derive_prediction_flags
-from matchgrid.operators.ranges import ROWS, compound
+from matchgrid.operators.ranges import LOG_UNITS, ROWS, RUIN, from_log_units, log_compound
 
 # -- scores ------------------------------------------------------------------------------------
 
@@ -179,17 +179,25 @@ def place_bets(
 def bankroll_path(bets: DataFrame, keys: Sequence[str], order: Sequence[str], start: float = 1000.0, rows: int = ROWS) -> DataFrame:
     """Bankroll after each step, its peak so far (not below the start) and the drawdown.
 
-    Stakes are shares, so a path is a running product. The path of a strategy of many bets is made
-    in ranges of its order, which join by their products and peaks.
+    Stakes are shares, so a path is a running product. It is kept as a sum of logarithms in whole
+    units (log_units: log10 of the bankroll, of which a double may hold no more than 0), so neither the
+    order of multiplication nor the length of a path shows; a return of -1 or less ends it at 0. The
+    path of a strategy of many bets is made in ranges of its order, which join by their sums and peaks.
     """
-    df = compound(bets, keys, order, F.lit(1.0) + F.col("bet_return"), start, "bankroll", "peak", rows)
-    return df.withColumn("drawdown", (F.col("bankroll") - F.col("peak")) / F.col("peak"))
+    df = log_compound(bets, keys, order, F.lit(1.0) + F.col("bet_return"), "log_units", "_peak", rows)
+    value = lambda c: F.when(F.col(c) > RUIN / 2, F.lit(start) * from_log_units(F.col(c))).otherwise(0.0)
+    out = df.withColumns({"bankroll": value("log_units"), "peak": value("_peak"), "drawdown": F.when(F.col("log_units") > RUIN / 2, from_log_units(F.col("log_units") - F.col("_peak")) - F.lit(1.0)).otherwise(-1.0)})
+    return out.withColumn("log_units", _from(start) + F.col("log_units")).drop("_peak")
+
+
+def _from(start: float) -> Column:
+    return F.lit(round(math.log10(start) * LOG_UNITS)).cast("decimal(28,0)")
 
 
 def with_start(path: DataFrame, keys: Sequence[str], start: float = 1000.0) -> DataFrame:
     """A path with the point that it starts from: one more row for each key, before any bet, whose
     other columns are null."""
-    first = path.select(*keys).distinct().select(*keys, F.lit(start).alias("bankroll"), F.lit(start).alias("peak"), F.lit(0.0).alias("drawdown"))
+    first = path.select(*keys).distinct().select(*keys, _from(start).cast(path.schema["log_units"].dataType).alias("log_units"), F.lit(start).alias("bankroll"), F.lit(start).alias("peak"), F.lit(0.0).alias("drawdown"))
     return path.unionByName(first, allowMissingColumns=True)
 
 
@@ -198,6 +206,7 @@ def backtest_summary(path: DataFrame, keys: Sequence[str], order: Sequence[str],
     returns = F.when(placed, F.col("bet_return"))
     out = path.groupBy(*keys).agg(
         F.max_by("bankroll", F.struct(*order)).alias("final"),
+        F.max_by("log_units", F.struct(*order)).alias("final_log_units"),
         F.coalesce(F.avg(F.when(placed, F.col("won").cast("int"))), F.lit(0.0)).alias("win_rate"),
         F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"),
         F.coalesce(F.try_divide(F.avg(returns), F.nullif(F.stddev_samp(returns), F.lit(0.0))), F.lit(0.0)).alias("sharpe"),

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -245,6 +246,42 @@ def compound(df: DataFrame, keys: Sequence[str], order: Sequence[str], factor: C
     return out.drop(RANGE, "_at", "_top")
 
 
+#: Products of many factors are kept as sums of log10 in whole units of this many to one.
+LOG_UNITS = 10**14
+#: What a factor of 0 or less counts as; sums below half of it are products of 0.
+RUIN = Decimal(-(10**26))
+
+
+def log_units(factor: Column) -> Column:
+    """log10 of a factor in whole units, so that sums are exact in any order and never run out of range."""
+    units = F.round(F.log10(factor) * F.lit(float(LOG_UNITS))).cast("decimal(18,0)").cast("decimal(28,0)")
+    return F.when(factor <= 0, F.lit(RUIN).cast("decimal(28,0)")).otherwise(units)
+
+
+def from_log_units(units: Column) -> Column:
+    return F.pow(F.lit(10.0), units.cast("double") / F.lit(float(LOG_UNITS)))
+
+
+def log_compound(df: DataFrame, keys: Sequence[str], order: Sequence[str], factor: Column, name: str = "log_units", peak: str = "peak_units", rows: int = ROWS) -> DataFrame:
+    """The product of the factors so far, and the greatest so far (that of none, 1, too), in log units.
+
+    As ``compound``, but exact in any order and for products beyond what doubles hold.
+    """
+    cut = Cut(df, keys, order, rows)
+    frame, zero = cut.window.rowsBetween(Window.unboundedPreceding, 0), F.lit(0).cast("decimal(38,0)")
+    own = cut.rows_of().withColumn("_units", log_units(factor))
+    own = own.withColumn(name, F.coalesce(F.sum("_units").over(frame), zero))
+    own = own.withColumn(peak, F.max(name).over(frame))
+    at, top = zero, zero
+    if cut.ranges:
+        totals = own.filter(F.col(RANGE) >= 0).groupBy(*cut.by).agg(F.sum("_units").alias("_sum"), F.max(name).alias("_greatest"))
+        totals = totals.withColumn("_at", F.coalesce(F.sum("_sum").over(cut.earlier), zero).cast("decimal(38,0)"))
+        own = cut.with_carried(own, totals, {"_at": F.col("_at"), "_top": F.max(F.col("_at") + F.col("_greatest")).over(cut.earlier)})
+        at, top = F.coalesce("_at", at), F.greatest("_top", top)
+    out = own.withColumn(peak, F.greatest(at + F.col(peak), top).cast("decimal(38,0)")).withColumn(name, (at + F.col(name)).cast("decimal(38,0)"))
+    return out.drop(RANGE, "_at", "_top", "_units")
+
+
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], ties: Sequence[str] = (), before: bool = False, rows: int = ROWS) -> DataFrame:
     """Each row of ``left`` with the values of the last row of ``right`` of its keys that isn't later.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.operators.ranges import ROWS, rolling, running
+from matchgrid.operators.ranges import LOG_UNITS, ROWS, log_units, rolling, running
 
 
 def keep_first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -37,6 +38,12 @@ def running_product(df: DataFrame, keys: Sequence[str], order: Sequence[str], fa
     return running(df, keys, order, {name: ("product", factor)}, rows).withColumn(name, F.lit(start) * F.col(name))
 
 
+def running_log_product(df: DataFrame, keys: Sequence[str], order: Sequence[str], factor: Column, name: str, start: float, rows: int = ROWS) -> DataFrame:
+    """log10 of ``running_product`` in whole units (ranges.LOG_UNITS): exact in any order, for products of any size."""
+    first = F.lit(round(math.log10(start) * LOG_UNITS)).cast("decimal(28,0)")
+    return running(df, keys, order, {name: ("sum", log_units(factor))}, rows).withColumn(name, first + F.col(name))
+
+
 def drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, start: float, rows: int = ROWS) -> DataFrame:
     """running_peak (not below the start) and drawdown, 0 or less."""
     df = running(df, keys, order, {"running_peak": ("max", F.col(value))}, rows).withColumn("running_peak", F.greatest("running_peak", F.lit(start)))

@@ -9,6 +9,7 @@ from matchgrid.operators import evaluation as E
 from matchgrid.operators import joins as J
 from matchgrid.operators import projections as P
 from matchgrid.operators import windows as W
+from matchgrid.operators.ranges import LOG_UNITS, RUIN, from_log_units
 from matchgrid.plans.projection_queries import FLAGS_SQL, WILSON_SQL
 from matchgrid.plans import text_queries
 from matchgrid.plans.registry import query
@@ -204,6 +205,34 @@ def path(v):
     return E.bankroll_path(E.place_bets(keyed(v)), ["regime", "team"], ["fixture_id"])
 
 
+# Of thousands of bets the products leave what doubles hold, and their last digits follow the order of
+# multiplication. So paths are sums of log10 in whole units of 1e-14 where they are shown.
+LOG_PATH_SQL = (
+    ", gn AS (SELECT *, CAST(round(log10(1 + bet_return) * 1e14::DOUBLE) AS BIGINT) AS units FROM bt), pa AS (SELECT *, 300000000000000 + sum(units) OVER w AS log_units FROM gn WINDOW w AS (PARTITION BY {0} ORDER BY fixture_id ROWS UNBOUNDED PRECEDING)), "
+    "pk AS (SELECT *, greatest(max(log_units) OVER w, 300000000000000) AS peak_units FROM pa WINDOW w AS (PARTITION BY {0} ORDER BY fixture_id ROWS UNBOUNDED PRECEDING)), dd AS (SELECT *, pow(10.0::DOUBLE, (log_units - peak_units)::DOUBLE / 1e14::DOUBLE) - 1 AS drawdown FROM pk)"
+)
+LOGS_SQL = KEYED_SQL + LOG_PATH_SQL.format("regime, team")
+
+
+def log_sci_sql(units):
+    """'%.6e' of a number given by its log10 in units of 1e-14."""
+    power = f"floor({units} / 1e14::DOUBLE)::BIGINT"
+    power = f"({power} - CASE WHEN {power} * 100000000000000::HUGEINT > {units} THEN 1 ELSE 0 END)"
+    digits = f"round(pow(10.0::DOUBLE, ({units} - {power} * 100000000000000::HUGEINT)::DOUBLE / 1e14::DOUBLE) * 1e6::DOUBLE)::BIGINT"
+    return f"(SELECT printf('%d.%06de%s%02d', d // 1000000, d % 1000000, CASE WHEN e < 0 THEN '-' ELSE '+' END, abs(e)) FROM (SELECT CASE WHEN d = 10000000 THEN 1000000 ELSE d END AS d, CASE WHEN d = 10000000 THEN e + 1 ELSE e END AS e FROM (SELECT {digits} AS d, {power} AS e)))"
+
+
+def log_sci(units):
+    """'%.6e' of a number given by its log10 in units of LOG_UNITS."""
+    one = lit(LOG_UNITS).cast("decimal(18,0)")
+    rest = F.pmod(units, one)
+    power = ((units - rest) / one).cast("long")
+    digits = F.round(from_log_units(rest) * 1e6).cast("long")
+    carried = digits == 10_000_000
+    digits, power = F.when(carried, 1_000_000).otherwise(digits), F.when(carried, power + 1).otherwise(power)
+    return F.when(units > RUIN / 2, F.format_string("%d.%06de%s%02d", F.floor(digits / 1_000_000), digits % 1_000_000, F.when(power < 0, "-").otherwise("+"), F.abs(power))).otherwise("0.000000e+00")
+
+
 SHORT = "printf('%.6e', {})"
 
 
@@ -213,16 +242,16 @@ def sci(x):
 
 @query(
     "b03_bankroll_path",
-    f"WITH {PATH_SQL} SELECT regime, team, fixture_id, {SHORT.format('bankroll')} AS bankroll, round(drawdown, 6) AS drawdown FROM dd UNION ALL SELECT DISTINCT regime, team, NULL, {SHORT.format('1000.0::DOUBLE')}, 0.0::DOUBLE FROM dd",
+    f"WITH {LOGS_SQL} SELECT regime, team, fixture_id, {log_sci_sql('log_units')} AS bankroll, round(drawdown, 6) AS drawdown FROM dd UNION ALL SELECT DISTINCT regime, team, NULL, {SHORT.format('1000.0::DOUBLE')}, 0.0::DOUBLE FROM dd",
 )
 def b03(v):
-    return E.with_start(path(v), ["regime", "team"]).select("regime", "team", "fixture_id", sci("bankroll").alias("bankroll"), F.round("drawdown", 6).alias("drawdown"))
+    return E.with_start(path(v), ["regime", "team"]).select("regime", "team", "fixture_id", log_sci(c("log_units")).alias("bankroll"), F.round("drawdown", 6).alias("drawdown"))
 
 
-@query("w04_running_bankroll", f"WITH {PATH_SQL} SELECT regime, team, fixture_id, {SHORT.format('bankroll')} AS bankroll FROM pa")
+@query("w04_running_bankroll", f"WITH {LOGS_SQL} SELECT regime, team, fixture_id, {log_sci_sql('log_units')} AS bankroll FROM pa")
 def w04(v):
     bets = E.place_bets(keyed(v))
-    return W.running_product(bets, ["regime", "team"], ["fixture_id"], lit(1.0) + c("bet_return"), "bankroll", 1000.0).select("regime", "team", "fixture_id", sci("bankroll").alias("bankroll"))
+    return W.running_log_product(bets, ["regime", "team"], ["fixture_id"], lit(1.0) + c("bet_return"), "log_units", 1000.0).select("regime", "team", "fixture_id", log_sci(c("log_units")).alias("bankroll"))
 
 
 @query("w05_drawdown", f"WITH {PATH_SQL} SELECT regime, team, fixture_id, {SHORT.format('peak')} AS running_peak, round(drawdown, 6) AS drawdown FROM dd")
@@ -232,22 +261,25 @@ def w05(v):
     return out.select("regime", "team", "fixture_id", sci("running_peak").alias("running_peak"), F.round("drawdown", 6).alias("drawdown"))
 
 
-SUMMARY_SQL = f"{SHORT.format('arg_max(bankroll, fixture_id)')} AS final, round(coalesce(avg(won::INTEGER) FILTER (placed), 0), 9) AS win_rate, round(least(min(drawdown), 0), 6) AS max_drawdown, round(coalesce(avg(bet_return) FILTER (placed) / nullif(stddev_samp(bet_return) FILTER (placed), 0), 0), 6) AS sharpe, count(*) FILTER (placed) AS bets, count(*) FILTER (NOT placed) AS skipped"
+SUMMARY_SQL = f"arg_max(log_units, fixture_id) AS final, round(coalesce(avg(won::INTEGER) FILTER (placed), 0), 9) AS win_rate, round(least(min(drawdown), 0), 6) AS max_drawdown, round(coalesce(avg(bet_return) FILTER (placed) / nullif(stddev_samp(bet_return) FILTER (placed), 0), 0), 6) AS sharpe, count(*) FILTER (placed) AS bets, count(*) FILTER (NOT placed) AS skipped"
 
 
 def summary(df, keys):
     out = E.backtest_summary(df, keys, ["fixture_id"])
-    return out.select(*keys, sci("final").alias("final"), F.round("win_rate", 9).alias("win_rate"), F.round("max_drawdown", 6).alias("max_drawdown"), F.round("sharpe", 6).alias("sharpe"), "bets", "skipped")
+    return out.select(*keys, log_sci(c("final_log_units")).alias("final"), F.round("win_rate", 9).alias("win_rate"), F.round("max_drawdown", 6).alias("max_drawdown"), F.round("sharpe", 6).alias("sharpe"), "bets", "skipped")
 
 
-@query("b04_backtest_summary", f"WITH {PATH_SQL} SELECT regime, team, {SUMMARY_SQL} FROM dd GROUP BY regime, team")
+@query("b04_backtest_summary", f"WITH {LOGS_SQL} SELECT * REPLACE ({log_sci_sql('final')} AS final) FROM (SELECT regime, team, {SUMMARY_SQL} FROM dd GROUP BY regime, team)")
 def b04(v):
     return summary(path(v), ["regime", "team"])
 
 
-GRID_SQL = (
+GRID_BETS_SQL = (
     f"{INPUTS_SQL}, bg AS (SELECT bi.*, m.home_team_id AS team, kelly_fraction, cap FROM bi JOIN matches m ON bi.fixture_id = m.fixture_id CROSS JOIN (SELECT unnest([0.1, 0.25, 0.5])::DOUBLE AS kelly_fraction) CROSS JOIN (SELECT unnest([0.05, 0.1, 0.2])::DOUBLE AS cap) WHERE bi.regime = 'halftime'), "
     + bets_sql("kelly_fraction", "cap", "bg")
+)
+GRID_SQL = (
+    GRID_BETS_SQL
     + ", pa AS (SELECT *, 1000.0::DOUBLE * product(1 + bet_return) OVER w AS bankroll FROM bt WINDOW w AS (PARTITION BY team, kelly_fraction, cap ORDER BY fixture_id ROWS UNBOUNDED PRECEDING)), pk AS (SELECT *, greatest(max(bankroll) OVER w, 1000) AS peak FROM pa WINDOW w AS (PARTITION BY team, kelly_fraction, cap ORDER BY fixture_id ROWS UNBOUNDED PRECEDING)), dd AS (SELECT *, (bankroll - peak) / peak AS drawdown FROM pk)"
 )
 GRID_KEYS = ["team", "kelly_fraction", "cap"]
@@ -258,7 +290,7 @@ def grid_path(v):
     return E.bankroll_path(E.place_bets(rows, kelly_fraction=c("kelly_fraction"), cap=c("cap")), GRID_KEYS, ["fixture_id"])
 
 
-@query("b05_sensitivity_grid", f"WITH {GRID_SQL} SELECT team, kelly_fraction, cap, {SUMMARY_SQL} FROM dd GROUP BY ALL")
+@query("b05_sensitivity_grid", f"WITH {GRID_BETS_SQL}{LOG_PATH_SQL.format('team, kelly_fraction, cap')} SELECT * REPLACE ({log_sci_sql('final')} AS final) FROM (SELECT team, kelly_fraction, cap, {SUMMARY_SQL} FROM dd GROUP BY ALL)")
 def b05(v):
     return summary(grid_path(v), GRID_KEYS)
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from matchgrid.operators import evaluation as E
+from matchgrid.operators import windows as W
+from matchgrid.plans import evaluation_queries
 
 
 def test_bootstrap_against_plain_resampling(spark):
@@ -72,3 +76,26 @@ def test_draws_of_all_chunks_add_up():
     for p, share in zip(parts, np.diff(bounds) / 107, strict=True):
         assert p.mean() == pytest.approx(107 * share, abs=5 * math.sqrt(107 * share / 3000) + 1e-9)
         assert p.var() == pytest.approx(107 * share * (1 - share), rel=0.15)
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 700])
+def test_paths_of_thousands_of_bets_stay_exact(spark, rows):
+    """Products beyond doubles, against decimals; whole and in ranges; the same in any grouping."""
+    returns = ([0.045, -0.2, 0.045, -0.1, -0.2] * 1800)
+    df = spark.createDataFrame([("a", i, r, 0.1, r > 0) for i, r in enumerate(returns)] + [("gone", 0, 0.1, 0.1, True), ("gone", 1, -1.0, 0.1, False), ("gone", 2, 0.5, 0.1, True)], "s string, i int, bet_return double, stake double, won boolean")
+    path = E.bankroll_path(df, ["s"], ["i"], rows=rows)
+    shown = {(r["s"], r["i"]): (r["text"], r["drawdown"]) for r in path.withColumn("text", evaluation_queries.log_sci(F.col("log_units"))).collect()}
+    value = peak = Decimal(1000)
+    with localcontext() as context:
+        context.prec = 60
+        for i, r in enumerate(returns):
+            value *= 1 + Decimal(str(r))
+            peak = max(peak, value)
+            text, fall = shown["a", i]
+            assert abs(Decimal(text) / value - 1) < Decimal("1e-6") and abs(fall - float(value / peak - 1)) < 1e-9
+    assert value < Decimal("1e-330")  # a double holds none of it
+    assert shown["gone", 1] == ("0.000000e+00", -1.0) == shown["gone", 2] and shown["gone", 0][0] == "1.100000e+03"
+    log = W.running_log_product(df, ["s"], ["i"], F.lit(1.0) + F.col("bet_return"), "u", 1000.0, rows=rows)
+    assert log.join(path.select("s", "i", "log_units"), ["s", "i"]).filter("u <> log_units").count() == 0
+    got = E.backtest_summary(path, ["s"], ["i"]).filter("s = 'a'").withColumn("text", evaluation_queries.log_sci(F.col("final_log_units"))).first()
+    assert got["text"] == shown["a", len(returns) - 1][0]
