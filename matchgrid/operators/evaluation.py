@@ -56,8 +56,10 @@ def ece(df: DataFrame, keys: Sequence[str], p: str, y: str, bins: int = 10) -> D
 
 def reliability(df: DataFrame, keys: Sequence[str], p: str, y: str, bins: int = 5) -> DataFrame:
     """Mean p, frequency and size of each bin that isn't empty."""
-    rows = df.withColumn("bin", bin_of(F.col(p), bins)).filter("bin is not null")
-    return rows.groupBy(*keys, "bin").agg(F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("frequency"), F.count("*").alias("n"))
+    rows = df.withColumn("bin", bin_of(F.col(p), bins)).groupBy(*keys, "bin")
+    out = rows.agg(F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("frequency"), F.count("bin").alias("n"))
+    # rows without a bin go by its count: a filter on the bin sinks below all joins and repeats there what p is made of
+    return out.filter("n > 0")
 
 
 def regime_summary(flags: DataFrame, keys: Sequence[str] = ("regime",)) -> DataFrame:

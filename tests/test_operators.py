@@ -145,3 +145,16 @@ def test_sides_of_a_match_and_repeated_teams(spark):
     assert [(r["home_profile"] and r["home_profile"]["x"], r["away_profile"] and r["away_profile"]["x"]) for r in got] == [("a", "b"), (None, "c"), (None, None)]
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
         J.attach_sides(matches, teams.union(teams.limit(1))).collect()
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reliability_makes_p_once(spark):
+    left, right = (spark.range(3).select(F.lit(1).alias("k"), F.col("id").alias(name)) for name in ("a", "b"))
+    df = left.join(right, "k").select("k", F.exp(-(F.col("a") + F.col("b")).cast("double")).alias("p"), (F.col("a") > 0).alias("y"))
+    df = df.unionByName(spark.sql("SELECT 1 AS k, 2.0D AS p, true AS y"))
+    out = E.reliability(df, ["k"], "p", "y")
+    assert optimized(out).count("EXP(") == 1  # a filter on the bin would sink into the join with one for each edge
+    assert {(r["bin"], r["n"]) for r in out.collect()} == {(0, 6), (1, 2), (4, 1)}
