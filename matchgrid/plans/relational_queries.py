@@ -11,7 +11,7 @@ from matchgrid.operators import projections as P
 from matchgrid.operators import windows as W
 from matchgrid.plans.projection_queries import RATES_SQL
 from matchgrid.plans.registry import query
-from matchgrid.plans.views import MEANS, SUMS
+from matchgrid.plans.views import MEANS, SUMS, VIEWS
 
 c, lit = F.col, F.lit
 
@@ -40,7 +40,14 @@ DEDUP_SQL = "(SELECT * FROM player_season_raw QUALIFY row_number() OVER (PARTITI
 
 
 def deduplicated(v):
-    return W.keep_preferred(v.player_season_raw, ["player_id", "season", "team_id", "league_id"], ties=["batch_id", "row_no"])
+    return W.keep_preferred(raw_by_player(v), ["player_id", "season", "team_id", "league_id"], ties=["batch_id", "row_no"])
+
+
+def raw_by_player(v):
+    """The raw rows dealt by player and season while they are lineitem's own, a third as wide; groupings
+    that begin with both need no other shuffle."""
+    rows = v.lineitem.repartition("l_suppkey", F.year("l_shipdate").cast("int"))
+    return v.spark.sql(VIEWS["player_season_raw"], lineitem=rows)
 
 
 @query("w01_keep_preferred", f"SELECT player_id, season, team_id, league_id, source, batch_id, row_no FROM {DEDUP_SQL}")

@@ -43,3 +43,11 @@ def test_same_rows(spark, con, name):
 
 def test_flagship(spark):
     assert catalog.flagship(spark, DATA).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["a01_player_seasons", "w01_keep_preferred"])
+def test_raw_rows_are_shuffled_once_and_narrow(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(shuffles) == 1 and "l_suppkey" in shuffles[0]
