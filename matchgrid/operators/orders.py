@@ -187,6 +187,8 @@ def level_stretches(changes: DataFrame, points: DataFrame, before: bool = False,
     points from number ``since`` to before ``till``; ``points``: (symbol, time_ns), no two alike."""
     key = ["symbol", "side", "price"]
     ends = points.groupBy(F.col("symbol").alias("_of")).agg(F.count("*").alias("_points"))
+    # ranges are found in several passes over what they cut, which must not make it anew each time
+    changes = checkpointed(changes)
     steps = checkpointed(_at_points(changes, points, before, rows).groupBy(*key, "since").agg(F.sum("quantity").alias("d_quantity"), F.sum("orders").alias("d_orders")))
     levels = checkpointed(running(steps, key, ["since"], {"quantity": ("sum", F.col("d_quantity")), "orders": ("sum", F.col("d_orders"))}, rows).select(*key, "since", "quantity", "orders"))
     state = F.struct("since", "quantity", "orders")
@@ -196,19 +198,20 @@ def level_stretches(changes: DataFrame, points: DataFrame, before: bool = False,
     return closed.unionByName(last).filter("quantity > 0 and since < till")
 
 
-def _spans(since: Column, till: Column) -> Column:
-    """The stretch [since, till) as aligned spans (level, number): 2**level points from number * 2**level on.
+def _spans(stretches: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
+    """``columns`` of each stretch beside the aligned spans (level, number) of [since, till): 2**level
+    points from number * 2**level on.
 
     At each level at most one span at either end is left over by the level above, so a stretch of n
-    points has about 2 log n spans.
+    points has about 2 log n spans. Levels are rows, so that all of it is plain generated code.
     """
-    level = lambda l: F.call_function("shiftleft", F.lit(1).cast("long"), l)
-    low = lambda l: F.floor((since + level(l) - 1) / level(l)).cast("long")
-    high = lambda l: F.floor(till / level(l)).cast("long")
-    span = lambda l, number: F.struct(l.alias("level"), number.alias("number"))
-    at = lambda l: F.array(F.when((low(l) < high(l)) & (low(l) % 2 == 1), span(l, low(l))), F.when((low(l) < high(l)) & (high(l) % 2 == 1), span(l, high(l) - 1)))
-    top = F.ceil(F.log2((till - since + 1).cast("double"))).cast("int")
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top), at)), lambda s: s.isNotNull())
+    top = F.ceil(F.log2((F.col("till") - F.col("since") + 1).cast("double"))).cast("int")
+    rows = stretches.select(*columns, "since", "till", F.explode(F.sequence(F.lit(0), top)).alias("level"))
+    shift = lambda way, x: F.call_function(f"shift{way}", x, F.col("level"))
+    low, high = shift("right", F.col("since") + shift("left", F.lit(1).cast("long")) - 1), shift("right", F.col("till"))
+    rows = rows.withColumns({"_low": low, "_high": high}).filter("_low < _high")
+    ends = F.array(F.when(F.col("_low") % 2 == 1, F.col("_low")), F.when(F.col("_high") % 2 == 1, F.col("_high") - 1))
+    return rows.withColumn("number", F.explode(ends)).filter("number is not null").drop("since", "till", "_low", "_high")
 
 
 def best_levels(stretches: DataFrame, points: DataFrame, top: int, rows: int = ROWS) -> DataFrame:
@@ -221,7 +224,7 @@ def best_levels(stretches: DataFrame, points: DataFrame, top: int, rows: int = R
     numbered = running(points.select("symbol", "time_ns"), ["symbol"], ["time_ns"], {"nth": ("sum", F.lit(1))}, rows).withColumn("_at", F.col("nth") - 1)
     best = F.when(F.col("side") == "BUY", -F.col("price")).otherwise(F.col("price"))
     level = F.struct(best.alias("rank"), "price", "quantity", "orders").alias("_best")
-    spans = stretches.select("symbol", "side", level, F.explode(_spans(F.col("since"), F.col("till"))).alias("_span")).select("symbol", "side", "_best", "_span.level", "_span.number")
+    spans = _spans(stretches, ["symbol", "side", level])
     kept = spans.withColumn("_r", F.row_number().over(Window.partitionBy("symbol", "side", "level", "number").orderBy("_best.rank"))).filter(F.col("_r") <= top)
     kept = kept.groupBy("symbol", "level", "number").agg(*[F.collect_list(F.when(F.col("side") == side, F.col("_best"))).alias(side) for side in ("BUY", "SELL")])
     most = numbered.agg(F.max("nth")).first()[0] or 1
@@ -266,11 +269,12 @@ def market_series(series: DataFrame, near: int = 5, window: int = 20, rows: int
     }
     out = top_of_series(series, own).drop("bid_qty", "ask_qty", "micro_price")
     means = {"rolling_spread": "spread", "rolling_imbalance": "volume_imbalance"}
-    return rolling(out, ["symbol"], ["nth"], window, lambda w: {name: F.avg(x).over(w.rowsBetween(1 - window, 0)) for name, x in means.items()}, rows)
+    return rolling(checkpointed(out), ["symbol"], ["nth"], window, lambda w: {name: F.avg(x).over(w.rowsBetween(1 - window, 0)) for name, x in means.items()}, rows)
 
 
 def slippage(fills: DataFrame, quotes: DataFrame, rows: int = ROWS) -> DataFrame:
     """Fills with the last mid quoted before them and their relative slippage against it, positive
     where the taker did worse; null without a mid."""
-    met = as_of_join(fills, quotes.filter("mid is not null"), ["symbol"], "time_ns", ["mid"], before=True, rows=rows)
+    known = checkpointed(quotes.filter("mid is not null").select("symbol", "time_ns", "mid"))
+    met = as_of_join(fills, known, ["symbol"], "time_ns", ["mid"], before=True, rows=rows)
     return met.withColumn("slippage", F.try_divide(F.col("price") - F.col("mid"), F.col("mid")) * F.when(F.col("taker_side") == "BUY", 1.0).otherwise(-1.0))

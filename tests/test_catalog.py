@@ -51,3 +51,10 @@ def test_raw_rows_are_shuffled_once_and_narrow(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in plan.splitlines() if "Exchange" in line]
     assert len(shuffles) == 1 and "l_suppkey" in shuffles[0]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["l06_slippage_to_mid", "l07_market_metrics_series"])
+def test_books_are_made_once_for_windows_over_them(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan  # the spans of the book; each pass of the window would make them again
