@@ -158,3 +158,51 @@ def test_reliability_makes_p_once(spark):
     out = E.reliability(df, ["k"], "p", "y")
     assert optimized(out).count("EXP(") == 1  # a filter on the bin would sink into the join with one for each edge
     assert {(r["bin"], r["n"]) for r in out.collect()} == {(0, 6), (1, 2), (4, 1)}
+
+
+def made_starters(spark):
+    rows_ = [
+        # fixture, team, player, number, position, coach, formation, goals, rating, seasons, form_position
+        (1, 10, 1, 3, "Libero", "B", "4-4-2", 2.5, 7.0, 2, "Defender"),
+        (1, 10, 2, 3, None, "A", None, 1.25, None, 1, "Libero"),
+        (1, 10, 3, 1, "Winger", "C", "3-5-2", None, None, None, None),
+        (1, 10, 4, 2, "Attacker", "C", "3-5-2", 9.0, 6.0, 1, None),
+        (1, 10, 5, 7, None, "C", "3-5-2", 0.0, 8.0, 1, None),
+        (1, 10, 6, 8, "", "C", "3-5-2", 4.0, None, 3, "Anchor"),
+        (1, 11, 7, 5, "Goalkeeper", "D", "4-3-3", None, None, None, None),
+        (2, 10, 8, 5, "Winger", "D", "4-3-3", 1.0, None, 1, None),
+        (2, 10, 9, 5, "Goalkeeper", "D", "4-3-3", 3.0, 5.5, 1, None),
+    ]
+    return spark.createDataFrame(rows_, "fixture_id long, team_id long, player_id long, number long, position string, coach string, formation string, goals double, rating double, seasons_with_data long, form_position string")
+
+
+def test_blocks_of_many_coaches_and_odd_positions(spark):
+    starters = made_starters(spark)
+    parts = G.team_parts(starters)
+    got = {(r["fixture_id"], t): r[f"t{t}"] for r in parts.select("fixture_id", *[G.team_block(F.col("parts"), F.lit(t), starters.columns).alias(f"t{t}") for t in (10, 11, 12)]).collect() for t in (10, 11, 12)}
+    assert {k for k, v in got.items() if v is not None} == {(1, 10), (2, 10)}
+    one, two = got[1, 10], got[2, 10]
+    assert (one["num_starters_with_data"], one["team_total_goals"], one["team_avg_rating"], one["top_scorer"]) == (5, 16.8, 7.0, 9.0)
+    assert (one["coach"], one["formation"]) == ("C", "3-5-2")  # of the lowest number, with or without form
+    assert one["positions"] == "1 ATT, 1 ANC, 2 LIB, 1 UNK"
+    assert (two["positions"], two["coach"], two["team_avg_rating"]) == ("1 GOA, 1 WIN", "D", 5.5)
+    profile = {(r["fixture_id"], r["team_id"]): r for r in A.team_profile(starters).collect()}
+    assert all(profile[k][c] == got[k][c] for k in profile for c in profile[k].asDict() if c.startswith(("team_", "num_")) and c != "team_id")
+
+
+def test_blocks_are_no_lists_of_starters(spark):
+    parts = G.team_parts(made_starters(spark))
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # dealt once, by match
+    of_one = parts.filter("fixture_id = 2").first()["parts"]
+    assert len(of_one) == 1 and not any(isinstance(x, list) for x in of_one[0])
+
+
+def test_chat_samples_are_in_order_without_a_sample(spark):
+    m = spark.range(40).selectExpr("id AS fixture_id", "1990 AS season", "'A' AS home_team_name", "'B' AS away_team_name", "1L AS home_goals", "0L AS away_goals", "'home_win' AS result", "'' AS venue", "'r' AS round", "'' AS home_form", "'' AS away_form")
+    profile = "named_struct('team_total_goals', 1.0D, 'team_avg_rating', 1.0D, 'top_scorer', 1.0D, 'team_avg_passes_accuracy', 1.0D)"
+    m = m.selectExpr("*", f"{profile} AS home_profile", f"{profile} AS away_profile", "array('x', 'y') AS blocks", "named_struct('matches', 0L, 'team1_wins', 0L, 'team2_wins', 0L, 'draws', 0L) AS h2h")
+    out = G.chat_samples(m)
+    assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    keys = [r["shuffle_key"] for r in out.collect()]
+    assert len(keys) == 80 and keys == sorted(keys)
