@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.functions.scalars import half_even
+from matchgrid.functions.scalars import half_even, half_even_of_sum
 
 RATES = ["rating", "passes_accuracy", "goals_per_90", "assists_per_90", "goal_contributions_per_90", "shot_accuracy", "duel_win_pct", "tackles_per_90", "dribble_success_pct"]
 PROFILE_SUMS = ["goals", "assists", "appearances", "minutes", "shots_total", "shots_on_target", "cards_yellow", "cards_red"]
@@ -29,6 +29,18 @@ def aggregate_player_seasons(df: DataFrame, sums: Sequence[str], means: Sequence
     return keyed.groupBy("player_id", "season").agg(*[sum_or_null(c).alias(c) for c in sums], *[F.avg(c).alias(c) for c in means])
 
 
+def player_seasons(raw: DataFrame, sums: Sequence[str], means: Sequence[str]) -> DataFrame:
+    """One row for each player and season: sums, means and the greatest position.
+
+    Rows are added up by position first, so that all that is kept while the raw rows are read has a
+    fixed size: they are hashed. The greatest text among them would have them sorted.
+    """
+    keys = ["player_id", "season"]
+    parts = raw.groupBy(*keys, "position").agg(*[F.sum(c).alias(c) for c in dict.fromkeys([*sums, *means])], *[F.count(c).alias(f"n_{c}") for c in means])
+    mean = lambda c: F.try_divide(F.sum(c), F.sum(f"n_{c}").cast("double"))
+    return parts.groupBy(*keys).agg(F.max("position").alias("position"), *[F.sum(c).alias(c) for c in sums], *[mean(c).alias(c) for c in means])
+
+
 def first_known_meta(df: DataFrame, columns: Sequence[str], key: str = "player_id", order: Sequence[str] = ("season", "team_id", "league_id")) -> DataFrame:
     """For each key and column the earliest value that isn't null."""
     at = F.struct(*order)
@@ -70,8 +82,8 @@ def team_profile(form: DataFrame, keys: Sequence[str] = ("fixture_id", "team_id"
     means = [c for c in PROFILE_MEANS if c in form.columns]
     return form.groupBy(*keys).agg(
         F.count("seasons_with_data").alias("num_starters_with_data"),
-        *[half_even(F.round(F.sum(c), 9), 1).alias(f"team_total_{c}") for c in sums],
-        *[half_even(F.round(F.avg(c), 9), 2).alias(f"team_avg_{c}") for c in means],
+        *[half_even_of_sum(F.sum(c), 1).alias(f"team_total_{c}") for c in sums],
+        *[half_even_of_sum(F.avg(c), 2).alias(f"team_avg_{c}") for c in means],
         *extra,
     ).filter("num_starters_with_data > 0")
 

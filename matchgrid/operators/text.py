@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.functions.scalars import fmt_or_dash, half_even, result_from_score
+from matchgrid.functions.scalars import fixed_places, fmt_or_dash, half_even, half_even_of_sum, result_from_score
 from matchgrid.operators.aggregates import PROFILE_MEANS, PROFILE_SUMS, has_form, position_of, team_profile
 from matchgrid.operators.joins import attach_sides, with_head_to_head
 
@@ -19,8 +19,8 @@ POSITIONS = ("Goalkeeper", "Defender", "Midfielder", "Attacker", "Forward")
 
 
 def plainly(value: Column, of: Callable[[Column], Column]) -> Column:
-    """``of(value)`` evaluated expression by expression. What is made of a long text in one piece of
-    generated code is longer than what the JVM compiles, and runs many times slower."""
+    """``of(value)`` evaluated expression by expression, and the projection it is part of in methods of their own.
+    What is made of a long text in one piece of generated code is longer than what the JVM compiles, and runs many times slower."""
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
@@ -37,64 +37,91 @@ def team_parts(starters: DataFrame) -> DataFrame:
     """
     pos = position_of()
     other = F.when(has_form() & ~pos.isin(*COUNTED), pos)
-    lowest = F.lit(Decimal(-(2**62)))
-    of = lambda c: F.coalesce(F.col(c).cast("decimal(19,0)"), lowest)
-    lead = of("number") * F.lit(Decimal(2**64)) + of("player_id")  # in order of number, then player
     sums, means = ([c for c in names if c in starters.columns] for names in (PROFILE_SUMS, PROFILE_MEANS))
     counts = [F.count_if(has_form() & (pos == name)).alias(f"c_{i}") for i, name in enumerate(COUNTED)]
     values = [*[F.sum(c).alias(f"s_{c}") for c in dict.fromkeys(sums + means)], *[F.count(c).alias(f"n_{c}") for c in means]]
     dealt = starters.repartition("fixture_id").groupBy("fixture_id", "team_id", "coach", "formation", other.alias("other"))
-    parts = dealt.agg(F.count("seasons_with_data").alias("n"), F.max(half_even(F.col("goals"), 2)).alias("top"), F.min(lead).alias("lead"), *counts, *values)
+    parts = dealt.agg(F.count("seasons_with_data").alias("n"), F.max(half_even(F.col("goals"), 2)).alias("top"), *_leads(), *counts, *values)
     return parts.groupBy("fixture_id").agg(F.collect_list(F.struct(*[c for c in parts.columns if c != "fixture_id"])).alias("parts"))
 
 
-def team_block(parts: Column, team_id: Column, columns: Sequence[str]) -> Column:
-    """Profile, coach, formation, position text and top scorer of one team of a ``team_parts`` row, as a struct.
+def _leads() -> list[Column]:
+    """The lowest number and player in one value each: as a whole number where both are small, else as a decimal."""
+    number, player = F.col("number").cast("bigint"), F.col("player_id").cast("bigint")
+    small = F.coalesce(number.between(-(2**22), 2**22) & player.between(0, 2**40 - 1), F.lit(False))
+    lowest = F.lit(Decimal(-(2**62)))
+    of = lambda c: F.coalesce(c.cast("decimal(19,0)"), lowest)
+    return [F.min(F.when(small, F.shiftleft(number, 40) + player)).alias("lead"), F.min(F.when(~small, _in_order(of(number), of(player)))).alias("wide_lead")]
 
-    The profile is that of ``aggregates.team_profile``; the struct is null for a team none of whose
-    starters has form. ``columns``: those of the starters.
-    """
+
+def _in_order(number: Column, player: Column) -> Column:
+    return number * F.lit(Decimal(2**64)) + player
+
+
+def _lead(part: Column) -> Column:
+    """A part's lowest number and player, of either size."""
+    small = _in_order(F.shiftright(part["lead"], 40).cast("decimal(19,0)"), part["lead"].bitwiseAND(F.lit(2**40 - 1)).cast("decimal(19,0)"))
+    return F.least(small, part["wide_lead"])
+
+
+def team_sums(parts: Column, team_id: Column, columns: Sequence[str]) -> Column:
+    """The parts of one team of a ``team_parts`` row (``own``) and what they add up to (``t``), as a struct."""
     sums, means = ([c for c in names if c in columns] for names in (PROFILE_SUMS, PROFILE_MEANS))
     added = ["n", *[f"c_{i}" for i in range(len(COUNTED))], *[f"s_{c}" for c in dict.fromkeys(sums + means)], *[f"n_{c}" for c in means]]
 
     def add(t: Column, x: Column) -> Column:
-        first = x["lead"] < t["lead"]
+        first = _lead(x) < t["first"]
         staff = [F.when(first, x[c]).otherwise(t[c]).alias(c) for c in ("coach", "formation")]
         total = [F.coalesce(t[c] + x[c], t[c], x[c]).alias(c) for c in added]
-        return F.struct(*staff, F.greatest(t["top"], x["top"]).alias("top"), F.least(t["lead"], x["lead"]).alias("lead"), *total)
+        return F.struct(*staff, F.greatest(t["top"], x["top"]).alias("top"), *total, F.least(t["first"], _lead(x)).alias("first"))
 
     def start(x: Column) -> Column:
-        return F.struct(*[x[c].alias(c) for c in ("coach", "formation", "top", "lead", *added)])
+        return F.struct(*[x[c].alias(c) for c in ("coach", "formation", "top", *added)], _lead(x).alias("first"))
+
+    def alone(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("coach", "formation", "top", *added)])
 
-    def positions(own: Column, t: Column) -> Column:
+    def total(own: Column) -> Column:
+        one = F.get(own, F.lit(0))
+        merged = plainly(F.aggregate(F.slice(own, 2, F.size(own)), start(one), add), alone)
+        return F.struct(F.when(F.size(own) > 1, merged).when(F.size(own) == 1, alone(one)).alias("t"), F.filter(own, lambda x: x["other"].isNotNull()).alias("odd"))
+
+    return plainly(F.filter(parts, lambda x: x["team_id"] == team_id), total)
+
+
+def profile_of(team: Column, columns: Sequence[str]) -> list[Column]:
+    """Profile, coach, formation, position text and top scorer out of ``team_sums``, for a team whose starters have form."""
+    sums, means = ([c for c in names if c in columns] for names in (PROFILE_SUMS, PROFILE_MEANS))
+    t, odd = team["t"], team["odd"]
+
+    def positions() -> Column:
         shown = lambda n, name: F.concat(n.cast("string"), F.lit(" "), F.upper(F.left(name, F.lit(3))))
         named = [F.when(t[f"c_{i}"] > 0, F.concat(t[f"c_{i}"].cast("string"), F.lit(" " + name[:3].upper()))) for i, name in enumerate(COUNTED)]
         k = len(POSITIONS)
-        others = F.filter(F.array_distinct(F.transform(own, lambda x: x["other"])), lambda name: name.isNotNull())
-        counted = lambda name: F.aggregate(F.filter(own, lambda x: x["other"] == name), F.lit(0).cast("long"), lambda m, x: m + x["n"])
+        others = F.array_distinct(F.transform(odd, lambda x: x["other"]))
+        counted = lambda name: F.aggregate(F.filter(odd, lambda x: x["other"] == name), F.lit(0).cast("long"), lambda m, x: m + x["n"])
         rest = F.concat(F.transform(others, lambda name: F.struct(name.alias("name"), counted(name).alias("n"))), F.array(*[F.struct(F.lit(name).alias("name"), t[f"c_{i}"].alias("n")) for i, name in enumerate(COUNTED) if i >= k]))
         sorted_rest = F.transform(F.array_sort(F.filter(rest, lambda x: x["n"] > 0)), lambda x: shown(x["n"], x["name"]))
-        return F.when(F.exists(own, lambda x: x["other"].isNotNull()), F.concat_ws(", ", *named[:k], sorted_rest)).otherwise(F.concat_ws(", ", *named))
+        return F.when(F.size(odd) > 0, F.concat_ws(", ", *named[:k], sorted_rest)).otherwise(F.concat_ws(", ", *named))
+
+    return [
+        t["n"].alias("num_starters_with_data"),
+        *[half_even_of_sum(t[f"s_{c}"], 1).alias(f"team_total_{c}") for c in sums],
+        *[half_even_of_sum(F.try_divide(t[f"s_{c}"], t[f"n_{c}"].cast("double")), 2).alias(f"team_avg_{c}") for c in means],
+        positions().alias("positions"),
+        F.coalesce(t["top"], F.lit(0.0)).alias("top_scorer"),
+        t["coach"].alias("coach"),
+        t["formation"].alias("formation"),
+    ]
 
-    def block(own: Column) -> Column:
-        def made(t: Column) -> Column:
-            return F.when(
-                t["n"] > 0,
-                F.struct(
-                    t["n"].alias("num_starters_with_data"),
-                    *[half_even(F.round(t[f"s_{c}"], 9), 1).alias(f"team_total_{c}") for c in sums],
-                    *[half_even(F.round(F.try_divide(t[f"s_{c}"], t[f"n_{c}"].cast("double")), 9), 2).alias(f"team_avg_{c}") for c in means],
-                    positions(own, t).alias("positions"),
-                    F.coalesce(t["top"], F.lit(0.0)).alias("top_scorer"),
-                    t["coach"].alias("coach"),
-                    t["formation"].alias("formation"),
-                ),
-            )
 
-        one = start(F.get(own, F.lit(0)))
-        return F.when(F.size(own) > 0, plainly(F.when(F.size(own) == 1, one).otherwise(F.aggregate(F.slice(own, 2, F.size(own)), one, add)), made))
+def team_block(parts: Column, team_id: Column, columns: Sequence[str]) -> Column:
+    """Profile, coach, formation, position text and top scorer of one team of a ``team_parts`` row, as a struct.
 
-    return plainly(F.filter(parts, lambda x: x["team_id"] == team_id), block)
+    The profile is that of ``aggregates.team_profile``; the struct is null for a team none of whose
+    starters has form. ``columns``: those of the starters.
+    """
+    return plainly(team_sums(parts, team_id, columns), lambda team: F.when(team["t"]["n"] > 0, F.struct(*profile_of(team, columns))))
 
 
 def form_before(team_match: DataFrame, n: int = 3) -> DataFrame:
@@ -115,41 +142,53 @@ def form_before(team_match: DataFrame, n: int = 3) -> DataFrame:
 
 
 def match_context(matches: DataFrame, starters: DataFrame, form: DataFrame) -> DataFrame:
-    """One nested row for each fixture: both teams' blocks and form, meetings and outcome.
+    """One nested row for each fixture: both teams' profiles and form, meetings and outcome.
 
     What is joined by team comes first, while rows are narrow; ``starters`` as for ``team_parts``.
-    ``blocks`` are the lines on the home and the away team without their labels.
+    A profile has the sums and means that ``starters`` has columns for.
+    ``blocks`` are the lines on the home and the away team without their labels, if these columns are there.
     """
     out = with_head_to_head(matches)
     for side in ("home", "away"):
         past = form.select(F.col("team_name").alias(f"{side}_team_name"), "season", F.col("form").alias(f"{side}_form"))
         out = out.join(past, [f"{side}_team_name", "season"], "left")
     out = out.join(team_parts(starters), "fixture_id", "left")
-    out = out.withColumns({f"{side}_profile": team_block(F.col("parts"), F.col(f"{side}_team_id"), starters.columns) for side in ("home", "away")}).drop("parts")
-    return out.withColumns({"blocks": F.transform(F.array("home_profile", "away_profile"), block_lines), "result": result_from_score(F.col("home_goals"), F.col("away_goals"))})
+    out = out.withColumns({f"{side}_sums": team_sums(F.col("parts"), F.col(f"{side}_team_id"), starters.columns) for side in ("home", "away")}).drop("parts")
+    profile = lambda team: F.when(team["t"]["n"] > 0, F.struct(*profile_of(team, starters.columns)))
+    out = out.withColumns({f"{side}_profile": profile(F.col(f"{side}_sums")) for side in ("home", "away")}).drop("home_sums", "away_sums")
+    if all(c in starters.columns for c in BLOCK_COLUMNS):
+        out = out.withColumn("blocks", F.array(*[block_lines(F.col(f"{side}_profile")) for side in ("home", "away")]))
+    return out.withColumn("result", result_from_score(F.col("home_goals"), F.col("away_goals")))
+
+
+#: Columns of the starters that ``block_lines`` needs, and those that ``render_reasoning`` needs.
+BLOCK_COLUMNS = ("goals", "assists", "cards_yellow", "cards_red", "rating", "passes_accuracy", "goals_per_90", "tackles_per_90", "duel_win_pct")
+REASONING_COLUMNS = ("goals", "rating", "passes_accuracy")
 
 
 def block_lines(profile: Column) -> Column:
-    """Five or six lines on a team, the first one without its label; the rest of one line if there is no profile."""
+    """Five or six lines on a team, the first one without its label; the rest of one line if there is no profile.
+
+    All is evaluated in any case, so that Spark makes a value once for all its uses.
+    """
     p = lambda name: profile[name]
     f = lambda name, digits: fmt_or_dash(p(name), digits)
     known = lambda name: F.coalesce(F.nullif(p(name), F.lit("")), F.lit("?"))
     top = F.when(p("top_scorer") > 0, p("top_scorer").cast("bigint").cast("string")).otherwise("-")
-    lines = F.concat_ws(
-        "\n",
-        F.concat(F.lit(" | Coach: "), known("coach"), F.lit(" | Formation: "), known("formation")),
-        F.concat(F.lit("Squad: "), p("num_starters_with_data").cast("string"), F.lit(" starters | Avg Rating: "), f("team_avg_rating", 1)),
-        F.concat(F.lit("Attack: "), f("team_total_goals", 0), F.lit(" goals ("), f("team_avg_goals_per_90", 2), F.lit("/90) | "), f("team_total_assists", 0), F.lit(" assists | Top scorer: "), top, F.lit(" goals")),
-        F.concat(F.lit("Defense: "), f("team_total_cards_yellow", 0), F.lit(" yellows, "), f("team_total_cards_red", 0), F.lit(" reds | Tackles/90: "), f("team_avg_tackles_per_90", 2), F.lit(" | Duels: "), f("team_avg_duel_win_pct", 0), F.lit("%")),
-        F.concat(F.lit("Passing: "), f("team_avg_passes_accuracy", 0), F.lit("% accuracy")),
-        F.when(p("positions") != "", F.concat(F.lit("Positions: "), p("positions"))),
-    )
-    return F.when(profile.isNull(), F.lit(": No data")).otherwise(lines)
+    lines = F.concat(
+        F.lit(" | Coach: "), known("coach"), F.lit(" | Formation: "), known("formation"),
+        F.lit("\nSquad: "), p("num_starters_with_data").cast("string"), F.lit(" starters | Avg Rating: "), f("team_avg_rating", 1),
+        F.lit("\nAttack: "), f("team_total_goals", 0), F.lit(" goals ("), f("team_avg_goals_per_90", 2), F.lit("/90) | "), f("team_total_assists", 0), F.lit(" assists | Top scorer: "), top, F.lit(" goals"),
+        F.lit("\nDefense: "), f("team_total_cards_yellow", 0), F.lit(" yellows, "), f("team_total_cards_red", 0), F.lit(" reds | Tackles/90: "), f("team_avg_tackles_per_90", 2), F.lit(" | Duels: "), f("team_avg_duel_win_pct", 0), F.lit("%"),
+        F.lit("\nPassing: "), f("team_avg_passes_accuracy", 0), F.lit("% accuracy"),
+        plainly(p("positions"), lambda x: F.when(x != "", F.concat(F.lit("\nPositions: "), x)).otherwise("")),
+    )
+    return F.coalesce(lines, F.lit(": No data"))
 
 
 def render_team_block(profile: Column, label: Column) -> Column:
     """The lines on a team after its label."""
-    return F.concat(label, plainly(profile, block_lines))
+    return F.concat(label, block_lines(profile))
 
 
 def render_form(form: Column) -> Column:
@@ -194,17 +233,21 @@ def render_reasoning(anonymized: Column) -> Column:
     more = lambda who, x, y: F.concat(who, F.lit("'s squad has higher goal output ("), whole(x), F.lit(" vs "), whole(y), F.lit(")"))
     goals = F.when(both_g & (hg > ag * F.lit(1.15)), more(home, hg, ag)).when(both_g & (ag > hg * F.lit(1.15)), more(away, ag, hg))
     hr, ar, both_r, who_r = pair("team_avg_rating")
-    one = lambda x: F.format_string("%.1f", half_even(x, 1))
+    one = lambda x: fixed_places(x, 1)
     rating = F.when(both_r & (F.abs(hr - ar) > 0.15), F.concat(who_r, F.lit(" has a higher average rating ("), one(F.greatest(hr, ar)), F.lit(" vs "), one(F.least(hr, ar)), F.lit(")")))
     ht, at, both_t, who_t = pair("top_scorer")
     top = F.when(both_t & (F.abs(ht - at) > 5), F.concat(who_t, F.lit("'s top scorer is more prolific ("), whole(F.greatest(ht, at)), F.lit(" vs "), whole(F.least(ht, at)), F.lit(" goals)")))
     hp, ap, both_p, who_p = pair("team_avg_passes_accuracy")
     none = lambda x: whole(half_even(x))
     passing = F.when(both_p & (F.abs(hp - ap) > 3), F.concat(who_p, F.lit(" has better passing ("), none(F.greatest(hp, ap)), F.lit("% vs "), none(F.least(hp, ap)), F.lit("%)")))
-    winner = F.when(F.col("result") == "home_win", home).otherwise(away)
-    default = F.when(F.col("result") == "draw", F.lit("Both teams have closely matched statistical profiles suggesting an even contest")).otherwise(F.concat(winner, F.lit("'s overall squad quality and form give them the edge")))
-    parts = F.slice(F.array_compact(F.array(goals, rating, top, passing)), 1, 3)
-    return F.concat(F.when(F.size(parts) > 0, F.array_join(parts, ". ")).otherwise(default), F.lit("."))
+
+    def default(result: Column) -> Column:
+        winner = F.when(result == "home_win", home).otherwise(away)
+        return F.when(result == "draw", F.lit("Both teams have closely matched statistical profiles suggesting an even contest")).otherwise(F.concat(winner, F.lit("'s overall squad quality and form give them the edge")))
+
+    full = goals.isNotNull() & rating.isNotNull() & top.isNotNull()
+    said = F.concat_ws(". ", goals, rating, top, F.when(~full, passing))
+    return F.concat(F.coalesce(F.nullif(said, F.lit("")), plainly(F.col("result"), default)), F.lit("."))
 
 
 def chat_samples(context: DataFrame, seed: int = 42) -> DataFrame:
@@ -232,7 +275,7 @@ def chat_samples(context: DataFrame, seed: int = 42) -> DataFrame:
 
 def halftime_prompt(user: Column, home: Column, away: Column, ht_home: Column, ht_away: Column, blank_line: bool = True) -> Column:
     """The prompt with its closing line replaced by the halftime score and a new instruction."""
-    body = F.regexp_replace(F.replace(user, F.lit(CLOSING), F.lit("")), r"\s+$", "")
+    body = F.rtrim(F.replace(user, F.lit(CLOSING), F.lit("")), F.lit(" \t\n\x0b\f\r"))
     gap = "\n\n" if blank_line else "\n"
     return F.concat(
         body, F.lit("\n\nHalftime Score: "), home, F.lit(" "), ht_home.cast("string"), F.lit(" - "), ht_away.cast("string"), F.lit(" "), away,

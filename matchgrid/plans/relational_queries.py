@@ -126,9 +126,15 @@ FORM_SQL = (
 FORM_KEYS = ["fixture_id", "team_id", "player_id", "number", "position"]
 
 
+def lineups_by_match(v):
+    """The lineups with lineitem's own columns dealt by order once: they are grouped and meet their matches where they lie."""
+    return v.spark.sql(VIEWS["lineups"], lineitem=v.lineitem.repartition("l_orderkey"), matches=v.matches)
+
+
 def form(v, how="inner", *more):
-    starters = v.lineups.filter("is_starter").select(*FORM_KEYS, "season", *more)
-    return starters.join(A.form_by_season(P.derive_player_rates(v.player_season), SUMS), ["player_id", "season"], how)
+    starters = lineups_by_match(v).filter("is_starter").select(*FORM_KEYS, "season", *more)
+    seasons = P.derive_player_rates(A.player_seasons(v.player_season_raw, SUMS, MEANS))
+    return starters.join(A.form_by_season(seasons, SUMS), ["player_id", "season"], how)
 
 
 @query(

@@ -28,8 +28,14 @@ cx AS (SELECT m.*, h AS hp, a AS ap, f1.form AS home_form, f2.form AS away_form,
   FROM matches m LEFT JOIN bl h ON m.fixture_id = h.fixture_id AND m.home_team_id = h.team_id LEFT JOIN bl a ON m.fixture_id = a.fixture_id AND m.away_team_id = a.team_id LEFT JOIN fm f1 ON m.home_team_name = f1.team_name AND m.season = f1.season LEFT JOIN fm f2 ON m.away_team_name = f2.team_name AND m.season = f2.season LEFT JOIN hh ON m.fixture_id = hh.fixture_id)"""
 
 
-def context(v):
-    return G.match_context(v.matches, R.form(v, "left", "coach", "formation"), G.form_before(R.team_match(v)))
+def context(v, shown):
+    """Match contexts with the sums and means of these columns, which are all that starters carry through their shuffles."""
+    starters = R.form(v, "left", "coach", "formation").select(*R.FORM_KEYS, "coach", "formation", "seasons_with_data", "form_position", *dict.fromkeys(["goals", *shown]))
+    return G.match_context(v.matches, starters, G.form_before(R.team_match(v)))
+
+
+def prompts(v):
+    return context(v, G.BLOCK_COLUMNS)
 
 
 @query(
@@ -37,7 +43,7 @@ def context(v):
     f"{BLOCK_SQL} SELECT fixture_id, hp.team_total_goals AS home_total_goals, ap.positions AS away_positions, hp.coach AS home_coach, home_form, away_form, met, team1_wins, result FROM cx",
 )
 def g01(v):
-    return context(v).select(
+    return context(v, ["goals"]).select(
         "fixture_id", c("home_profile.team_total_goals").alias("home_total_goals"), c("away_profile.positions").alias("away_positions"), c("home_profile.coach").alias("home_coach"), "home_form", "away_form", c("h2h.matches").alias("met"), c("h2h.team1_wins").alias("team1_wins"), "result"
     )
 
@@ -65,12 +71,12 @@ H2H_SQL = "CASE WHEN coalesce(met, 0) = 0 THEN 'H2H: No prior meetings' ELSE 'H2
 
 @query("g02_team_block", f"{BLOCK_SQL} SELECT fixture_id, {block_sql('hp', 'home_team_name')} AS block FROM cx")
 def g02(v):
-    return context(v).select("fixture_id", G.render_team_block(c("home_profile"), c("home_team_name")).alias("block"))
+    return prompts(v).select("fixture_id", F.concat("home_team_name", F.get("blocks", lit(0))).alias("block"))
 
 
 @query("g03_form_and_h2h", f"{BLOCK_SQL} SELECT fixture_id, {form_sql('home_form')} AS form, {H2H_SQL} AS h2h FROM cx")
 def g03(v):
-    return context(v).select("fixture_id", G.render_form(c("home_form")).alias("form"), G.render_h2h(c("h2h"), c("home_team_name"), c("away_team_name")).alias("h2h"))
+    return context(v, []).select("fixture_id", G.render_form(c("home_form")).alias("form"), G.render_h2h(c("h2h"), c("home_team_name"), c("away_team_name")).alias("h2h"))
 
 
 def user_sql(hidden):
@@ -84,7 +90,7 @@ def user_sql(hidden):
 
 @query("g04_user_message", f"{BLOCK_SQL} SELECT fixture_id, false AS anonymized, {user_sql(False)} AS message FROM cx UNION ALL SELECT fixture_id, true, {user_sql(True)} FROM cx")
 def g04(v):
-    return J.named_and_anonymised(context(v)).select("fixture_id", "anonymized", G.render_user_message(c("anonymized")).alias("message"))
+    return J.named_and_anonymised(prompts(v)).select("fixture_id", "anonymized", G.render_user_message(c("anonymized")).alias("message"))
 
 
 def reasoning_sql(home="home_team_name", away="away_team_name"):
@@ -103,7 +109,7 @@ def reasoning_sql(home="home_team_name", away="away_team_name"):
 
 @query("g05_reasoning", f"{BLOCK_SQL} SELECT fixture_id, {reasoning_sql()} AS reasoning FROM cx")
 def g05(v):
-    return context(v).select("fixture_id", G.render_reasoning(lit(False)).alias("reasoning"))
+    return context(v, G.REASONING_COLUMNS).select("fixture_id", G.render_reasoning(lit(False)).alias("reasoning"))
 
 
 ANSWER = "'Prediction: ' || result || chr(10) || 'Score: ' || home_goals || '-' || away_goals || chr(10) || 'Reasoning: ' || "
@@ -116,7 +122,7 @@ TEAMS = ("'Team A'", "'Team B'")
     f"SELECT fixture_id, anonymized, 'system' AS role, '{G.SYSTEM_PROMPT}' AS content FROM sm UNION ALL SELECT fixture_id, anonymized, 'user', u FROM sm UNION ALL SELECT fixture_id, anonymized, 'assistant', a FROM sm",
 )
 def g06(v):
-    out = G.chat_samples(context(v)).select("metadata.fixture_id", "metadata.anonymized", F.explode("messages").alias("m"))
+    out = G.chat_samples(prompts(v)).select("metadata.fixture_id", "metadata.anonymized", F.explode("messages").alias("m"))
     return out.select("fixture_id", "anonymized", c("m")["role"].alias("role"), c("m")["content"].alias("content"))
 
 
@@ -128,7 +134,7 @@ coalesce(events, '') AS events FROM cx LEFT JOIN ev ON cx.fixture_id = ev.fixtur
 )
 def g07(v):
     prompt = G.halftime_prompt(G.render_user_message(lit(False)), c("home_team_name"), c("away_team_name"), c("halftime_home"), c("halftime_away"))
-    out = context(v).filter("halftime_home is not null").select("fixture_id", prompt.alias("prompt"))
+    out = prompts(v).filter("halftime_home is not null").select("fixture_id", prompt.alias("prompt"))
     return out.join(G.events_text(P.first_half_events(v.match_events)), "fixture_id", "left").withColumn("events", F.coalesce("events", lit("")))
 
 
@@ -169,7 +175,7 @@ def g10(v):
 
 @query("g11_split_variant", f"{BLOCK_SQL} SELECT fixture_id, 'named' AS variant FROM cx UNION ALL SELECT fixture_id, 'anonymized' FROM cx")
 def g11(v):
-    rows = J.named_and_anonymised(context(v)).select("fixture_id", G.render_user_message(c("anonymized")).alias("message"))
+    rows = J.named_and_anonymised(prompts(v)).select("fixture_id", G.render_user_message(c("anonymized")).alias("message"))
     return rows.select("fixture_id", G.split_variant(c("message")).alias("variant"))
 
 
