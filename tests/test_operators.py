@@ -206,3 +206,33 @@ def test_chat_samples_are_in_order_without_a_sample(spark):
     assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     keys = [r["shuffle_key"] for r in out.collect()]
     assert len(keys) == 80 and keys == sorted(keys)
+
+
+def test_profiles_come_out_of_a_shuffle_as_they_went_in(spark):
+    names = [name for word in G.PACKED for name, _, _ in word]
+    most = {name: (2**bits - 2) / per for word in G.PACKED for name, per, bits in word}
+    rows = [dict.fromkeys(names, 0.0), {n: None for n in names}, most, dict.fromkeys(names, 7.0), None]
+    rows += [{**most, "team_avg_rating": 33.33, "team_total_goals": 0.1, "top_scorer": x} for x in (0.29, 41943.02, 1e15, -1.5, 0.123, float("inf"))]
+    rows += [{**most, n: v} for n in names for v in (most[n] + 1, None)]
+    full = [None if r is None else {**r, "num_starters_with_data": None if r["num_starters_with_data"] is None else int(r["num_starters_with_data"]), "coach": None if i % 3 else "C", "formation": "", "positions": "1 GOA"} for i, r in enumerate(rows)]
+    schema = "id long, p struct<" + ", ".join(f"{n}: {'bigint' if n.startswith('num') else 'double'}" for n in names) + ", coach: string, formation: string, positions: string>"
+    df = spark.createDataFrame(list(enumerate(full)), schema)
+    out = df.select("id", "p", G.packed_profile(F.col("p")).alias("k")).withColumn("q", G.unpacked_profile(F.col("k"))).collect()
+    assert len(out) == len(full)
+    for r in out:
+        assert (r["p"] is None) == (r["q"] is None)
+        if r["p"] is not None:
+            assert {n: r["q"][n] for n in r["p"].asDict()} == r["p"].asDict()
+    wide = {r["id"] for r in out if r["k"] is not None and r["k"]["wide"] is not None}
+    assert not {0, 1, 2, 3, 5, 6} & wide and {7, 8, 9, 10} <= wide
+
+
+def test_chat_samples_carry_no_text_of_a_block_through_their_shuffle(spark):
+    from matchgrid.plans import text_queries
+    from matchgrid.plans.views import Views
+
+    out = text_queries.g06(Views(spark, "/root/testdata/sf0.001"))
+    text = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    dealt = [part for part in text.split("\n\n") if "REPARTITION_BY_NUM" in part]
+    assert len(dealt) == 1 and "shuffle_key" not in dealt[0].split("Arguments")[0] and "blocks" not in dealt[0]
+    assert text.count("Avg Rating") == 2  # both sides' lines are rendered once, behind the shuffle
